@@ -34,8 +34,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     top = d.agg(F.expr(f"approx_top_k(digest, {HEAVY}, {TRACKED})").alias("t")).select(F.explode("t").alias("t")).select(F.col("t.item").alias("digest"))
     seen = d.join(F.broadcast(top), "digest").groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     # verified: only what really has 2 rows or more and 1/(4 * HEAVY) of all is worth a place in the broadcast
-    total = d.agg(F.count("*").alias("total"))
-    heavy = saved(seen.crossJoin(F.broadcast(total)).where("group_size > 1 and group_size * %d >= total" % (4 * HEAVY)).drop("total"), "heavy")
+    heavy = saved(seen.where(f"group_size > 1 and group_size * {4 * HEAVY} >= {d.count()}"), "heavy")
     hit = d.join(F.broadcast(heavy), "digest", "left")
     at_top = hit.where("group_size is not null and id <=> keep_id").groupBy("digest", "keep_id", "group_size").agg(F.count("*").alias("n"))
     first = at_top.select(F.col("keep_id").alias("id"), "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"), "digest").select("id", "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "digest")

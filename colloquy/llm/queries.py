@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, ts_media, warc_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_index.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return out.select(F.expr("try_cast(record_id AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "url")
+
+
+def op2_transport_stream_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ts_media.read_media(ts_media.encode_media(table(spark, sf_dir, "documents")))
+    first, last = F.expr("points[0].pts"), F.expr("points[size(points) - 1].pts")
+    feature = F.format_string("programs=%d packets=%d units=%d random_access=%d first_pts=%d last_pts=%d lost=%d broken=%d", "programs", "packets", "units", F.size("points"), first, last, "lost", "broken")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, distance=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
@@ -22,7 +34,7 @@ def op7_exact_dedup_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_gray_index, op7_exact_dedup_heavy_hitters)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_transport_stream_media, op3_simhash_gray_index, op7_exact_dedup_heavy_hitters)}
 
 ORACLE_SQL = {
     "op7_exact_dedup_heavy_hitters": """
