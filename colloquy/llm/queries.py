@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, ts_media, warc_index
+from . import bpe, exact_dedup, lengths, mixing, simhash, tokens, ts_media, warc_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,24 @@ def op3_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
 
 
+def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.context_limits(lengths.length_histogram(table(spark, sf_dir, "documents"), tokens.default_vocabulary()))
+
+
 def op7_exact_dedup_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_transport_stream_media, op3_simhash_gray_index, op7_exact_dedup_heavy_hitters)}
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"), repetition=2.0).withColumnRenamed("id", "doc_id")
+
+
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokens.default_vocabulary()).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_transport_stream_media, op3_simhash_gray_index, op4_token_length_histogram, op7_exact_dedup_heavy_hitters, op8_temperature_mixing, op10_byte_level_bpe)}
 
 ORACLE_SQL = {
     "op7_exact_dedup_heavy_hitters": """

@@ -217,7 +217,8 @@ def look_up(keys: DataFrame, directory: list[tuple[str, str, int, int]], root: s
         for f in files.values():
             f.close()
 
-    dealt = keys.select("key").mapInArrow(locate, "block long, key string").repartition("block").sortWithinPartitions("block", "key")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of our own: the few bytes of keys stand for many reads, so they mustn't be coalesced by size
+    dealt = keys.select("key").mapInArrow(locate, "block long, key string").repartition(spread, "block").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(read, RECORD)
 
 
