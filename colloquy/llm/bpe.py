@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by distinct words.
 
-Pre-tokens ("words") are counted over all texts. The most frequent ones, WORDS at most and none longer than
-WORD_BYTES, are encoded once and broadcast with their ids. Every other word is shuffled with the ids of the documents it
+Pre-tokens ("words") are counted over all texts. The most frequent ones, WORDS at most, are
+encoded once and broadcast with their ids, long ones under a digest. Every other word is shuffled with the ids of the documents it
 stands in, is encoded once where its rows meet, and its ids are joined back to those documents. Meanwhile each
 text travels as the positions' word numbers, so that the ids can be put together in order; a word
 that isn't among the frequent ones has the number 0 and is looked up among the document's own. What the counting keeps
@@ -25,17 +25,12 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import saved
 
-WORDS, WORD_BYTES, MEMO, HELD, BATCH = 1 << 19, 32, 400_000, 1_000_000, 4 << 20
+WORDS, WORD_CHARS, MEMO, HELD, BATCH = 1 << 19, 16, 400_000, 1_000_000, 4 << 20
 
 
-def _split(text: str, find, after: tokens.Memo) -> list[str]:
-    """The matches of the pattern in a text, in order."""
-    if (cut := tokens.pieces(text)) is None:
-        return find(text)
-    out = find(cut[0])
-    for x in map(after.__getitem__, cut[1]):
-        out += x
-    return out
+def word_key(word: str) -> str:
+    """A key of bounded length: short words themselves, others a digest that is longer than any of those."""
+    return word if len(word) <= WORD_CHARS else "\0" + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
 def count_words(docs: DataFrame, least: int) -> DataFrame:
@@ -70,8 +65,8 @@ def count_words(docs: DataFrame, least: int) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, words: int) -> list[tuple[str, bytes]]:
-    """(word, its ids as 32-bit numbers) of the most frequent words, most frequent first: words at most, each of WORD_BYTES at most."""
-    counts = saved(count_words(docs, 2).where(F.octet_length("word") <= WORD_BYTES), "words")
+    """(word_key(word), its ids as 32-bit numbers) of the most frequent words, most frequent first: words at most. Words of over WORD_CHARS are given by their keys."""
+    counts = saved(count_words(docs, 2), "words")
     # a threshold that no more than that many words reach, from how many words have each count (in steps of an eighth of a power of two)
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()  # 512 rows at most
@@ -91,7 +86,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int) -> list[tuple[s
 
     top = counts.where(step >= least).mapInArrow(run, "word string, n long, ids binary").toArrow()
     rows = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), top["ids"].to_pylist()), key=lambda r: (-r[1], r[0]))
-    return [(w, ids) for w, _, ids in rows]
+    return [(word_key(w), ids) for w, _, ids in rows]
 
 
 def _varint(n: int) -> bytes:
@@ -153,7 +148,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, word): each word of a text that isn't frequent, once."""
         find, known = tokens.matches(), number()
-        unknown = lambda found: tuple({w for w in found if w not in known})
+        unknown = lambda found: tuple({w for w in found if w not in known and word_key(w) not in known})
         after = tokens.Memo(lambda x: unknown(find(" " + x)), MEMO)
 
         def rows() -> Iterator[tuple]:
@@ -184,7 +179,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         find, known = tokens.matches(), number()
 
         def coded(found: list[str]) -> tuple[bytes, list[str]]:
-            return b"".join(_varint(known.get(w, 0)) for w in found), [w for w in found if w not in known]
+            numbers = [known.get(w if len(w) <= WORD_CHARS else word_key(w), 0) for w in found]
+            return b"".join(map(_varint, numbers)), [w for w, n in zip(found, numbers) if not n]
 
         after = tokens.Memo(lambda x: coded(find(" " + x)), MEMO)
 

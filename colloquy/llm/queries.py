@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lengths, mixing, simhash, tokens, ts_media, warc_index
+from . import bpe, exact_dedup, langid, lattice_lm, lengths, mixing, simhash, tokens, toxicity, ts_media, warc_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,15 @@ def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.length_histogram(table(spark, sf_dir, "documents"), tokens.default_vocabulary()))
 
 
+def op5_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), lattice_lm.default_pieces()).withColumnRenamed("id", "doc_id")
+
+
+def op6_toxicity_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -42,11 +51,16 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"), repetition=2.0).withColumnRenamed("id", "doc_id")
 
 
+def op9_language_id_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokens.default_vocabulary()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_transport_stream_media, op3_simhash_gray_index, op4_token_length_histogram, op7_exact_dedup_heavy_hitters, op8_temperature_mixing, op10_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_transport_stream_media, op3_simhash_gray_index, op4_token_length_histogram, op5_subword_lattice_likelihood, op6_toxicity_subword_softmax,
+                                     op7_exact_dedup_heavy_hitters, op8_temperature_mixing, op9_language_id_subword_softmax, op10_byte_level_bpe)}
 
 ORACLE_SQL = {
     "op7_exact_dedup_heavy_hitters": """
