@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import tokens
+from .common import saved
 
-SPAN, MEMO = 1024, 400_000
+SPAN, MEMO = 128, 400_000
 
 
 def token_count_udf(vocabulary: str):
@@ -27,7 +28,7 @@ def token_count_udf(vocabulary: str):
         find, encode = tokens.matches(), tokens.encoder(vocabulary)
         size = tokens.Memo(lambda w: len(encode(w.encode("utf-8", "replace"))), MEMO)
         whole = lambda t: sum(size[w] for w in find(t))
-        after = tokens.Memo(lambda x: whole(" " + x), MEMO)
+        after = tokens.Memo(lambda x: sum(map(size.__getitem__, tokens.words_after_space(x))), MEMO)
 
         def of(text: str | None) -> int:
             if not text:
@@ -43,9 +44,9 @@ def token_count_udf(vocabulary: str):
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """(n_tokens, docs): how many documents have each encoded length."""
+    """(n_tokens, docs): how many documents have each encoded length. It is written out, so that texts are encoded once."""
     sizes = docs.select(token_count_udf(vocabulary)(F.col(text_col).cast("string")).alias("n_tokens"))
-    return sizes.groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    return saved(sizes.groupBy("n_tokens").agg(F.count("*").alias("docs")), "lengths")
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:

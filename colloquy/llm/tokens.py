@@ -9,12 +9,18 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The pattern of the public rank files: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPACES = regex.compile(r"\s \s?| \s|^ | $")
+_OTHER = re.compile(r"[^\S \n]").search
+_BESIDE = regex.compile(r"\s | \s").search
 
 
 def default_vocabulary() -> str:
@@ -39,6 +45,10 @@ def encoder(path: str):
     return own._encode_single_piece
 
 
+#: What a Python worker keeps of a run, by the run.
+kept: tuple[str, tuple] = ("", ())
+
+
 @functools.lru_cache(1)
 def matches():
     return regex.compile(PATTERN).findall
@@ -60,7 +70,48 @@ class Memo(dict):
 
 def pieces(text: str) -> tuple[str, list[str]] | None:
     """The first piece, and the others without their leading space; None where such a cut could change the matches of PATTERN."""
-    if _SPACES.search(text):
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or (_OTHER(text) and _BESIDE(text)):
         return None
     first, *rest = text.split(" ")
     return first, rest
+
+
+def words_after_space(piece: str) -> list[str]:
+    """The matches of PATTERN in a space and a piece. Plain words, alone or with one mark behind them, need no search."""
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[-1:] in _MARKS and piece[:-1].isalpha():
+        return [" " + piece[:-1], piece[-1]]
+    return matches()(" " + piece)
+
+
+_MARKS = frozenset(".,;:!?")
+
+
+#: White space other than space and newline, as a class for RE2. Some of it may not count for PATTERN; it only sends a text the slow way.
+_BLANK = "[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def plain(texts: pa.Array) -> np.ndarray:
+    """Which texts pieces() cuts, for all at once."""
+    odd = [pc.match_substring(texts, x) for x in ("  ", "\n ", " \n")] + [pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring_regex(texts, f"{_BLANK} | {_BLANK}")]
+    return ~functools.reduce(pc.or_, odd).to_numpy(zero_copy_only=False)
+
+
+def cut_all(texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
+    """pieces() of plain texts at once: the first pieces, all pieces in one array, and where each text's begin in it (with the end)."""
+    lists = pc.split_pattern(texts, " ")
+    begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    flat = lists.flatten()
+    return flat.take(pa.array(begins[:-1])).to_pylist(), flat, begins.astype(np.int64)
+
+
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have about size bytes."""
+    n = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(n):
+        end = int(np.searchsorted(n, (n[at - 1] if at else 0) + size, "right"))
+        end = min(max(end, at + 1), len(n))
+        yield batch.slice(at, end - at)
+        at = end
