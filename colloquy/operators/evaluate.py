@@ -118,3 +118,17 @@ def rare_tokens_dropped(toks: DataFrame, share: float) -> DataFrame:
     kept = toks.withColumn("r", F.row_number().over(order)).withColumn("drop", drop)
     left = F.filter(F.array_sort(F.collect_list(F.struct("pos", "term", (F.col("r") > F.col("drop")).alias("keep")))), lambda x: x.keep)
     return kept.groupBy("rid").agg(F.array_join(F.transform(left, lambda x: x.term), " ").alias("kept"))
+
+
+def proportional_sample(rows: DataFrame, stratum: str, key: str, take: int, seed: int = 7) -> DataFrame:
+    """Of each stratum its share of take rows (the feature's own limit), rounded, one at least, in a hashed order."""
+    mixed = (F.col(key) * F.lit(48271) + F.lit(seed)) % F.lit(2147483647)
+    own, every = F.count("*").over(Window.partitionBy(stratum)), rows.agg(F.count("*").alias("all_rows"))
+    placed = rows.join(F.broadcast(every), F.lit(True)).withColumn("quota", F.greatest(F.lit(1), F.round(own * take / F.col("all_rows"))))
+    placed = placed.withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy(mixed, key)))
+    return placed.where(F.col("r") <= F.col("quota")).drop("quota", "r", "all_rows")
+
+
+def by_turn(messages: DataFrame) -> DataFrame:
+    """(qid, conv, turn, text): each prefix of a conversation as a question of its own, for controls that see as much as the agent did."""
+    return prefixes(messages).select((F.col("conv") * 100 + F.col("turn")).alias("qid"), "conv", "turn", F.col("transcript").alias("text"))

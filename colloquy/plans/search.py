@@ -238,7 +238,7 @@ def GRAMS(x: str) -> str:  # noqa: N802
     return f"list_distinct(list_transform(range(1, len({x}) + 1), lambda i: substr('$' || {x} || '$', i, 3)))"
 
 
-TYPOS = f"""words AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4, 1) || substr(term, 3, 1) || substr(term, 5) AS word FROM terms WHERE len(term) >= 6 AND regexp_matches(term, '^[a-z]+$') AND df % 31 = 3),
+TYPOS = f"""words AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4, 1) || substr(term, 3, 1) || substr(term, 5) AS word FROM terms WHERE len(term) >= 6 AND regexp_matches(term, '^[a-z]+$') AND df % 31 = 5),
  pool AS (SELECT term, df FROM terms WHERE regexp_matches(term, '^[a-z]+$') AND len(term) >= 4 AND df >= 3),
  pg AS (SELECT term, df, unnest({GRAMS('term')}) AS gram FROM pool), wg AS (SELECT word, unnest({GRAMS('word')}) AS gram FROM words),
  shared AS (SELECT word, term, df, count(*) AS shared FROM wg JOIN pg USING (gram) GROUP BY ALL),
@@ -249,7 +249,7 @@ def typos(terms: DataFrame) -> DataFrame:
     """Words with two letters swapped, from terms of some document frequencies: a fixture that both engines make alike."""
     t = F.col("term")
     swapped = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, 3, 1), F.expr("substring(term, 5)"))
-    return terms.where((F.length("term") >= 6) & t.rlike("^[a-z]+$") & (F.col("df") % 31 == 3)).select(swapped.alias("word")).distinct()
+    return terms.where((F.length("term") >= 6) & t.rlike("^[a-z]+$") & (F.col("df") % 31 == 5)).select(swapped.alias("word")).distinct()
 
 
 @query(f"WITH {INDEX}, {TYPOS} SELECT * FROM cands")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -17,7 +18,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="colloquy-"))
         at = _own[0]
-    return f"{at.rstrip('/')}/colloquy/{label}-{uuid.uuid4().hex}"
+    _paths.append(f"{at.rstrip('/')}/colloquy/{label}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all scratch of this process, once no DataFrame needs it any more. Returns how many paths there were."""
+    n = len(_paths)
+    while _paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
