@@ -24,6 +24,7 @@ class Model:
     classes: list
     bits: int
     sizes: tuple[int, ...] = SIZES
+    least: int = 1  # a window with fewer n-grams is filled up with empty ones
     heat: float = 1.0  # divides the logits: fitted on rows that training has not seen
 
 
@@ -34,8 +35,11 @@ def clean(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _LOW[raw], np.concatenate(([0], ends))
 
 
-def grams(low: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each size the places and buckets (of 2 ** bits) of the n-grams that don't go over a word's end (a space may be first or last)."""
+def grams(low: np.ndarray, sizes: tuple[int, ...], bits: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the places and buckets (of 2 ** bits) of the n-grams that don't go over a word's end (a space may be first or last).
+
+    Those that begin where skip is true are left out.
+    """
     n, space = len(low), low == 32
     out, h, done = [], low.astype(np.uint64), 1
     letters = h + np.uint64(1)
@@ -54,6 +58,8 @@ def grams(low: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[tuple[np.n
         free = ~barred
         if size == 2:
             free &= ~(space[:-1] & space[1:])
+        if skip is not None:
+            free &= ~skip[: len(free)]
         at = np.flatnonzero(free)
         x = h[at]
         x ^= x >> np.uint64(31)
@@ -63,7 +69,10 @@ def grams(low: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[tuple[np.n
 
 
 def windows(low: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where each window begins, its text): runs of so many words; 0 makes each text one window. A window has a word at least, but for texts without any."""
+    """(where each window begins, its text): runs of so many words; 0 makes each text one window.
+
+    What is left at a text's end goes to its last window, so only texts of fewer words have shorter ones.
+    """
     n_text = len(starts) - 1
     if not words:
         return starts[:-1], np.arange(n_text)
@@ -71,25 +80,45 @@ def windows(low: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray
     text = np.searchsorted(starts, begin, "right") - 1
     first = np.searchsorted(begin, starts[:-1])
     nth = np.arange(len(begin)) - first[text]
-    keep = nth % words == 0
-    has = np.bincount(text, minlength=n_text) > 0
+    count = np.bincount(text, minlength=n_text)
+    keep = (nth % words == 0) & ((nth == 0) | (count[text] - nth >= words))
+    has = count > 0
     at = np.concatenate((begin[keep], starts[:-1][~has]))
     of = np.concatenate((text[keep], np.flatnonzero(~has)))
     order = np.argsort(at, kind="stable")
     return at[order], of[order]
 
 
-def window_logits(model: Model, low: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def repeats(low: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a word (with the space before it) that its window has had before."""
+    words = np.flatnonzero((low[1:] != 32) & (low[:-1] == 32))
+    if not len(words):
+        return np.zeros(len(low), bool)
+    span = np.diff(words, append=len(low))
+    place = np.arange(words[0], len(low)) - np.repeat(words, span)
+    power = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+    letters = np.where(low[words[0] :] == 32, 0, low[words[0] :]).astype(np.uint64)
+    value = np.add.reduceat(letters * power[place % 256], words - words[0])
+    window = np.searchsorted(begins, words, "right").astype(np.uint64)
+    _, first = np.unique(value ^ (window * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+    again = np.ones(len(words), bool)
+    again[first] = False
+    out = np.zeros(len(low), bool)
+    out[words[0] :] = np.repeat(again, span)
+    return out
+
+
+def window_logits(model: Model, low: np.ndarray, begins: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
     """Mean class scores of each window's n-grams, with the bias; a window without n-grams has the bias alone."""
     k = model.table.shape[1]
     sums, count = np.zeros((k, len(low))), np.zeros(len(low), np.int32)
     columns = np.ascontiguousarray(model.table.T)
     used = [c for c in range(k) if columns[c].any()]
-    for at, bucket in grams(low, model.sizes, model.bits):
+    for at, bucket in grams(low, model.sizes, model.bits, skip):
         count[at] += 1
         for c in used:
             sums[c][at] += columns[c][bucket]
-    n = np.maximum(np.add.reduceat(count, begins), 1)
+    n = np.maximum(np.add.reduceat(count, begins), model.least)
     return (np.stack([np.add.reduceat(x, begins) / n for x in sums], axis=1) + model.bias) / model.heat
 
 
@@ -114,16 +143,16 @@ def chunks(texts: list[bytes], size: int = 1 << 18):
 class Trainer:
     """Embeddings (2 ** bits x width) and softmax weights (width x classes), trained together with AdaGrad steps."""
 
-    def __init__(self, classes: list, bits: int, width: int, sizes: tuple[int, ...], seed: int, rate: float):
+    def __init__(self, classes: list, bits: int, width: int, sizes: tuple[int, ...], seed: int, rate: float, least: int = 1):
         rng = np.random.default_rng(seed)
         self.e = rng.uniform(-1, 1, (1 << bits, width)).astype(np.float32) / width
         self.w = rng.normal(0, 0.5, (width, len(classes))).astype(np.float32)
         self.b = np.zeros(len(classes), np.float32)
         self.ge, self.gw, self.gb = np.full(1 << bits, 1e-6, np.float32), np.full_like(self.w, 1e-6), np.full_like(self.b, 1e-6)
-        self.classes, self.bits, self.sizes, self.rate, self.rng = classes, bits, sizes, rate, rng
+        self.classes, self.bits, self.sizes, self.rate, self.least, self.rng = classes, bits, sizes, rate, least, rng
 
     def model(self) -> Model:
-        return Model((self.e @ self.w).astype(float), self.b.astype(float), self.classes, self.bits, self.sizes)
+        return Model((self.e @ self.w).astype(float), self.b.astype(float), self.classes, self.bits, self.sizes, self.least)
 
     def step(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
         """One step on a batch: the buckets of each window, its class, its weight."""
@@ -132,7 +161,7 @@ class Trainer:
             return
         f = np.concatenate(bags)
         owner = np.repeat(np.arange(len(bags)), size)
-        share = (1.0 / np.maximum(size, 1)).astype(np.float32)
+        share = (1.0 / np.maximum(size, self.least)).astype(np.float32)
         at = np.concatenate(([0], np.cumsum(size)[:-1]))
         h = np.add.reduceat(np.vstack([self.e[f], np.zeros((1, self.e.shape[1]), np.float32)]), np.minimum(at, len(f)), axis=0) * (share * (size > 0))[:, None]
         p = softmax(h @ self.w + self.b)
@@ -152,12 +181,12 @@ class Trainer:
         self.e[u] -= self.rate * g / np.sqrt(self.ge[u])[:, None]
 
 
-def window_bags(low: np.ndarray, begins: np.ndarray, sizes: tuple[int, ...], bits: int, chosen: np.ndarray) -> list[np.ndarray]:
+def window_bags(low: np.ndarray, begins: np.ndarray, sizes: tuple[int, ...], bits: int, chosen: np.ndarray, skip: np.ndarray | None = None) -> list[np.ndarray]:
     """The buckets of each chosen window (a sorted list of window numbers)."""
     parts, owner, number = [], [], np.zeros(len(low), np.int64)
     number[begins[1:]] = 1
     number = np.cumsum(number)
-    for at, bucket in grams(low, sizes, bits):
+    for at, bucket in grams(low, sizes, bits, skip):
         w = number[at]
         j = np.searchsorted(chosen, w)
         hit = (j < len(chosen)) & (chosen[np.minimum(j, len(chosen) - 1)] == w)

@@ -1,7 +1,9 @@
 """Toxicity of whole texts by subword-bag embeddings averaged into a linear softmax.
 
-The text is read in windows of WORDS words; each window's mean embedding goes through the softmax, and the text's score
-is that of its worst window, so a few words in a long text are not averaged away. Training knows labels of whole texts
+The text is read in windows of WORDS words (up to twice as many at its end), each word counted once in a window; each
+window's mean embedding goes through the softmax, and the text's score is that of its worst window, so a few words in a
+long text are not averaged away, and a word that is repeated all over does not add up; windows with fewer than LEAST n-grams
+are averaged as if they had so many. Training knows labels of whole texts
 only: it starts from random windows and goes on with the windows that the model so far finds worst in each text.
 """
 
@@ -18,9 +20,9 @@ from pyspark.sql.functions import pandas_udf
 from . import subword
 from .common import crc_mod
 
-WORDS, BITS, SIZES, WIDTH, ROUNDS, WARM, RATE, BATCH = 12, 18, (3, 4, 5), 8, 12, 3, 0.25, 256
+WORDS, LEAST, BITS, SIZES, WIDTH, ROUNDS, WARM, RATE, BATCH = 12, 48, 18, (3, 4, 5), 8, 12, 3, 0.25, 256
 #: Bounds of the sample that training sees: rows of each label, and bytes of one text and of all.
-ROWS_PER_LABEL, TEXT_BYTES, SAMPLE_BYTES = 3000, 200_000, 48 << 20
+ROWS_PER_LABEL, TEXT_BYTES, SAMPLE_BYTES = 2000, 200_000, 32 << 20
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
 
@@ -30,8 +32,11 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     Texts of over TEXT_BYTES are left out of the sample. Rows without a label are none.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).dropDuplicates(["__id"])
-    pick = Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id")
-    few = known.withColumn("__n", F.row_number().over(pick)).where(F.col("__n") <= rows).drop("__n")
+    # only the smallest hashes go on, about twice as many as are wanted, so that a label's rows don't meet in one task
+    sizes = known.groupBy("__label").agg(F.count("*").alias("__size"))
+    near = known.join(F.broadcast(sizes), "__label").where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.lit(1 << 30) * F.lit(2.0 * rows + 100) / F.col("__size"))
+    pick = Window.partitionBy("__label").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id")
+    few = near.withColumn("__n", F.row_number().over(pick)).where(F.col("__n") <= rows).select("__id", "__label")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # the sample's ids are rows * labels at most: bounded, so broadcast
     own = docs.select(F.col(id_col).alias("__doc"), text.alias("__text")).where(F.octet_length("__text") <= TEXT_BYTES)
@@ -47,27 +52,32 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> subword.Model:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return subword.Model(np.zeros((2, 2)), np.array([0.0, 40.0 if share else -40.0]), [0, 1], 1)
-    t = subword.Trainer([0, 1], BITS, WIDTH, SIZES, seed, RATE)
+    # every fifth text is kept from training, to fit the heat of the scores
+    test, fit_on = [i for i in range(len(texts)) if i % 5 == 4], [i for i in range(len(texts)) if i % 5 < 4]
+    unseen, texts, y_test, y = [texts[i] for i in test], [texts[i] for i in fit_on], y[test], y[fit_on]
+    t = subword.Trainer([0, 1], BITS, WIDTH, SIZES, seed, RATE, LEAST)
     parts = []
     for first, held in subword.chunks(texts):
         low, starts = subword.clean(held)
         begins, of = subword.windows(low, starts, WORDS)
-        parts.append((first, low, begins, of))
+        parts.append((first, low, begins, of, subword.repeats(low, begins)))
     for k in range(ROUNDS):
         model, bags, ys = t.model(), [], []
-        for first, low, begins, of in parts:
+        for first, low, begins, of, skip in parts:
             if k < WARM:
                 worth = t.rng.random(len(begins))
             else:
-                x = subword.window_logits(model, low, begins)
+                x = subword.window_logits(model, low, begins, skip)
                 worth = x[:, 1] - x[:, 0]
             order = np.lexsort((-worth, of))
             rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
             label = y[first + of[order]]
             chosen = np.sort(order[(rank < 1) | ((rank < 3) & (label == 0)) | ((k < WARM) & (rank < 4))])
-            bags += subword.window_bags(low, begins, t.sizes, t.bits, chosen)
+            bags += subword.window_bags(low, begins, t.sizes, t.bits, chosen, skip)
             ys.append(y[first + of[chosen]])
-        ys = np.concatenate(ys)
+        nothing = max(8, len(bags) // 10)  # windows without n-grams are clean
+        bags += [np.zeros(0, np.int64)] * nothing
+        ys = np.concatenate([*ys, np.zeros(nothing, np.int64)])
         weight = np.where(ys == 1, 0.5 / max((ys == 1).sum(), 1), 0.5 / max((ys == 0).sum(), 1)) * len(ys)
         for i in np.array_split(t.rng.permutation(len(bags)), -(-len(bags) // BATCH)):
             t.step([bags[j] for j in i], ys[i], weight[i])
@@ -75,6 +85,9 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> subword.Model:
     for x in (model.table, model.bias):  # only the difference counts
         x[..., 1] -= x[..., 0]
         x[..., 0] = 0
+    if len(unseen):
+        p = np.clip(scores(model, unseen), 1e-12, 1 - 1e-12)
+        model.heat = subword.fit_heat(np.stack([np.zeros(len(p)), np.log(p / (1 - p))], axis=1), y_test)
     return model
 
 
@@ -84,7 +97,7 @@ def scores(model: subword.Model, texts: list[bytes]) -> np.ndarray:
     for first, held in subword.chunks(texts):
         low, starts = subword.clean(held)
         begins, of = subword.windows(low, starts, WORDS)
-        p = subword.softmax(subword.window_logits(model, low, begins))[:, 1]
+        p = subword.softmax(subword.window_logits(model, low, begins, subword.repeats(low, begins)))[:, 1]
         np.maximum.at(out, first + of, p)
     return out
 
