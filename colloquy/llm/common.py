@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own: list[str] = []
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/colloquy/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; release() removes it."""
+    _paths.append(f"{shared_dir(spark)}/colloquy/{label}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -35,8 +37,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes all scratch of this process, once no DataFrame needs it any more. Returns how many paths there were."""
+    n = len(_paths)
+    while _paths:
+        drop_path(spark, _paths.pop())
+    return n
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path that no DataFrame needs any more."""
+    """Removes a path in any file system that Spark knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
