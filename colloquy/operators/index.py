@@ -20,11 +20,19 @@ class Index:
     size: DataFrame
 
 
-def build_index(docs: DataFrame, population: DataFrame | None = None) -> Index:
-    """The index of docs(doc, text). population: one row (n) if documents without text count too (a partial second corpus)."""
+def build_index(docs: DataFrame, population: DataFrame | None = None, wanted: DataFrame | None = None) -> Index:
+    """The index of docs(doc, text).
+
+    population: one row (n) if documents without text count too (a partial second corpus). wanted(term): the only
+    terms that will be looked up; the others are dropped where texts are read, before anything is shuffled, and
+    the statistics of the wanted ones stay exact.
+    """
     toks = docs.select("doc", T.tokens(F.col("text")).alias("toks"))
     lengths = toks.select("doc", F.size("toks").cast("long").alias("dl"))
-    tf = toks.select("doc", F.explode("toks").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    postings = toks.select("doc", F.explode("toks").alias("term"))
+    if wanted is not None:
+        postings = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    tf = postings.groupBy("doc", "term").agg(F.count("*").alias("tf"))
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if population is not None:
         size = size.drop("n").join(F.broadcast(population), F.lit(True))

@@ -284,7 +284,8 @@ SHOWN = f"shown AS (SELECT qid AS sample_id, 1 + (rnk - 1) // 10 AS turn, doc, (
  SELECT t.sample_id, f.turn IS NOT NULL AS hit, f.turn AS first_hit_turn, s.rnk AS best_rank, round(coalesce(1.0 / s.rnk, 0), 6) AS reciprocal_rank FROM targets t LEFT JOIN f USING (sample_id) LEFT JOIN shown s ON s.sample_id = t.sample_id AND s.turn = f.turn AND s.doc = t.target WHERE t.target IS NOT NULL""")
 def first_hit_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Each ranking dealt to turns of ten; the target is the document at some place of it."""
-    ranked = retrieval.bm25(passages(spark, folder), indexed(spark, folder), 45)
+    asked = passages(spark, folder)
+    ranked = retrieval.bm25(asked, indexed(spark, folder, asked), 45)
     shown = ranked.where("rnk <= 40").select(F.col("qid").alias("sample_id"), (F.expr("(rnk - 1) div 10") + 1).alias("turn"), "doc", ((F.col("rnk") - 1) % 10 + 1).alias("rnk"))
     targets = ranked.where("rnk = 1 + qid % 45").select(F.col("qid").alias("sample_id"), F.col("doc").alias("target"))
     return evaluate.first_hits(shown, targets).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))

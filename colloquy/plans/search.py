@@ -48,8 +48,9 @@ def passages(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def indexed(spark: SparkSession, folder: str) -> index.Index:
-    return index.build_index(documents(spark, folder))
+def indexed(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> index.Index:
+    """The index of all documents, or of what asked(qid, text) needs of it."""
+    return index.build_index(documents(spark, folder), wanted=None if asked is None else retrieval.query_terms(asked))
 
 
 def shown(rows: DataFrame, *names: str) -> DataFrame:
@@ -98,13 +99,14 @@ def phrase_df_rarest_first(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {INDEX} SELECT qid, doc, round(score, 6) AS score, rnk FROM {TOP(SCORED('qterms'), 10)}")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(retrieval.bm25(passages(spark, folder), indexed(spark, folder)), "qid", "doc", "score", "rnk")
+    asked = passages(spark, folder)
+    return shown(retrieval.bm25(asked, indexed(spark, folder, asked)), "qid", "doc", "score", "rnk")
 
 
 @query(f"WITH {INDEX}, weighted AS (SELECT qid, term, 1.0 / len(term) - 0.1 AS weight FROM qterms) SELECT qid, doc, round(score, 6) AS score, rnk FROM {TOP(SCORED('weighted'), 10)}")
 def bm25_weighted_terms(spark: SparkSession, folder: str) -> DataFrame:
     terms = retrieval.query_terms(passages(spark, folder)).withColumn("weight", F.lit(1.0) / F.length("term") - F.lit(0.1))
-    return shown(retrieval.top(retrieval.score_terms(terms, indexed(spark, folder)), 10), "qid", "doc", "score", "rnk")
+    return shown(retrieval.top(retrieval.score_terms(terms, indexed(spark, folder, passages(spark, folder))), 10), "qid", "doc", "score", "rnk")
 
 
 RM3 = f"""first AS (SELECT * FROM {TOP(SCORED('qterms'), 10)}),
@@ -161,8 +163,8 @@ def bm25_doc2query_fused(spark: SparkSession, folder: str) -> DataFrame:
     """A second corpus stands in for generated questions (the first words of two thirds of the documents); its N is that of all documents."""
     docs, asked = documents(spark, folder), passages(spark, folder)
     second = titles_of(docs.where("doc % 3 <> 0"), 12).withColumnRenamed("title", "text")
-    ix2 = index.build_index(second, docs.agg(F.count("*").alias("n")))
-    fused = retrieval.reciprocal_rank_fusion([(retrieval.bm25(asked, index.build_index(docs), 200), 0.5), (retrieval.bm25(asked, ix2, 200), 0.5)])
+    ix2 = index.build_index(second, docs.agg(F.count("*").alias("n")), retrieval.query_terms(asked))
+    fused = retrieval.reciprocal_rank_fusion([(retrieval.bm25(asked, indexed(spark, folder, asked), 200), 0.5), (retrieval.bm25(asked, ix2, 200), 0.5)])
     return shown(fused, "qid", "doc", "score", "rnk")
 
 
@@ -230,7 +232,7 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """Lexical and dense rankings of one question fused; question q has the vector 20 q."""
     asked, v = passages(spark, folder), vectors(spark, folder)
     own = v.where("doc % 20 = 0").select(F.expr("doc div 20").alias("qid"), "vector").join(asked.select("qid"), "qid", "left_semi")
-    fused = retrieval.reciprocal_rank_fusion([(retrieval.bm25(asked, indexed(spark, folder), 200), 0.7), (retrieval.cosine(own, v, 200), 0.3)])
+    fused = retrieval.reciprocal_rank_fusion([(retrieval.bm25(asked, indexed(spark, folder, asked), 200), 0.7), (retrieval.cosine(own, v, 200), 0.3)])
     return shown(fused, "qid", "doc", "score", "rnk")
 
 
@@ -340,7 +342,8 @@ def doc_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {INDEX}, {VOTE(40)} SELECT qid, key, round(confidence, 6) AS confidence FROM vote")
 def category_resolve_vote(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = retrieval.bm25(passages(spark, folder), indexed(spark, folder), 40)
+    asked = passages(spark, folder)
+    ranked = retrieval.bm25(asked, indexed(spark, folder, asked), 40)
     return shown(category.by_vote(ranked, doc_categories(spark, folder)), "qid", "key", "confidence")
 
 
@@ -348,7 +351,8 @@ def category_resolve_vote(spark: SparkSession, folder: str) -> DataFrame:
  SELECT coalesce(a.qid, b.qid) AS qid, CASE WHEN a.confidence IS NOT NULL AND (b.confidence IS NULL OR round(a.confidence, 9) >= round(b.confidence, 9)) THEN a.key ELSE b.key END AS key, round(greatest(a.confidence, b.confidence), 6) AS confidence FROM a FULL JOIN b ON a.qid = b.qid""")
 def category_resolve_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """The more confident of two votes, one over the best 40 and one over the best 5."""
-    asked, ix, c = passages(spark, folder), indexed(spark, folder), doc_categories(spark, folder)
+    asked, c = passages(spark, folder), doc_categories(spark, folder)
+    ix = indexed(spark, folder, asked)
     return shown(category.by_ensemble(category.by_vote(retrieval.bm25(asked, ix, 40), c), category.by_vote(retrieval.bm25(asked, ix, 5), c)), "qid", "key", "confidence")
 
 
@@ -403,8 +407,8 @@ def slots_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def covered_slots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    ix = indexed(spark, folder)
     slots = slots_of(spark, folder)
+    ix = index.build_index(documents(spark, folder), wanted=slots)
     return ranking.coverage(slots, ix.tf.select("doc", "term"), ix.terms, ix.size), slots
 
 
@@ -425,7 +429,7 @@ def conjunctive_rows(spark: SparkSession, folder: str) -> DataFrame:
     covered, slots = covered_slots(spark, folder)
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source")
     own = passages(spark, folder).select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source")).join(docs, "source").select("qid", "doc")
-    seen = retrieval.bm25(passages(spark, folder), indexed(spark, folder), 3)
+    seen = retrieval.bm25(passages(spark, folder), indexed(spark, folder, passages(spark, folder)), 3)
     return ranking.conjunctive(covered, slots, in_category=own, shown=seen)
 
 
@@ -474,13 +478,14 @@ def head_phrase_card_rescore(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {INDEX}, r AS (SELECT * FROM {TOP(SCORED('qterms'), 10)}) SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY (rnk % 3 = 1)::INT, rnk) AS rnk FROM r""")
 def shown_demotion(spark: SparkSession, folder: str) -> DataFrame:
     """Every third result counts as shown before."""
-    ranked = retrieval.bm25(passages(spark, folder), indexed(spark, folder), 10)
+    asked = passages(spark, folder)
+    ranked = retrieval.bm25(asked, indexed(spark, folder, asked), 10)
     return ranking.shown_last(ranked, ranked.where("rnk % 3 = 1")).select("qid", "doc", "rnk")
 
 
 def bm25_heads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = documents(spark, folder)
-    return retrieval.bm25(passages(spark, folder), index.build_index(docs), 40).withColumnRenamed("score", "total"), titles_of(docs, 8)
+    asked = passages(spark, folder)
+    return retrieval.bm25(asked, indexed(spark, folder, asked), 40).withColumnRenamed("score", "total"), titles_of(documents(spark, folder), 8)
 
 
 JACCARD = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
@@ -513,5 +518,5 @@ def cluster_roundrobin(spark: SparkSession, folder: str) -> DataFrame:
  UNION ALL SELECT qid, doc, rnk, 'prose' FROM {TOP(SCORED('qterms'), 10)} WHERE qid NOT IN (SELECT qid FROM satisfied WHERE satisfied > 0)""")
 def retrieval_auto_mode(spark: SparkSession, folder: str) -> DataFrame:
     rows = conjunctive_rows(spark, folder)
-    prose = retrieval.bm25(passages(spark, folder), indexed(spark, folder), 10)
+    prose = retrieval.bm25(passages(spark, folder), indexed(spark, folder, passages(spark, folder)), 10)
     return ranking.by_mode(retrieval.top(rows, 10, "total"), prose, rows.select("qid", "satisfied"))
