@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,59 +61,59 @@ class Lattice:
     def __init__(self, weights: dict[bytes, float]):
         self.weights = weights
         self.longest = max(map(len, weights))
-        self.starts = {p[:k] for p in weights for k in range(1, len(p))}
+        # beginnings of pieces that are no pieces have probability 0, so that one look-up says whether to go on
+        self.begun = dict.fromkeys((p[:k] for p in weights for k in range(1, len(p))), 0.0) | weights
 
-    def forward(self, word: bytes) -> tuple[list[float], list[float], list[list[tuple[int, bytes, float]]]]:
-        """(alpha, log scale, arcs): the sum to position i is alpha[i] * exp(scale[i]); scales keep long words from underflow."""
-        n, get, starts = len(word), self.weights.get, self.starts
+    def forward(self, word: bytes, arcs: list | None = None) -> tuple[list[float], list[float]]:
+        """(alpha, scale): the sum to position i is alpha[i] * exp(scale[i]); scales keep long words from underflow. arcs gets (end, piece, p) by start."""
+        n, get, longest = len(word), self.begun.get, self.longest
         alpha, scale = [0.0] * (n + 1), [0.0] * (n + 1)
         alpha[0] = 1.0
-        arcs: list[list[tuple[int, bytes, float]]] = []
         shift = 0.0
         for i in range(n):
-            here = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                s = word[i:j]
-                if (p := get(s)) is not None:
-                    here.append((j, s, p))
-                elif s not in starts:
-                    break
-            arcs.append(here)
-        a = alpha
-        # all alphas that are still to be added to share one scale; it moves on with the position
-        for i in range(n):
-            x = a[i]
-            if x and x < 1e-200:
+            x = alpha[i]
+            if x < 1e-200:
+                # all alphas that are still to be added to share one scale; it moves on with the position
                 up = 1.0 / x
                 shift -= math.log(up)
-                for k in range(i, min(n, i + self.longest) + 1):
-                    a[k] *= up
+                for k in range(i, min(n, i + longest) + 1):
+                    alpha[k] *= up
                 x = 1.0
             scale[i] = shift
-            for j, _, p in arcs[i]:
-                a[j] += x * p
+            here = []
+            for j in range(i + 1, n + 1):
+                s = word[i:j]
+                p = get(s)
+                if p is None:
+                    break
+                if p:
+                    alpha[j] += x * p
+                    if arcs is not None:
+                        here.append((j, s, p))
+            if arcs is not None:
+                arcs.append(here)
         scale[n] = shift
-        return a, scale, arcs
+        return alpha, scale
 
     def log_probability(self, word: bytes) -> float:
-        a, scale, _ = self.forward(word)
+        a, scale = self.forward(word)
         return math.log(a[-1]) + scale[-1]
 
-    def expected(self, word: bytes, count: float, into: dict[bytes, float]) -> None:
+    def expected(self, word: bytes, count: float, into: defaultdict[bytes, float]) -> None:
         """Adds count times the expected uses of each piece in the word to into."""
-        a, scale, arcs = self.forward(word)
-        n = len(word)
+        arcs: list[list[tuple[int, bytes, float]]] = []
+        a, scale = self.forward(word, arcs)
+        n, plain = len(word), not scale[-1]
         beta = [0.0] * (n + 1)  # relative to the scale of alpha at the same place, and to the whole sum
         beta[n] = 1.0 / a[n]
         for i in range(n - 1, -1, -1):
-            b, x, s = 0.0, a[i], scale[i]
+            b, x, s = 0.0, count * a[i], scale[i]
             for j, piece, p in arcs[i]:
                 t = p * beta[j]
-                if s != scale[j]:
+                if not plain and s != scale[j]:
                     t *= math.exp(s - scale[j])
                 b += t
-                if x:
-                    into[piece] = into.get(piece, 0.0) + count * x * t
+                into[piece] += x * t
             beta[i] = b
 
 
@@ -160,7 +160,7 @@ def fit_pieces(counts: DataFrame, ends: int, model_path: str) -> tuple[dict[byte
         guess = vocabulary(model_path)
         z = sum(guess.values())
         lattice = Lattice({p: w / z for p, w in guess.items()})
-        into: dict[bytes, float] = {}
+        into: defaultdict[bytes, float] = defaultdict(float)
         for batch in batches:
             for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
                 lattice.expected(MARK + w, float(n), into)
@@ -244,11 +244,14 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
                     uid = xxhash.xxh64_intdigest(text) - (1 << 63)
                     found = words_of(text)
                     if rare:
-                        for w, n in Counter([w for w in found if w not in have and word_key(w) not in have]).items():
+                        for w, n in Counter([w for w in found if w not in have and (len(w) <= WORD_BYTES or word_key(w) not in have)]).items():
                             yield i, uid, out, w, n, None, None, None
                     else:
-                        got = [x for w in found if (x := have.get(w if len(w) <= WORD_BYTES else word_key(w))) is not None]
-                        yield i, uid, out, None, sum([x[2] for x in got]) + (ends > 0), len(found) + 1, math.fsum([x[0] for x in got]) + first, math.fsum([x[1] for x in got]) + last
+                        got = [x for x in map(have.get, found) if x is not None]
+                        if len(got) < len(found):
+                            got += [x for w in found if len(w) > WORD_BYTES and (x := have.get(word_key(w))) is not None]
+                        b, s, k = zip(*got) if got else ((), (), ())
+                        yield i, uid, out, None, sum(k) + (ends > 0), len(found) + 1, math.fsum(b) + first, math.fsum(s) + last
 
         held = []
         for row in rows():

@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -22,7 +22,7 @@ def test_forward_is_the_sum_over_segmentations():
     for _ in range(200):
         w = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12)))
         assert math.isclose(math.exp(lattice.log_probability(w)), segmentations(w, weights), rel_tol=1e-9)
-        uses: dict = {}
+        uses = defaultdict(float)
         lattice.expected(w, 2.0, uses)
         assert math.isclose(sum(len(p) * u for p, u in uses.items()), 2.0 * len(w), rel_tol=1e-9)
 
@@ -39,7 +39,7 @@ def test_long_words_do_not_underflow():
             if p := lattice.weights.get(w[i:j]):
                 f[j] = np.logaddexp(f[j], f[i] + math.log(p))
     assert math.isclose(f[-1], lattice.log_probability(w), rel_tol=1e-9)
-    uses: dict = {}
+    uses = defaultdict(float)
     lattice.expected(w, 1.0, uses)
     assert math.isclose(sum(len(p) * u for p, u in uses.items()), len(w), rel_tol=1e-6)
 
