@@ -110,3 +110,26 @@ def test_gray_index_finds_every_link():
         q, n = simhash.GrayIndex(codes).within(codes, d)
         far = np.bitwise_count(codes[:, None] ^ codes[None, :])
         assert {*zip(q.tolist(), n.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(far <= d)))}
+
+
+def test_scratch_can_be_released(spark):
+    from colloquy.llm import common
+
+    df = common.saved(spark.range(3), "gone")
+    path = common._paths[-1]
+    assert df.count() == 3 and common.release(spark) >= 1
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+@pytest.mark.parametrize("total", [3000, 10])
+def test_attach_whatever_the_skew(spark, total):
+    from colloquy.llm import common
+
+    rows = [(i, "hot" if i % 3 else f"k{i % 50}") for i in range(300)] + [(999, None), (998, "none")]
+    counts = {}
+    for _, k in rows:
+        counts[k] = counts.get(k, 0) + 1
+    table = spark.createDataFrame([(k, n, k + "!") for k, n in counts.items() if k and k != "none"], "k string, n long, v string")
+    got = common.attach(spark.createDataFrame(rows, "i long, k string"), table, "k", "n", total).collect()
+    assert sorted((r.i, r.v or "") for r in got) == sorted((i, k + "!" if k and k != "none" else "") for i, k in rows)
