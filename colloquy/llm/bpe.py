@@ -13,19 +13,23 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import saved
 
-WORDS, WORD_CHARS, MEMO, HELD, BATCH = 1 << 19, 16, 400_000, 1_000_000, 4 << 20
+WORDS, WORD_CHARS, MEMO, HELD, BATCH, SLICE = 1 << 19, 16, 200_000, 1_000_000, 4 << 20, 8 << 20
+#: The number of words that aren't frequent, as a varint. No other number has a zero byte.
+ZERO = b"\0"
 
 
 def word_key(word: str) -> str:
@@ -34,38 +38,55 @@ def word_key(word: str) -> str:
 
 
 def count_words(docs: DataFrame, least: int) -> DataFrame:
-    """(word, n) of the pre-tokens of docs(text). A task leaves out what it has seen fewer than least times since it last passed its counts on."""
+    """(word, n) of the pre-tokens of docs(text): how often they stand there, nearly.
+
+    A task leaves out what it has seen fewer than least times since it last passed its counts on. The counts only
+    choose the words that are broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, cuts, words = tokens.matches(), Counter(), Counter()
+        find, seen, words = tokens.matches(), [], Counter()
+
+        def merged() -> pa.Table:
+            table = pa.concat_tables(seen).group_by("x").aggregate([("n", "sum")])
+            return pa.table({"x": table["x"], "n": table["n_sum"]})
 
         def out() -> Iterator[pa.RecordBatch]:
-            for x, n in cuts.items():
-                for w in find(" " + x):
-                    words[w] += n
+            if seen:
+                table = merged()
+                often = table.filter(pc.greater_equal(table["n"], least))
+                get = words.get
+                for x, n in zip(often["x"].to_pylist(), often["n"].to_pylist()):
+                    for w in (" " + x,) if x.isalpha() else tokens.words_after_space(x):
+                        words[w] = get(w, 0) + n
             keep = [(w, n) for w, n in words.items() if n >= least]
-            cuts.clear()
+            seen.clear()
             words.clear()
             for i in range(0, len(keep), 50_000):
                 yield pa.record_batch([pa.array(c) for c in zip(*keep[i : i + 50_000])], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    if (cut := tokens.pieces(text)) is None:
-                        words.update(find(text))
-                    else:
-                        words.update(find(cut[0]))
-                        cuts.update(cut[1])
-                    if len(cuts) + len(words) > HELD:
-                        yield from out()
+            for part in tokens.slices(batch, SLICE):
+                texts = part.column("text")
+                ok = tokens.plain(texts)
+                for text in texts.filter(pa.array(~ok)).to_pylist():
+                    words.update(find(text))
+                first, flat, _ = tokens.cut_all(texts.filter(pa.array(ok)))
+                for x in first:
+                    words.update(find(x))
+                got = flat.value_counts()  # a first piece counts as one after a space here: its words are only counted once more
+                seen.append(pa.table({"x": got.field("values"), "n": got.field("counts")}))
+                if len(seen) == 8:
+                    seen[:] = [merged()]
+                if sum(map(len, seen)) + len(words) > HELD:
+                    yield from out()
         yield from out()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, vocabulary: str, words: int) -> list[tuple[str, bytes]]:
-    """(word_key(word), its ids as 32-bit numbers) of the most frequent words, most frequent first: words at most. Words of over WORD_CHARS are given by their keys."""
+def frequent_words(docs: DataFrame, vocabulary: str, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The most frequent words, words at most and most frequent first: their keys, how many ids each has, and all these ids in a row."""
     counts = saved(count_words(docs, 2), "words")
     # a threshold that no more than that many words reach, from how many words have each count (in steps of an eighth of a power of two)
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
@@ -76,17 +97,19 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int) -> list[tuple[s
             break
         least = r.step
     if least is None:
-        return []
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
         for batch in batches:
-            ids = [np.array(encode(w.encode("utf-8", "replace")), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            found = batch.column("word").to_pylist()
+            ids = [np.array(encode(w.encode("utf-8", "replace")), "<u4").tobytes() for w in found]
+            yield pa.record_batch([pa.array(map(word_key, found), pa.string()), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     top = counts.where(step >= least).mapInArrow(run, "word string, n long, ids binary").toArrow()
-    rows = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), top["ids"].to_pylist()), key=lambda r: (-r[1], r[0]))
-    return [(word_key(w), ids) for w, _, ids in rows]
+    top = top.take(pc.sort_indices(top, [("n", "descending"), ("word", "ascending")])).combine_chunks()
+    size = pc.binary_length(top["ids"]).to_numpy().astype(np.int64) // 4
+    return top["word"].combine_chunks(), size, np.frombuffer(b"".join(top["ids"].to_pylist()), "<u4")
 
 
 def _varint(n: int) -> bytes:
@@ -111,6 +134,66 @@ def _numbers(data: bytes) -> np.ndarray:
     return out
 
 
+class Codes(dict):
+    """A piece after a space -> the numbers of its words; others: -> its words that aren't frequent."""
+
+    def __init__(self, code: dict[str, bytes]):
+        super().__init__()
+        self.code = code
+        # frequent words of letters after a space are found as pieces for all at once: their numbers in a row, and where each begins
+        plain = [w for w in code if w[0] == " " and len(w) <= WORD_CHARS and w[1:].isalpha()]
+        self.pieces = pa.array([w[1:] for w in plain], pa.string())
+        self.blob = b"".join(code[w] for w in plain)
+        self.size = np.array([len(code[w]) for w in plain], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.others = tokens.Memo(lambda x: tuple([w for w in tokens.words_after_space(x) if self.of(w) == ZERO]), MEMO)
+
+    def of(self, word: str) -> bytes:
+        return self.code.get(word if len(word) <= WORD_CHARS else word_key(word), ZERO)
+
+    def __missing__(self, x: str) -> bytes:
+        if x.isalpha() and len(x) < WORD_CHARS:
+            value = self.code.get(" " + x, ZERO)
+        else:
+            value = b"".join([self.of(w) for w in tokens.words_after_space(x)])
+        if len(self) >= MEMO:
+            self.clear()
+        self[x] = value
+        return value
+
+
+def _coded(texts: pa.Array, codes: Codes, numbers: bool = True) -> tuple[list[str], dict[int, str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of plain texts as numbers.
+
+    Returns the first pieces, which have no space before them and are left out of the rest; those of the distinct pieces that
+    aren't frequent words, by their index; the index of each place's piece (of a first piece: that of an empty last one); all places' numbers
+    in a row (if numbers); where each text's places begin, and the bytes up to each place; and which distinct pieces have other words.
+    """
+    first, flat, begins = tokens.cut_all(texts)
+    coded = flat.dictionary_encode()
+    index = coded.indices.to_numpy().astype(np.int64)
+    at = pc.index_in(coded.dictionary, value_set=codes.pieces)
+    new = at.is_null().to_numpy(zero_copy_only=False)
+    names = dict(zip(np.flatnonzero(new).tolist(), coded.dictionary.filter(pa.array(new)).to_pylist()))
+    values = list(map(codes.__getitem__, names.values()))
+    index[begins[:-1]] = len(new)
+    has = np.zeros(len(new) + 1, bool)
+    has[:-1][new] = [0 in v for v in values]
+    if not numbers:
+        return first, names, index, index, begins, index, has
+    size, start = np.zeros(len(new) + 1, np.int64), np.zeros(len(new) + 1, np.int64)
+    own = at.drop_null().to_numpy()
+    size[:-1][~new], start[:-1][~new] = codes.size[own], codes.start[own]
+    size[:-1][new] = list(map(len, values))
+    start[:-1][new] = len(codes.blob) + np.cumsum(size[:-1][new]) - size[:-1][new]
+    n = size[index]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    kind = np.int32 if ends[-1] + len(codes.blob) < 1 << 30 else np.int64
+    pick = np.repeat((start[index] - ends[:-1]).astype(kind), n)
+    pick += np.arange(ends[-1], dtype=kind)
+    return first, names, index, np.frombuffer(codes.blob + b"".join(values) + ZERO, np.uint8)[pick], begins, ends, has
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema, limit: int = 20_000) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
@@ -133,33 +216,50 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
-    top = frequent_words(own, vocabulary, words)
+    top, size, flat = frequent_words(own, vocabulary, words)
     run_id = uuid.uuid4().hex
-    held_words = spark.sparkContext.broadcast(pa.array([w for w, _ in top], pa.string()))
-    # sizes and ids by word number; number 0 has none, and one id more keeps the list from being empty
-    held_ids = spark.sparkContext.broadcast((np.array([0, *(len(x) // 4 for _, x in top)], np.int64), np.frombuffer(b"".join(x for _, x in top) + bytes(4), "<u4").astype(np.int64)))
+    held_words = spark.sparkContext.broadcast(top)
+    held_ids = spark.sparkContext.broadcast((np.concatenate(([0], size)), flat))  # number 0 has none
+    del top, size, flat
 
-    def number() -> dict[str, int]:
-        """word -> its number from 1, made once in a Python worker."""
-        if getattr(tokens, "numbered", ("",))[0] != run_id:
-            tokens.numbered = (run_id, {w: i + 1 for i, w in enumerate(held_words.value.to_pylist())})
-        return tokens.numbered[1]
+    def known() -> Codes:
+        """The frequent words' numbers."""
+        return tokens.keep("codes", run_id, lambda: Codes({w: _varint(i + 1) for i, w in enumerate(held_words.value.to_pylist())}))
+
+    def decoder() -> tuple[list, list[bytes], list[str]]:
+        """Ids by word number; bytes and decimal text by id."""
+        sizes, flat = held_ids.value
+        table = {i: b for b, i in tokens.ranks(vocabulary).items()}
+        ints = list(range(max(table) + 1))
+        ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
+        ids_of = [tuple([ints[x] for x in flat[e - n : e]]) for e, n in zip(ends, sizes.tolist())]
+        return ids_of, [table.get(i, b"") for i in ints], [str(i) for i in ints]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, word): each word of a text that isn't frequent, once."""
-        find, known = tokens.matches(), number()
-        unknown = lambda found: tuple({w for w in found if w not in known and word_key(w) not in known})
-        after = tokens.Memo(lambda x: unknown(find(" " + x)), MEMO)
+        find, codes = tokens.matches(), known()
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for i, text in zip(batch.column("id"), batch.column("text").to_pylist()):
-                    if (cut := tokens.pieces(text)) is None:
-                        found = unknown(find(text))
-                    else:
-                        found = {*unknown(find(cut[0])), *(w for ws in map(after.__getitem__, set(cut[1])) for w in ws)}
-                    for w in found:
-                        yield i.as_py(), w
+                for part in tokens.slices(batch, SLICE):
+                    ids, texts = part.column("id").to_pylist(), part.column("text")
+                    ok = tokens.plain(texts)
+                    for k in np.flatnonzero(~ok).tolist():
+                        for w in {w for w in find(texts[k].as_py()) if codes.of(w) == ZERO}:
+                            yield ids[k], w
+                    own = np.flatnonzero(ok)
+                    first, names, index, _, begins, _, has = _coded(texts.filter(pa.array(ok)), codes, numbers=False)
+                    at = np.flatnonzero(has[index])
+                    text = np.searchsorted(begins, at, "right") - 1
+                    k = len(has)
+                    pairs = np.unique(text * k + index[at])
+                    for x, t in zip(first, range(len(first))):
+                        found = {w for w in find(x) if codes.of(w) == ZERO}
+                        lo, hi = np.searchsorted(pairs, (t * k, (t + 1) * k))
+                        for c in (pairs[lo:hi] - t * k).tolist():
+                            found.update(codes.others[names[c]])
+                        for w in found:
+                            yield ids[own[t]], w
 
         yield from _batches(rows(), pa.schema([("id", kinds["id"]), ("word", pa.string())]))
 
@@ -176,72 +276,63 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, null, data): the word numbers of a text in order, and its words with number 0, packed."""
-        find, known = tokens.matches(), number()
-
-        def coded(found: list[str]) -> tuple[bytes, list[str]]:
-            numbers = [known.get(w if len(w) <= WORD_CHARS else word_key(w), 0) for w in found]
-            return b"".join(map(_varint, numbers)), [w for w, n in zip(found, numbers) if not n]
+        find, codes = tokens.matches(), known()
 
-        after = tokens.Memo(lambda x: coded(find(" " + x)), MEMO)
+        def pack(i, begun: list[str], rest: bytes, others: list[str]) -> tuple:
+            run = b"".join([codes.of(w) for w in begun]) + rest
+            own = [w.encode() for w in begun if codes.of(w) == ZERO] + [w.encode() for w in others]
+            head = b"".join([_varint(len(run)), _varint(len(own)), *(_varint(len(w)) for w in own)])
+            return i, None, b"".join([_varint(len(head)), head, run, *own])
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for i, text in zip(batch.column("id"), batch.column("text").to_pylist()):
-                    if (cut := tokens.pieces(text)) is None:
-                        parts = [coded(find(text))]
-                    else:
-                        parts = [coded(find(cut[0])), *map(after.__getitem__, cut[1])]
-                    numbers, others = b"".join([p[0] for p in parts]), [w.encode() for p in parts if p[1] for w in p[1]]
-                    head = b"".join([_varint(len(numbers)), _varint(len(others)), *(_varint(len(w)) for w in others)])
-                    yield i.as_py(), None, zlib.compress(_varint(len(head)) + head + numbers + b"".join(others), 1)
+                for part in tokens.slices(batch, SLICE):
+                    ids, texts = part.column("id").to_pylist(), part.column("text")
+                    ok = tokens.plain(texts)
+                    for k in np.flatnonzero(~ok).tolist():
+                        yield pack(ids[k], find(texts[k].as_py()), b"", [])
+                    own = np.flatnonzero(ok)
+                    first, names, index, run, begins, ends, has = _coded(texts.filter(pa.array(ok)), codes)
+                    at = np.flatnonzero(has[index])
+                    cuts = np.searchsorted(at, begins)
+                    at = index[at].tolist()
+                    for t, x in enumerate(first):
+                        others = [w for c in at[cuts[t] : cuts[t + 1]] for w in codes.others[names[c]]]
+                        yield pack(ids[own[t]], find(x), run[ends[begins[t]] : ends[begins[t + 1]]].tobytes(), others)
 
         yield from _batches(rows(), pa.schema([("id", kinds["id"]), ("word", pa.string()), ("data", pa.binary())]))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by id, the words of an id before its texts."""
-        sizes, flat = held_ids.value
-        starts = np.cumsum(sizes) - sizes
-        table = {i: b for b, i in tokens.ranks(vocabulary).items()}
-        as_bytes = [table.get(i, b"") for i in range(max(table) + 1)]
-        as_text = [str(i) for i in range(max(table) + 1)]
+        ids_of, as_bytes, as_text = tokens.keep("decoder", run_id, decoder)
 
-        def whole(data: bytes, own: dict[str, bytes]) -> np.ndarray:
-            data = zlib.decompress(data)
-            size, at = 0, 0
+        def whole(data: bytes, own: dict[str, bytes]) -> list[int]:
+            size = at = 0
             while True:
                 size |= (data[at] & 127) << 7 * at
                 at += 1
                 if data[at - 1] < 128:
                     break
-            head = _numbers(data[at : at + size])
-            codes = _numbers(data[at + size : at + size + head[0]])
-            others, at = [], at + size + int(head[0])
-            for n in head[2:].tolist():
-                others.append(np.frombuffer(own[data[at : at + n].decode()], "<u4").astype(np.int64))
+            head = _numbers(data[at : at + size]).tolist()
+            at += size
+            codes = _numbers(data[at : at + head[0]])
+            at += head[0]
+            parts = list(map(ids_of.__getitem__, codes.tolist()))
+            for k, n in zip(np.flatnonzero(codes == 0).tolist(), head[2:]):
+                parts[k] = array("I", own[data[at : at + n].decode()])
                 at += n
-            n, begin, other = sizes[codes], starts[codes], codes == 0
-            if others:
-                n[other] = [len(x) for x in others]
-            ends = np.cumsum(n)
-            pick = np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            if not others:
-                return flat[pick]
-            mask = np.repeat(other, n)
-            pick[mask] = 0
-            ids = flat[pick]
-            ids[mask] = np.concatenate(others)
-            return ids
+            return list(chain.from_iterable(parts))
 
         def rows() -> Iterator[tuple]:
             now, own, begun = None, {}, False
             for batch in batches:
-                for i, w, data in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), batch.column("data")):
+                for i, w, data in zip(*(batch.column(c).to_pylist() for c in ("id", "word", "data"))):
                     if not begun or i != now:
                         now, own, begun = i, {}, True
                     if w is not None:
-                        own[w] = data.as_py()
+                        own[w] = data
                         continue
-                    ids = whole(data.as_py(), own).tolist()
+                    ids = whole(data, own)
                     decoded = b"".join([as_bytes[x] for x in ids])
                     if digest:
                         yield i, len(ids), hashlib.sha256(",".join([as_text[x] for x in ids]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()

@@ -45,8 +45,16 @@ def encoder(path: str):
     return own._encode_single_piece
 
 
-#: What a Python worker keeps of a run, by the run.
-kept: tuple[str, tuple] = ("", ())
+_kept: tuple[tuple[str, str], object] = (("", ""), None)
+
+
+def keep(name: str, run: str, make):
+    """What make gives, made once for a run in a Python worker. It takes the place of what was kept before, so a worker holds one such table."""
+    global _kept
+    if _kept[0] != (name, run):
+        _kept = (("", ""), None)
+        _kept = ((name, run), make())
+    return _kept[1]
 
 
 @functools.lru_cache(1)
