@@ -72,6 +72,8 @@ def phrase_frequencies(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = parts.select("term").distinct()
     df = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rarest = parts.join(df, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "pos")).alias("term"))
-    near = rarest.join(postings, "term").join(normal, "doc").where(T.has_phrase(F.col("normal"), F.col("phrase")))
+    # bounds are put around texts and phrases before they meet, once each
+    bound = normal.select("doc", T.padded(F.col("normal")).alias("padded"))
+    near = rarest.withColumn("said", T.padded(F.col("phrase"))).join(postings, "term").join(bound, "doc").where(F.contains("padded", "said"))
     found = near.groupBy("phrase").agg(F.count("*").alias("df"))
     return phrases.distinct().join(found, "phrase", "left").select("phrase", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
