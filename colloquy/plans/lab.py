@@ -206,10 +206,10 @@ def emission_gate(spark: SparkSession, folder: str) -> DataFrame:
 # --- simulation -----------------------------------------------------------------------------------------------
 
 def shop(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The products as a catalog with cards, and sessions that look for those whose number is divisible by 50."""
+    """The products as a catalog with cards, and a session that looks for each."""
     c = cards(spark, folder).withColumn("category", F.concat_ws(" ", "type", "brand"))
     kinds = F.element_at(F.array(*map(F.lit, ("buying", "browsing", "intent_override", "boundary"))), (F.expr("doc div 50") % 4 + 1).cast("int"))
-    sessions = c.where("doc % 50 = 0").select(F.concat(F.lit("s"), "doc").alias("sample_id"), kinds.alias("scenario_type"), F.col("doc").alias("target"), "category", "card")
+    sessions = c.select(F.concat(F.lit("s"), "doc").alias("sample_id"), kinds.alias("scenario_type"), F.col("doc").alias("target"), "category", "card")
     return c, sessions
 
 
@@ -228,13 +228,13 @@ def bm25_agent(catalog: DataFrame):
 @query()
 def simulated_sessions(spark: SparkSession, folder: str) -> DataFrame:
     catalog, sessions = shop(spark, folder)
-    return simulate.run(sessions, bm25_agent(catalog), turns=4)
+    return simulate.run(sessions, bm25_agent(catalog))
 
 
 @query(f"""WITH {CARDS}, s AS (SELECT 's' || doc AS sample_id, ['buying', 'browsing', 'intent_override', 'boundary'][(doc // 50) % 4 + 1] AS kind, type || ' ' || brand AS category, card FROM cards JOIN products USING (doc) WHERE doc % 50 = 0)
  SELECT sample_id, CASE WHEN kind = 'buying' THEN 'I''m looking for ' || category || '. A key requirement is: ' || card[1] || '.' WHEN kind = 'intent_override' THEN 'I''m looking for ' || category || '. ' || CASE WHEN len(card) > 2 THEN card[-1] ELSE card[1] END ELSE 'I''m looking for ' || category || ', but I''m still exploring.' END AS message FROM s""")
 def simulated_openings(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.open_sessions(simulate.hidden(shop(spark, folder)[1])).select("sample_id", "message")
+    return simulate.open_sessions(simulate.hidden(shop(spark, folder)[1].where("target % 50 = 0"))).select("sample_id", "message")
 
 
 # --- measuring ------------------------------------------------------------------------------------------------

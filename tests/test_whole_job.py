@@ -1,6 +1,10 @@
 """Registered queries work on all that they are given."""
 
-from colloquy.plans import engine
+from pyspark.sql import functions as F
+
+from colloquy.plans import engine, lab, more
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_lsa_keeps_rare_terms(spark, tmp_path):
@@ -9,3 +13,23 @@ def test_lsa_keeps_rare_terms(spark, tmp_path):
     spark.createDataFrame([(1, "zebra quagga okapi")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = engine.QUERIES["lsa_topk"](spark, str(tmp_path)).where("rnk <= 3").collect()
     assert {r.doc for r in got} == {100, 101, 102} and min(r.score for r in got) > 0.5
+
+
+def late_agent(catalog):
+    """Finds every target on the ninth turn."""
+
+    def respond(said, turn):
+        who = said.select("sample_id").distinct()
+        return who.where(F.lit(turn == 9)).select("sample_id", F.expr("cast(substring(sample_id, 2) as bigint)").alias("doc"), F.lit(1).cast("long").alias("rnk")), who.withColumn("ask", F.lit("other"))
+
+    return respond
+
+
+def test_sessions_have_all_turns_levels_and_products(spark, monkeypatch):
+    monkeypatch.setattr(lab, "bm25_agent", late_agent)
+    monkeypatch.setattr(more, "bm25_agent", late_agent)
+    products = spark.read.parquet(f"{FOLDER}/part.parquet").count()
+    got = engine.QUERIES["simulated_sessions"](spark, FOLDER).collect()
+    assert len(got) == products and {r.first_hit_turn for r in got} == {9}
+    rows = engine.QUERIES["perturb_sweep"](spark, FOLDER).collect()
+    assert {(r.level, r.sessions, r.hit_rate, r.mttc) for r in rows} == {(x, products, 1.0, 9.0) for x in ("L0", "L1", "L2", "L4")}
