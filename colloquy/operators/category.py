@@ -34,7 +34,7 @@ def by_substring(messages: DataFrame, keys: DataFrame) -> DataFrame:
     Keys meet messages by runs of tokens, so no message is paired with every key.
     """
     toks = messages.select("qid", T.tokens(F.col("text")).alias("toks"))
-    lengths = [r.n for r in keys.select(F.size(T.tokens_of(F.col("key"))).alias("n")).distinct().orderBy("n").limit(12).collect() if r.n > 0]  # a few lengths
+    lengths = [r.n for r in keys.select(F.size(T.tokens_of(F.col("key"))).alias("n")).distinct().orderBy("n").collect() if r.n > 0]  # a number for each length of a key
     runs = F.concat(*[T.ngrams(F.col("toks"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
     named = toks.select("qid", F.explode(F.array_distinct(runs)).alias("key")).join(keys, "key")
     best = F.max_by("key", F.struct(F.length("key"), -F.col("first_doc")))

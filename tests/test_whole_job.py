@@ -1,7 +1,9 @@
 """Registered queries work on all that they are given."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from colloquy.operators import category
 from colloquy.plans import engine, lab, more
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,3 +35,10 @@ def test_sessions_have_all_turns_levels_and_products(spark, monkeypatch):
     assert len(got) == products and {r.first_hit_turn for r in got} == {9}
     rows = engine.QUERIES["perturb_sweep"](spark, FOLDER).collect()
     assert {(r.level, r.sessions, r.hit_rate, r.mttc) for r in rows} == {(x, products, 1.0, 9.0) for x in ("L0", "L1", "L2", "L4")}
+
+
+@pytest.mark.parametrize("words", [3, 14])
+def test_substring_matches_keys_of_every_length(spark, words):
+    keys = spark.createDataFrame([(" ".join(f"w{k}" for k in range(n)), 1, n) for n in range(1, 16)], "key string, docs long, first_doc long")
+    said = spark.createDataFrame([(1, " ".join(f"W{k}" for k in range(words)))], "qid long, text string")
+    assert [len(r.key.split()) for r in category.by_substring(said, keys).collect()] == [words]
