@@ -138,8 +138,11 @@ def write_archives(captures: DataFrame, root: str, level: int = 4) -> DataFrame:
     return saved(captures.select("record_id", "url", "payload", "refers_to").mapInArrow(run, ENTRY), "entries")
 
 
-def build_index(entries: DataFrame, root: str) -> list[tuple[str, str, int, int]]:
-    """Sorts entries into compressed blocks under root/index; returns the directory: (first key, file, offset, length), by key."""
+def build_index(entries: DataFrame, root: str) -> list[tuple[str, str, str, int, int]]:
+    """Sorts entries into compressed blocks under root/index; returns the directory: (first key, last key, file, offset, length).
+
+    It is sorted by both keys: of blocks that begin with one key, at most one goes on to others, and it comes last.
+    """
     lines = max(LEAST_LINES, -(-entries.count() // MOST_BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def build_index(entries: DataFrame, root: str) -> list[tuple[str, str, int, int]
             data = zlib.compress("\n".join("\t".join(map(str, x)) for x in part).encode(), 6)
             out = out or store.open_output_stream(f"{at}/{name}", compression=None)
             out.write(data)
-            rows.append((part[0][0], name, offset, len(data)))
+            rows.append((part[0][0], part[-1][0], name, offset, len(data)))
             offset += len(data)
 
         try:
@@ -167,14 +170,14 @@ def build_index(entries: DataFrame, root: str) -> list[tuple[str, str, int, int]
             if out:
                 out.close()
         if rows:
-            yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["key", "file", "offset", "length"])
+            yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["key", "last", "file", "offset", "length"])
 
     ordered = entries.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    directory = saved(ordered.select("key", "file", "offset", "length").mapInArrow(run, "key string, file string, offset long, length long"), "directory")
+    directory = saved(ordered.select("key", "file", "offset", "length").mapInArrow(run, "key string, last string, file string, offset long, length long"), "directory")
     return sorted(tuple(r) for r in directory.collect())  # MOST_BLOCKS and one for each file at most
 
 
-def look_up(keys: DataFrame, directory: list[tuple[str, str, int, int]], root: str) -> DataFrame:
+def look_up(keys: DataFrame, directory: list[tuple[str, str, str, int, int]], root: str) -> DataFrame:
     """The records of all captures whose key is in keys(key): directory search, one block, one byte range for each."""
     spark = keys.sparkSession
     held = spark.sparkContext.broadcast(directory)
@@ -197,7 +200,7 @@ def look_up(keys: DataFrame, directory: list[tuple[str, str, int, int]], root: s
             places = []
             for block, key in zip(batch.column("block").to_pylist(), batch.column("key").to_pylist()):
                 if block != now:
-                    now, (_, file, offset, length) = block, held.value[block]
+                    now, (_, _, file, offset, length) = block, held.value[block]
                     with store.open_input_file(f"{index}/{file}") as f:
                         lines = [x.split("\t") for x in zlib.decompress(f.read_at(length, offset)).decode().split("\n")]
                     names = [x[0] for x in lines]

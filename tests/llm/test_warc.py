@@ -65,3 +65,17 @@ def test_record_round_trip():
     assert (x["payload"], x["record_type"], x["url"]) == ("é\r\n\r\nz".encode(), "response", "http://a/%20b")
     y = w.parse(w.record("6", None, b"abc", "5", 6))
     assert (y["payload"], y["payload_bytes"], y["refers_to"]) == (None, 3, "5")
+
+
+def test_repeated_keys_over_range_partitions(spark, monkeypatch):
+    monkeypatch.setattr(w, "LEAST_LINES", 8)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = [(i, f"http://x/{i}", f"own {i}") for i in range(100, 140) for _ in range(100 if i % 2 else 1)]
+        assert run(spark, rows) == expected(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
