@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,10 @@ _paths: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder where that is unset (tests)."""
+    """A new path under spark.checkpoint.dir. Only a local master, as in tests, may leave it unset; a temporary folder is made there."""
     at = spark.conf.get("spark.checkpoint.dir", "")
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="colloquy-"))
