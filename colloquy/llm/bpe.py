@@ -1,356 +1,263 @@
-"""Byte-level BPE encoding and decoding by distinct words.
-
-Pre-tokens ("words") are counted over all texts. The most frequent ones, WORDS at most, are
-encoded once and broadcast with their ids, long ones under a digest. Every other word is shuffled with the ids of the documents it
-stands in, is encoded once where its rows meet, and its ids are joined back to those documents. Meanwhile each
-text travels as the positions' word numbers, so that the ids can be put together in order; a word
-that isn't among the frequent ones has the number 0 and is looked up among the document's own. What the counting keeps
-back (words that one task saw just once) changes which words are broadcast, never the result.
-Decoding looks up every id in the table of token bytes.
+"""Byte-level BPE encoding and decoding by a global shuffle of distinct words.
+
+One pass cuts every text into pre-tokens ("words") and leaves the text behind as the numbers of its words, position
+by position; words are numbered within a slice of the texts that one task reads, so a word takes one row for each
+slice, however often it stands there. Those rows are shuffled by word: each distinct word meets itself there, is
+encoded once, and its ids are joined with the table of token bytes, which decodes it. Ids and bytes then go back
+to the slices, where texts are put together by position. The positions never move: they lie in a table that is
+bucketed by slice, and only the words are shuffled, to them and back.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
-from .common import saved
+from .common import bucketed, scan_bytes
 
-WORDS, WORD_CHARS, MEMO, HELD, BATCH, SLICE = 1 << 19, 16, 200_000, 1_000_000, 4 << 20, 8 << 20
-#: The number of words that aren't frequent, as a varint. No other number has a zero byte.
-ZERO = b"\0"
+#: A slice is closed at so many bytes of text or distinct words; a text is never cut, so a longer one is a slice alone.
+SLICE_BYTES, SLICE_WORDS = 32 << 20, 400_000
+#: Texts of more characters are cut into words in steps; places of a text that are put together at once.
+LONG_CHARS, STEP = 1 << 22, 1 << 18
+#: (word, slice) pairs that a task packs at once, and the bytes of a batch of positions.
+PAIRS, BATCH_BYTES = 1 << 19, 4 << 20
+#: The token-byte table is broadcast. No vocabulary with more tokens is taken.
+MOST_TOKENS = 1 << 20
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 
 
-def word_key(word: str) -> str:
-    """A key of bounded length: short words themselves, others a digest that is longer than any of those."""
-    return word if len(word) <= WORD_CHARS else "\0" + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=16).hexdigest()
+class Numbers(dict):
+    """A word -> its number within the slice, given at first sight."""
 
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
-def count_words(docs: DataFrame, least: int) -> DataFrame:
-    """(word, n) of the pre-tokens of docs(text): how often they stand there, nearly.
 
-    A task leaves out what it has seen fewer than least times since it last passed its counts on. The counts only
-    choose the words that are broadcast.
-    """
+def _places(text: str, numbers: Numbers) -> bytes:
+    """The numbers of a text's words in order, four bytes each."""
+    if len(text) <= LONG_CHARS:
+        steps = iter([tokens.matches()(text)])
+    else:
+        found = tokens.pattern().finditer(text)
+        steps = iter(lambda: [m.group() for m in islice(found, STEP)], [])
+    return b"".join([np.fromiter(map(numbers.__getitem__, words), "<u4", len(words)).tobytes() for words in steps])
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """Cuts docs(id, text binary): a row (slice, id, at) for each text and a row (slice, no, word) for each distinct word of a slice."""
+    id_type, id_kind = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
+    schema = pa.schema([("slice", pa.int64()), ("id", id_kind), ("at", pa.binary()), ("no", pa.int32()), ("word", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, words = tokens.matches(), [], Counter()
-
-        def merged() -> pa.Table:
-            table = pa.concat_tables(seen).group_by("x").aggregate([("n", "sum")])
-            return pa.table({"x": table["x"], "n": table["n_sum"]})
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if seen:
-                table = merged()
-                often = table.filter(pc.greater_equal(table["n"], least))
-                get = words.get
-                for x, n in zip(often["x"].to_pylist(), often["n"].to_pylist()):
-                    for w in (" " + x,) if x.isalpha() else tokens.words_after_space(x):
-                        words[w] = get(w, 0) + n
-            keep = [(w, n) for w, n in words.items() if n >= least]
-            seen.clear()
-            words.clear()
-            for i in range(0, len(keep), 50_000):
-                yield pa.record_batch([pa.array(c) for c in zip(*keep[i : i + 50_000])], names=["word", "n"])
+        task, serial, numbers, read = TaskContext.get().partitionId(), 0, Numbers(), 0
+
+        def texts(batch: pa.RecordBatch, first: int, places: list[bytes]) -> pa.RecordBatch:
+            n = len(places)
+            name = pa.array(np.full(n, task << 32 | serial))
+            return pa.record_batch([name, batch.column("id").slice(first, n), pa.array(places, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            found = pa.array(list(numbers), pa.string())
+            for k in range(0, len(found), 20_000):
+                part = found.slice(k, 20_000)
+                n = len(part)
+                yield pa.record_batch([pa.array(np.full(n, task << 32 | serial)), pa.nulls(n, id_kind), pa.nulls(n, pa.binary()), pa.array(np.arange(k, k + n, dtype=np.int32)), part], schema=schema)
 
         for batch in batches:
-            for part in tokens.slices(batch, SLICE):
-                texts = part.column("text")
-                ok = tokens.plain(texts)
-                for text in texts.filter(pa.array(~ok)).to_pylist():
-                    words.update(find(text))
-                first, flat, _ = tokens.cut_all(texts.filter(pa.array(ok)))
-                for x in first:
-                    words.update(find(x))
-                got = flat.value_counts()  # a first piece counts as one after a space here: its words are only counted once more
-                seen.append(pa.table({"x": got.field("values"), "n": got.field("counts")}))
-                if len(seen) == 8:
-                    seen[:] = [merged()]
-                if sum(map(len, seen)) + len(words) > HELD:
-                    yield from out()
-        yield from out()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(docs: DataFrame, vocabulary: str, words: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The most frequent words, words at most and most frequent first: their keys, how many ids each has, and all these ids in a row."""
-    counts = saved(count_words(docs, 2), "words")
-    # a threshold that no more than that many words reach, from how many words have each count (in steps of an eighth of a power of two)
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()  # 512 rows at most
-    least, held = None, 0
-    for r in sorted(steps, key=lambda r: -r.step):
-        if (held := held + r.k) > words:
-            break
-        least = r.step
-    if least is None:
-        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+            first, places, held = 0, [], 0
+            for k, text in enumerate(batch.column("text")):
+                raw = text.as_py() or b""
+                places.append(_places(raw.decode("utf-8", "replace"), numbers))
+                read, held = read + len(raw), held + len(places[-1])
+                full = read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS
+                if full or held >= BATCH_BYTES:
+                    yield texts(batch, first, places)
+                    first, places, held = k + 1, [], 0
+                if full:
+                    yield from words()
+                    serial, numbers, read = serial + 1, Numbers(), 0
+            if places:
+                yield texts(batch, first, places)
+        yield from words()
+
+    return docs.select("id", "text").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, word string")
+
+
+def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """(token, bytes): the vocabulary file as a table."""
+    ranks = tokens.ranks(vocabulary)
+    if len(ranks) > MOST_TOKENS:
+        raise ValueError(f"{len(ranks)} tokens are more than {MOST_TOKENS}")
+    return spark.createDataFrame(pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+
+
+def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(ids, at) of words(word, at): the ids of each distinct word, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
         for batch in batches:
-            found = batch.column("word").to_pylist()
-            ids = [np.array(encode(w.encode("utf-8", "replace")), "<u4").tobytes() for w in found]
-            yield pa.record_batch([pa.array(map(word_key, found), pa.string()), batch.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
-    top = counts.where(step >= least).mapInArrow(run, "word string, n long, ids binary").toArrow()
-    top = top.take(pc.sort_indices(top, [("n", "descending"), ("word", "ascending")])).combine_chunks()
-    size = pc.binary_length(top["ids"]).to_numpy().astype(np.int64) // 4
-    return top["word"].combine_chunks(), size, np.frombuffer(b"".join(top["ids"].to_pylist()), "<u4")
-
-
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    return bytes(out) + bytes([n])
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    """The numbers of a run of varints."""
-    b = np.frombuffer(data, np.uint8)
-    last = np.flatnonzero(b < 128)
-    first = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
-    out = np.zeros(len(last), np.int64)
-    for k in range(5):
-        on = first + k <= last
-        if not on.any():
-            break
-        out[on] |= (b[first[on] + k].astype(np.int64) & 127) << (7 * k)
-    return out
-
-
-class Codes(dict):
-    """A piece after a space -> the numbers of its words; others: -> its words that aren't frequent."""
-
-    def __init__(self, code: dict[str, bytes]):
-        super().__init__()
-        self.code = code
-        # frequent words of letters after a space are found as pieces for all at once: their numbers in a row, and where each begins
-        plain = [w for w in code if w[0] == " " and len(w) <= WORD_CHARS and w[1:].isalpha()]
-        self.pieces = pa.array([w[1:] for w in plain], pa.string())
-        self.blob = b"".join(code[w] for w in plain)
-        self.size = np.array([len(code[w]) for w in plain], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.others = tokens.Memo(lambda x: tuple([w for w in tokens.words_after_space(x) if self.of(w) == ZERO]), MEMO)
-
-    def of(self, word: str) -> bytes:
-        return self.code.get(word if len(word) <= WORD_CHARS else word_key(word), ZERO)
-
-    def __missing__(self, x: str) -> bytes:
-        if x.isalpha() and len(x) < WORD_CHARS:
-            value = self.code.get(" " + x, ZERO)
-        else:
-            value = b"".join([self.of(w) for w in tokens.words_after_space(x)])
-        if len(self) >= MEMO:
-            self.clear()
-        self[x] = value
-        return value
-
+            ids = [encode(w.encode()) for w in batch.column("word").to_pylist()]
+            yield pa.record_batch([pa.array(ids, pa.list_(pa.int32())), batch.column("at")], names=["ids", "at"])
+
+    return words.mapInArrow(run, "ids array<int>, at array<struct<slice:long,no:int>>")
+
+
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of runs that begin at start and are size long, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+class Packer:
+    """Gathers the ids and bytes of words, and packs them by the slices that they go to."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.pairs = 0
+
+    def add(self, batch: pa.Table) -> None:
+        """Rows (pos, token, bytes, at) of whole words; at is null but for the first of a word."""
+        pos, token = batch["pos"].to_numpy(), batch["token"].to_numpy()
+        first = np.flatnonzero(pos == 0)
+        n_ids = np.diff(first, append=len(pos))
+        if (pos != np.arange(len(pos)) - np.repeat(first, n_ids)).any():
+            raise ValueError("ids of a word came out of order")
+        data = batch["bytes"].combine_chunks()
+        n_bytes = np.add.reduceat(pc.binary_length(data).to_numpy(), first).astype(np.int64)
+        at = batch["at"].combine_chunks().take(pa.array(first))
+        where = at.flatten()
+        n_at = pc.list_value_length(at).to_numpy().astype(np.int64)
+        raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+        self.parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), n_at, n_ids, n_bytes, token, raw))
+        self.pairs += len(where)
+
+    def flush(self) -> pa.RecordBatch:
+        """(slice, data): a row for each slice."""
+        name, no, n_at, n_ids, n_bytes, token, raw = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.pairs = [], 0
+        order = np.lexsort((no, name))
+        word = np.repeat(np.arange(len(n_at)), n_at)[order]
+        name, no, at_id, at_byte = name[order], no[order], _starts(n_ids)[word], _starts(n_bytes)[word]
+        n_ids, n_bytes = n_ids[word], n_bytes[word]
+        cuts = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(name)]
+        data = []
+        for a, b in zip(cuts, cuts[1:]):
+            t, r = token[_gather(at_id[a:b], n_ids[a:b])], raw[_gather(at_byte[a:b], n_bytes[a:b])]
+            plain = b"".join([x.astype("<u4").tobytes() for x in (np.array([b - a, len(t), len(r)]), no[a:b], n_ids[a:b], n_bytes[a:b], t)]) + r.tobytes()
+            data.append(len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True))
+        return pa.record_batch([pa.array(name[cuts[:-1]]), pa.array(data, pa.binary())], names=["slice", "data"])
+
+
+def pack_words(decoded: DataFrame) -> DataFrame:
+    """(slice, data) of decoded(pos, token, bytes, at), in which the rows of a word stand together in order."""
 
-def _coded(texts: pa.Array, codes: Codes, numbers: bool = True) -> tuple[list[str], dict[int, str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces of plain texts as numbers.
-
-    Returns the first pieces, which have no space before them and are left out of the rest; those of the distinct pieces that
-    aren't frequent words, by their index; the index of each place's piece (of a first piece: that of an empty last one); all places' numbers
-    in a row (if numbers); where each text's places begin, and the bytes up to each place; and which distinct pieces have other words.
-    """
-    first, flat, begins = tokens.cut_all(texts)
-    coded = flat.dictionary_encode()
-    index = coded.indices.to_numpy().astype(np.int64)
-    at = pc.index_in(coded.dictionary, value_set=codes.pieces)
-    new = at.is_null().to_numpy(zero_copy_only=False)
-    names = dict(zip(np.flatnonzero(new).tolist(), coded.dictionary.filter(pa.array(new)).to_pylist()))
-    values = list(map(codes.__getitem__, names.values()))
-    index[begins[:-1]] = len(new)
-    has = np.zeros(len(new) + 1, bool)
-    has[:-1][new] = [0 in v for v in values]
-    if not numbers:
-        return first, names, index, index, begins, index, has
-    size, start = np.zeros(len(new) + 1, np.int64), np.zeros(len(new) + 1, np.int64)
-    own = at.drop_null().to_numpy()
-    size[:-1][~new], start[:-1][~new] = codes.size[own], codes.start[own]
-    size[:-1][new] = list(map(len, values))
-    start[:-1][new] = len(codes.blob) + np.cumsum(size[:-1][new]) - size[:-1][new]
-    n = size[index]
-    ends = np.concatenate(([0], np.cumsum(n)))
-    kind = np.int32 if ends[-1] + len(codes.blob) < 1 << 30 else np.int64
-    pick = np.repeat((start[index] - ends[:-1]).astype(kind), n)
-    pick += np.arange(ends[-1], dtype=kind)
-    return first, names, index, np.frombuffer(codes.blob + b"".join(values) + ZERO, np.uint8)[pick], begins, ends, has
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema, limit: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, (bytes, str)))
-        if len(held) >= limit or size >= BATCH:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, digest: bool = True) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, rest = Packer(), None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            last = np.flatnonzero(now["pos"].to_numpy() == 0)
+            end = int(last[-1]) if len(last) else 0  # the last word may go on
+            if end:
+                packer.add(now.slice(0, end))
+            rest = now.slice(end)
+            if packer.pairs >= PAIRS:
+                yield packer.flush()
+        if rest is not None and len(rest):
+            packer.add(rest)
+        if packer.parts:
+            yield packer.flush()
+
+    return decoded.mapInArrow(run, "slice long, data binary")
+
+
+class Words:
+    """The words of a slice by number: ids, their decimal text, and bytes."""
+
+    def __init__(self, packed: list[bytes]):
+        parts = []
+        for x in packed:
+            plain = pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+            n, n_t, n_r = np.frombuffer(plain, "<u4", 3).tolist()
+            whole = np.frombuffer(plain, "<u4", 3 + 3 * n + n_t)
+            no, n_ids, n_bytes, token = np.split(whole[3:].astype(np.int64), [n, 2 * n, 3 * n])
+            parts.append((no, n_ids, n_bytes, token, np.frombuffer(plain, np.uint8, n_r, 4 * len(whole))))
+        no, n_ids, n_bytes, self.token, raw = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+        order = np.argsort(no)
+        if not np.array_equal(no[order], np.arange(len(no))):
+            raise ValueError("words of a slice are missing")
+        digits = np.char.mod("%d", self.token)
+        size = np.char.str_len(digits) + 1
+        text, flat = ",".join(digits.tolist()).encode(), raw.astype(np.uint8).tobytes()
+        first = _starts(n_ids)
+        n_text = np.add.reduceat(size, first) if len(first) else size[:0]
+        at_text, at_byte = _starts(n_text), _starts(n_bytes)
+        self.n_ids, self.first = n_ids[order], first[order]
+        self.text = [text[a:b] for a, b in zip(at_text[order].tolist(), (at_text + n_text - 1)[order].tolist())]
+        self.bytes = [flat[a:b] for a, b in zip(at_byte[order].tolist(), (at_byte + n_bytes)[order].tolist())]
+
+    def digests(self, at: np.ndarray) -> tuple[int, str, str]:
+        """(n_tokens, ids_sha256, decoded_sha256) of the words at these places."""
+        ids, data = hashlib.sha256(), hashlib.sha256()
+        for k in range(0, len(at), STEP):
+            part = at[k : k + STEP].tolist()
+            if k:
+                ids.update(b",")
+            ids.update(b",".join(map(self.text.__getitem__, part)))
+            data.update(b"".join(map(self.bytes.__getitem__, part)))
+        return int(self.n_ids[at].sum()), ids.hexdigest(), data.hexdigest()
+
+    def whole(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """(ids, decoded) of the words at these places."""
+        return self.token[_gather(self.first[at], self.n_ids[at])], b"".join(map(self.bytes.__getitem__, at.tolist()))
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns for every row (id, n_tokens, ids_sha256, decoded_sha256), or with digest=False (id, ids array<int>,
-    decoded binary). Null and empty texts have no ids. Repeated ids are kept apart by their texts, repeated
-    rows give as many rows; a null id stays null. An empty table gives no rows; other columns are not read.
+    decoded binary). Null and empty texts have no ids. Rows are never told apart by id, so repeated ids, repeated
+    rows and null ids give a row each. An empty table gives no rows; other columns are not read. Bytes that are no
+    UTF-8 are read as replacement characters.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    id_type = own.schema["id"].dataType.simpleString()
-    top, size, flat = frequent_words(own, vocabulary, words)
-    run_id = uuid.uuid4().hex
-    held_words = spark.sparkContext.broadcast(top)
-    held_ids = spark.sparkContext.broadcast((np.concatenate(([0], size)), flat))  # number 0 has none
-    del top, size, flat
-
-    def known() -> Codes:
-        """The frequent words' numbers."""
-        return tokens.keep("codes", run_id, lambda: Codes({w: _varint(i + 1) for i, w in enumerate(held_words.value.to_pylist())}))
-
-    def decoder() -> tuple[list, list[bytes], list[str]]:
-        """Ids by word number; bytes and decimal text by id."""
-        sizes, flat = held_ids.value
-        table = {i: b for b, i in tokens.ranks(vocabulary).items()}
-        ints = list(range(max(table) + 1))
-        ends, flat = np.cumsum(sizes).tolist(), flat.tolist()
-        ids_of = [tuple([ints[x] for x in flat[e - n : e]]) for e, n in zip(ends, sizes.tolist())]
-        return ids_of, [table.get(i, b"") for i in ints], [str(i) for i in ints]
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, word): each word of a text that isn't frequent, once."""
-        find, codes = tokens.matches(), known()
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for part in tokens.slices(batch, SLICE):
-                    ids, texts = part.column("id").to_pylist(), part.column("text")
-                    ok = tokens.plain(texts)
-                    for k in np.flatnonzero(~ok).tolist():
-                        for w in {w for w in find(texts[k].as_py()) if codes.of(w) == ZERO}:
-                            yield ids[k], w
-                    own = np.flatnonzero(ok)
-                    first, names, index, _, begins, _, has = _coded(texts.filter(pa.array(ok)), codes, numbers=False)
-                    at = np.flatnonzero(has[index])
-                    text = np.searchsorted(begins, at, "right") - 1
-                    k = len(has)
-                    pairs = np.unique(text * k + index[at])
-                    for x, t in zip(first, range(len(first))):
-                        found = {w for w in find(x) if codes.of(w) == ZERO}
-                        lo, hi = np.searchsorted(pairs, (t * k, (t + 1) * k))
-                        for c in (pairs[lo:hi] - t * k).tolist():
-                            found.update(codes.others[names[c]])
-                        for w in found:
-                            yield ids[own[t]], w
-
-        yield from _batches(rows(), pa.schema([("id", kinds["id"]), ("word", pa.string())]))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by word: ids of each distinct word once, for all rows that have it."""
-        call, now, ids = tokens.encoder(vocabulary), None, b""
-        for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != now:
-                    now, ids = w, np.array(call(w.encode("utf-8", "replace")), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column("id"), batch.column("word"), pa.array(out, pa.binary())], names=["id", "word", "data"])
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, null, data): the word numbers of a text in order, and its words with number 0, packed."""
-        find, codes = tokens.matches(), known()
-
-        def pack(i, begun: list[str], rest: bytes, others: list[str]) -> tuple:
-            run = b"".join([codes.of(w) for w in begun]) + rest
-            own = [w.encode() for w in begun if codes.of(w) == ZERO] + [w.encode() for w in others]
-            head = b"".join([_varint(len(run)), _varint(len(own)), *(_varint(len(w)) for w in own)])
-            return i, None, b"".join([_varint(len(head)), head, run, *own])
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for part in tokens.slices(batch, SLICE):
-                    ids, texts = part.column("id").to_pylist(), part.column("text")
-                    ok = tokens.plain(texts)
-                    for k in np.flatnonzero(~ok).tolist():
-                        yield pack(ids[k], find(texts[k].as_py()), b"", [])
-                    own = np.flatnonzero(ok)
-                    first, names, index, run, begins, ends, has = _coded(texts.filter(pa.array(ok)), codes)
-                    at = np.flatnonzero(has[index])
-                    cuts = np.searchsorted(at, begins)
-                    at = index[at].tolist()
-                    for t, x in enumerate(first):
-                        others = [w for c in at[cuts[t] : cuts[t + 1]] for w in codes.others[names[c]]]
-                        yield pack(ids[own[t]], find(x), run[ends[begins[t]] : ends[begins[t + 1]]].tobytes(), others)
-
-        yield from _batches(rows(), pa.schema([("id", kinds["id"]), ("word", pa.string()), ("data", pa.binary())]))
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by id, the words of an id before its texts."""
-        ids_of, as_bytes, as_text = tokens.keep("decoder", run_id, decoder)
-
-        def whole(data: bytes, own: dict[str, bytes]) -> list[int]:
-            size = at = 0
-            while True:
-                size |= (data[at] & 127) << 7 * at
-                at += 1
-                if data[at - 1] < 128:
-                    break
-            head = _numbers(data[at : at + size]).tolist()
-            at += size
-            codes = _numbers(data[at : at + head[0]])
-            at += head[0]
-            parts = list(map(ids_of.__getitem__, codes.tolist()))
-            for k, n in zip(np.flatnonzero(codes == 0).tolist(), head[2:]):
-                parts[k] = array("I", own[data[at : at + n].decode()])
-                at += n
-            return list(chain.from_iterable(parts))
-
-        def rows() -> Iterator[tuple]:
-            now, own, begun = None, {}, False
-            for batch in batches:
-                for i, w, data in zip(*(batch.column(c).to_pylist() for c in ("id", "word", "data"))):
-                    if not begun or i != now:
-                        now, own, begun = i, {}, True
-                    if w is not None:
-                        own[w] = data
-                        continue
-                    ids = whole(data, own)
-                    decoded = b"".join([as_bytes[x] for x in ids])
-                    if digest:
-                        yield i, len(ids), hashlib.sha256(",".join([as_text[x] for x in ids]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                    else:
-                        yield i, ids, decoded
-
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    id_type, id_kind = own.schema["id"].dataType.simpleString(), to_arrow_type(own.schema["id"].dataType)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(scan_bytes(own) // BUCKET_BYTES, MOST_BUCKETS))
+    table = bucketed(cut(own), "words", "slice", buckets)
+    words = table.where("word is not null").groupBy("word").agg(F.collect_list(F.struct("slice", "no")).alias("at"))
+    ids = encode_words(words, vocabulary).select(F.posexplode("ids").alias("pos", "token"), "at")
+    ids = ids.select("pos", "token", F.when(F.col("pos") == 0, F.col("at")).alias("at"))
+    packed = pack_words(ids.join(F.broadcast(token_bytes(spark, vocabulary)), "token").select("pos", "token", "bytes", "at"))
+
+    def assemble(texts: pa.Table, packed: pa.Table) -> pa.Table:
+        have = Words(packed["data"].to_pylist())
+        places = [np.frombuffer(x.as_py(), "<u4") for x in texts["at"]]
         if digest:
-            schema = pa.schema([("id", kinds["id"]), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+            n, ids, data = zip(*map(have.digests, places)) if places else ((), (), ())
+            out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
         else:
-            schema = pa.schema([("id", kinds["id"]), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-        yield from _batches(rows(), schema, 2_000)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            ids, data = zip(*map(have.whole, places)) if places else ((), ())
+            out, names = [pa.array(ids, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["ids", "decoded"]
+        return pa.table([texts["id"].cast(id_kind), *out], names=["id", *names])
 
-    kinds = {"id": to_arrow_type(own.schema["id"].dataType)}
-    full = f"id {id_type}, word string, data binary"
-    others = own.mapInArrow(rare, f"id {id_type}, word string").repartition("word").sortWithinPartitions("word").mapInArrow(encode, full)
-    texts = own.mapInArrow(positions, full)
-    dealt = others.unionByName(texts).repartition("id").sortWithinPartitions("id", F.col("word").asc_nulls_last())
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    return dealt.mapInArrow(assemble, f"id {id_type}, {result}")
+    texts = table.where("at is not null").select("slice", "id", "at")
+    return texts.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, {result}")

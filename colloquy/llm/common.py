@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ HEAVY = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own: list[str] = []
 _paths: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may leave it unset; a temporary one is made there."""
     if at := spark.conf.get("spark.checkpoint.dir", ""):
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="colloquy-"))
     return _own[0]
@@ -37,9 +41,25 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """saved(), with the rows of a key in one bucket: a join or cogroup by that key leaves them where they are."""
+    spark = df.sparkSession
+    _tables.append(f"colloquy_{label}_{uuid.uuid4().hex}")
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", scratch(spark, label)).saveAsTable(_tables[-1])
+    return spark.read.table(_tables[-1])
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """What Spark's statistics say that df has, or 0 where they say nothing."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 def release(spark: SparkSession) -> int:
     """Removes all scratch of this process, once no DataFrame needs it any more. Returns how many paths there were."""
     n = len(_paths)
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _paths:
         drop_path(spark, _paths.pop())
     return n

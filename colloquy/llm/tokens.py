@@ -10,11 +10,6 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
 #: The pattern of the public rank files: a fixed value.
@@ -45,21 +40,13 @@ def encoder(path: str):
     return own._encode_single_piece
 
 
-_kept: tuple[tuple[str, str], object] = (("", ""), None)
-
-
-def keep(name: str, run: str, make):
-    """What make gives, made once for a run in a Python worker. It takes the place of what was kept before, so a worker holds one such table."""
-    global _kept
-    if _kept[0] != (name, run):
-        _kept = (("", ""), None)
-        _kept = ((name, run), make())
-    return _kept[1]
+@functools.lru_cache(1)
+def pattern():
+    return regex.compile(PATTERN)
 
 
-@functools.lru_cache(1)
 def matches():
-    return regex.compile(PATTERN).findall
+    return pattern().findall
 
 
 class Memo(dict):
@@ -94,32 +81,3 @@ def words_after_space(piece: str) -> list[str]:
 
 
 _MARKS = frozenset(".,;:!?")
-
-
-#: White space other than space and newline, as a class for RE2. Some of it may not count for PATTERN; it only sends a text the slow way.
-_BLANK = "[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-
-
-def plain(texts: pa.Array) -> np.ndarray:
-    """Which texts pieces() cuts, for all at once."""
-    odd = [pc.match_substring(texts, x) for x in ("  ", "\n ", " \n")] + [pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring_regex(texts, f"{_BLANK} | {_BLANK}")]
-    return ~functools.reduce(pc.or_, odd).to_numpy(zero_copy_only=False)
-
-
-def cut_all(texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
-    """pieces() of plain texts at once: the first pieces, all pieces in one array, and where each text's begin in it (with the end)."""
-    lists = pc.split_pattern(texts, " ")
-    begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    flat = lists.flatten()
-    return flat.take(pa.array(begins[:-1])).to_pylist(), flat, begins.astype(np.int64)
-
-
-def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows whose texts have about size bytes."""
-    n = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(n):
-        end = int(np.searchsorted(n, (n[at - 1] if at else 0) + size, "right"))
-        end = min(max(end, at + 1), len(n))
-        yield batch.slice(at, end - at)
-        at = end

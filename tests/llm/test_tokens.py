@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -27,11 +29,14 @@ def test_pieces_keep_the_matches():
             assert find(cut[0]) + [w for x in cut[1] for w in tokens.words_after_space(x)] == find(t), repr(t)
 
 
-@pytest.mark.parametrize("words", [0, 5, 1 << 19])
-def test_bpe_equals_the_library(spark, own, words):
+@pytest.mark.parametrize("small", [False, True])
+def test_bpe_equals_the_library(spark, own, monkeypatch, small):
+    if small:  # many slices and batches, words in many packs
+        for name, value in (("SLICE_BYTES", 500), ("SLICE_WORDS", 50), ("PAIRS", 20), ("BATCH_BYTES", 200)):
+            monkeypatch.setattr(bpe, name, value)
     rows = [*enumerate(texts(300)), (None, "no id"), (5, "second text of 5 " + "q" * 60), (6, texts(0)[6])]
     df = spark.createDataFrame([(*r, "w", b"d") for r in rows], "doc_id long, text string, word string, data binary")
-    got = sorted([(str(r.id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(df, tokens.default_vocabulary(), words=words).collect()])
+    got = sorted([(str(r.id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(df, tokens.default_vocabulary()).collect()])
     sha = lambda b: hashlib.sha256(b).hexdigest()
     exp = []
     for i, t in rows:
@@ -40,6 +45,26 @@ def test_bpe_equals_the_library(spark, own, words):
     assert got == sorted(exp)
 
 
+def test_long_texts_go_in_steps(own, monkeypatch):
+    whole = [t or "" for t in texts(50)]
+    numbers = bpe.Numbers()
+    at = [bpe._places(t, numbers) for t in whole]
+    monkeypatch.setattr(bpe, "LONG_CHARS", 10)
+    monkeypatch.setattr(bpe, "STEP", 7)
+    again = bpe.Numbers()
+    assert at == [bpe._places(t, again) for t in whole] and list(numbers) == list(again)
+    table = {i: b for b, i in tokens.ranks(tokens.default_vocabulary()).items()}
+    packer, words = bpe.Packer(), list(numbers)
+    for part in (words[:9], words[9:]):
+        rows = [(p, x, table[x], [{"slice": 4, "no": numbers[w]}] if p == 0 else None) for w in part for p, x in enumerate(own.encode_ordinary(w))]
+        packer.add(pa.table({c: pa.array(v, k) for (c, k), v in zip((("pos", pa.int32()), ("token", pa.int32()), ("bytes", pa.binary()), ("at", pa.list_(pa.struct([("slice", pa.int64()), ("no", pa.int32())])))), zip(*rows))}))
+    have = bpe.Words(packer.flush()["data"].to_pylist())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for t, x in zip(whole, at):
+        ids = own.encode_ordinary(t)
+        assert have.digests(np.frombuffer(x, "<u4")) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode()))
+
+
 def test_bpe_ids_and_bytes(spark, own):
     df = spark.createDataFrame([(1, "the cat"), (2, None)], "doc_id long, text string")
     got = {r.id: (r.ids, bytes(r.decoded)) for r in bpe.encode_decode(df, tokens.default_vocabulary(), digest=False).collect()}
