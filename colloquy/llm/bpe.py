@@ -10,6 +10,7 @@ bucketed by slice, and only the words are shuffled, to them and back.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from itertools import islice
@@ -29,8 +30,8 @@ from .common import bucketed, scan_bytes
 SLICE_BYTES, SLICE_WORDS = 32 << 20, 400_000
 #: Texts of more characters are cut into words in steps; places of a text that are put together at once.
 LONG_CHARS, STEP = 1 << 22, 1 << 18
-#: (word, slice) pairs that a task packs at once, and the bytes of a batch of positions.
-PAIRS, BATCH_BYTES = 1 << 19, 4 << 20
+#: (word, slice) pairs that a task packs at once, the bytes of a batch of positions, and the words of a row.
+PAIRS, BATCH_BYTES, WORDS_ROW = 1 << 19, 4 << 20, 1 << 12
 #: The token-byte table is broadcast. No vocabulary with more tokens is taken.
 MOST_TOKENS = 1 << 20
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
@@ -44,54 +45,71 @@ class Numbers(dict):
         return n
 
 
-def _places(text: str, numbers: Numbers) -> bytes:
-    """The numbers of a text's words in order, four bytes each."""
+def _numbered(text: str, numbers: Numbers) -> np.ndarray:
+    """The numbers of a text's words in order."""
     if len(text) <= LONG_CHARS:
         steps = iter([tokens.matches()(text)])
     else:
         found = tokens.pattern().finditer(text)
         steps = iter(lambda: [m.group() for m in islice(found, STEP)], [])
-    return b"".join([np.fromiter(map(numbers.__getitem__, words), "<u4", len(words)).tobytes() for words in steps])
+    return np.concatenate([np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)) for words in steps] or [np.zeros(0, np.uint32)])
+
+
+def pack_places(at: np.ndarray) -> bytes:
+    """Word numbers in order: the low halves, then the high halves, which are nearly all alike."""
+    return at.astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes()
+
+
+def places(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(packed, "<u2").reshape(2, -1).astype(np.uint32)
+    return low | high << 16
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """Cuts docs(id, text binary): a row (slice, id, at) for each text and a row (slice, no, word) for each distinct word of a slice."""
+    """Cuts docs(id, text binary): a row (slice, id, at) for each text, and the distinct words of each slice in rows (slice, no, words).
+
+    Frequent words have the small numbers; no is the number of the first word of a row.
+    """
     id_type, id_kind = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
-    schema = pa.schema([("slice", pa.int64()), ("id", id_kind), ("at", pa.binary()), ("no", pa.int32()), ("word", pa.string())])
+    schema = pa.schema([("slice", pa.int64()), ("id", id_kind), ("at", pa.binary()), ("no", pa.int32()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, numbers, read = TaskContext.get().partitionId(), 0, Numbers(), 0
-
-        def texts(batch: pa.RecordBatch, first: int, places: list[bytes]) -> pa.RecordBatch:
-            n = len(places)
-            name = pa.array(np.full(n, task << 32 | serial))
-            return pa.record_batch([name, batch.column("id").slice(first, n), pa.array(places, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
-
-        def words() -> Iterator[pa.RecordBatch]:
-            found = pa.array(list(numbers), pa.string())
-            for k in range(0, len(found), 20_000):
-                part = found.slice(k, 20_000)
-                n = len(part)
-                yield pa.record_batch([pa.array(np.full(n, task << 32 | serial)), pa.nulls(n, id_kind), pa.nulls(n, pa.binary()), pa.array(np.arange(k, k + n, dtype=np.int32)), part], schema=schema)
+        ids: list[pa.Array] = []
+        texts: list[np.ndarray] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            name, words = task << 32 | serial, list(numbers)
+            order = np.argsort(-np.bincount(np.concatenate(texts), minlength=len(words)), kind="stable")
+            new = np.empty(len(words), np.uint32)
+            new[order] = np.arange(len(words), dtype=np.uint32)
+            own, a, held = pa.concat_arrays(ids), 0, 0
+            for b, x in enumerate(texts, 1):
+                held += 4 * len(x)
+                if held >= BATCH_BYTES or b == len(texts):
+                    yield pa.record_batch([pa.array(np.full(b - a, name)), own.slice(a, b - a), pa.array([pack_places(new[y]) for y in texts[a:b]], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, schema.field("words").type)], schema=schema)
+                    a, held = b, 0
+            for k in range(0, len(words), WORDS_ROW):
+                some = [words[x] for x in order[k : k + WORDS_ROW].tolist()]
+                yield pa.record_batch([pa.array([name]), pa.nulls(1, id_kind), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([some], schema.field("words").type)], schema=schema)
 
         for batch in batches:
-            first, places, held = 0, [], 0
+            first = 0
             for k, text in enumerate(batch.column("text")):
                 raw = text.as_py() or b""
-                places.append(_places(raw.decode("utf-8", "replace"), numbers))
-                read, held = read + len(raw), held + len(places[-1])
-                full = read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS
-                if full or held >= BATCH_BYTES:
-                    yield texts(batch, first, places)
-                    first, places, held = k + 1, [], 0
-                if full:
-                    yield from words()
-                    serial, numbers, read = serial + 1, Numbers(), 0
-            if places:
-                yield texts(batch, first, places)
-        yield from words()
-
-    return docs.select("id", "text").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, word string")
+                texts.append(_numbered(raw.decode("utf-8", "replace"), numbers))
+                read += len(raw)
+                if read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS:
+                    ids.append(batch.column("id").slice(first, k + 1 - first))
+                    yield from close()
+                    serial, numbers, read, first = serial + 1, Numbers(), 0, k + 1
+                    ids.clear()
+                    texts.clear()
+            ids.append(batch.column("id").slice(first))
+        if texts:
+            yield from close()
+
+    return docs.select("id", "text").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, words array<string>")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -151,7 +169,7 @@ class Packer:
         """(slice, data): a row for each slice."""
         name, no, n_at, n_ids, n_bytes, token, raw = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.pairs = [], 0
-        order = np.lexsort((no, name))
+        order = np.argsort(name, kind="stable")  # words stay in their order, which packs best
         word = np.repeat(np.arange(len(n_at)), n_at)[order]
         name, no, at_id, at_byte = name[order], no[order], _starts(n_ids)[word], _starts(n_bytes)[word]
         n_ids, n_bytes = n_ids[word], n_bytes[word]
@@ -160,7 +178,7 @@ class Packer:
         for a, b in zip(cuts, cuts[1:]):
             t, r = token[_gather(at_id[a:b], n_ids[a:b])], raw[_gather(at_byte[a:b], n_bytes[a:b])]
             plain = b"".join([x.astype("<u4").tobytes() for x in (np.array([b - a, len(t), len(r)]), no[a:b], n_ids[a:b], n_bytes[a:b], t)]) + r.tobytes()
-            data.append(len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True))
+            data.append(len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(plain, asbytes=True))
         return pa.record_batch([pa.array(name[cuts[:-1]]), pa.array(data, pa.binary())], names=["slice", "data"])
 
 
@@ -187,6 +205,29 @@ def pack_words(decoded: DataFrame) -> DataFrame:
     return decoded.mapInArrow(run, "slice long, data binary")
 
 
+@functools.lru_cache(1)
+def decimals(bits: int) -> pa.Array:
+    """The decimal texts of all ids of so many bits, each with a comma."""
+    return pa.array([b"%d," % i for i in range(1 << bits)], pa.binary())
+
+
+def _data(a: pa.Array) -> memoryview:
+    """The bytes of all values of a binary array, one after another."""
+    ends = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset)
+    return memoryview(a.buffers()[2] or b"")[ends[0] : ends[-1]]
+
+
+def _runs(raw: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary array of runs of raw."""
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _joined(a: pa.Array, n: np.ndarray) -> pa.Array:
+    """Runs of n values of a binary array, each as one value."""
+    return _runs(np.frombuffer(_data(a), np.uint8), np.add.reduceat(pc.binary_length(a).to_numpy(), _starts(n)) if len(n) else n)
+
+
 class Words:
     """The words of a slice by number: ids, their decimal text, and bytes."""
 
@@ -198,34 +239,29 @@ class Words:
             whole = np.frombuffer(plain, "<u4", 3 + 3 * n + n_t)
             no, n_ids, n_bytes, token = np.split(whole[3:].astype(np.int64), [n, 2 * n, 3 * n])
             parts.append((no, n_ids, n_bytes, token, np.frombuffer(plain, np.uint8, n_r, 4 * len(whole))))
-        no, n_ids, n_bytes, self.token, raw = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+        no, n_ids, n_bytes, self.token, raw = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint8),)
         order = np.argsort(no)
         if not np.array_equal(no[order], np.arange(len(no))):
             raise ValueError("words of a slice are missing")
-        digits = np.char.mod("%d", self.token)
-        size = np.char.str_len(digits) + 1
-        text, flat = ",".join(digits.tolist()).encode(), raw.astype(np.uint8).tobytes()
-        first = _starts(n_ids)
-        n_text = np.add.reduceat(size, first) if len(first) else size[:0]
-        at_text, at_byte = _starts(n_text), _starts(n_bytes)
-        self.n_ids, self.first = n_ids[order], first[order]
-        self.text = [text[a:b] for a, b in zip(at_text[order].tolist(), (at_text + n_text - 1)[order].tolist())]
-        self.bytes = [flat[a:b] for a, b in zip(at_byte[order].tolist(), (at_byte + n_bytes)[order].tolist())]
+        self.n_ids, first = n_ids[order], _starts(n_ids)[order]
+        self.token, self.first = self.token[_gather(first, self.n_ids)].astype(np.int32), _starts(self.n_ids)
+        texts = decimals(int(self.token.max(initial=0)).bit_length()).take(pa.array(self.token))
+        self.text = _joined(texts, self.n_ids)
+        self.bytes = _joined(_runs(raw[_gather(_starts(n_bytes)[order], n_bytes[order])], n_bytes[order]), np.ones(len(no), np.int64))
 
     def digests(self, at: np.ndarray) -> tuple[int, str, str]:
         """(n_tokens, ids_sha256, decoded_sha256) of the words at these places."""
         ids, data = hashlib.sha256(), hashlib.sha256()
         for k in range(0, len(at), STEP):
-            part = at[k : k + STEP].tolist()
-            if k:
-                ids.update(b",")
-            ids.update(b",".join(map(self.text.__getitem__, part)))
-            data.update(b"".join(map(self.bytes.__getitem__, part)))
+            part = pa.array(at[k : k + STEP])
+            text = _data(self.text.take(part))
+            ids.update(text if k + STEP < len(at) else text[: len(text) - 1])  # no comma behind the last
+            data.update(_data(self.bytes.take(part)))
         return int(self.n_ids[at].sum()), ids.hexdigest(), data.hexdigest()
 
     def whole(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
         """(ids, decoded) of the words at these places."""
-        return self.token[_gather(self.first[at], self.n_ids[at])], b"".join(map(self.bytes.__getitem__, at.tolist()))
+        return self.token[_gather(self.first[at], self.n_ids[at])], bytes(_data(self.bytes.take(pa.array(at))))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
@@ -241,20 +277,22 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     id_type, id_kind = own.schema["id"].dataType.simpleString(), to_arrow_type(own.schema["id"].dataType)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(scan_bytes(own) // BUCKET_BYTES, MOST_BUCKETS))
     table = bucketed(cut(own), "words", "slice", buckets)
-    words = table.where("word is not null").groupBy("word").agg(F.collect_list(F.struct("slice", "no")).alias("at"))
+    rows = table.where("words is not null").select("slice", "no", F.posexplode("words").alias("k", "word"))
+    rows = rows.select("word", "slice", (F.col("no") + F.col("k")).alias("no")).repartition(F.col("word"))  # no sums before the shuffle: a word is there once for each slice
+    words = rows.groupBy("word").agg(F.collect_list(F.struct("slice", "no")).alias("at"))
     ids = encode_words(words, vocabulary).select(F.posexplode("ids").alias("pos", "token"), "at")
     ids = ids.select("pos", "token", F.when(F.col("pos") == 0, F.col("at")).alias("at"))
     packed = pack_words(ids.join(F.broadcast(token_bytes(spark, vocabulary)), "token").select("pos", "token", "bytes", "at"))
 
     def assemble(texts: pa.Table, packed: pa.Table) -> pa.Table:
         have = Words(packed["data"].to_pylist())
-        places = [np.frombuffer(x.as_py(), "<u4") for x in texts["at"]]
+        at = (places(x.as_py()) for x in texts["at"])
         if digest:
-            n, ids, data = zip(*map(have.digests, places)) if places else ((), (), ())
+            n, ids, data = zip(*map(have.digests, at)) if len(texts) else ((), (), ())
             out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
         else:
-            ids, data = zip(*map(have.whole, places)) if places else ((), ())
+            ids, data = zip(*map(have.whole, at)) if len(texts) else ((), ())
             out, names = [pa.array(ids, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["ids", "decoded"]
         return pa.table([texts["id"].cast(id_kind), *out], names=["id", *names])
 
