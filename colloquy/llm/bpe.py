@@ -3,9 +3,9 @@
 One pass cuts every text into pre-tokens ("words") and leaves the text behind as the numbers of its words, position
 by position; words are numbered within a slice of the texts that one task reads, so a word takes one row for each
 slice, however often it stands there. Those rows are shuffled by word: each distinct word meets itself there, is
-encoded once, and its ids are joined with the table of token bytes, which decodes it. Ids and bytes then go back
-to the slices, where texts are put together by position. The positions never move: they lie in a table that is
-bucketed by slice, and only the words are shuffled, to them and back.
+encoded once, and its ids are joined with the table of token bytes, which decodes it. The ids then go back to the
+slices (with the decoded bytes, should they differ from the word), where texts are put together by position.
+The positions never move: they lie in a table that is bucketed by slice, and only words are shuffled.
 """
 
 from __future__ import annotations
@@ -55,12 +55,12 @@ def _numbered(text: str, numbers: Numbers) -> np.ndarray:
     return np.concatenate([np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)) for words in steps] or [np.zeros(0, np.uint32)])
 
 
-def pack_places(at: np.ndarray) -> bytes:
-    """Word numbers in order: the low halves, then the high halves, which are nearly all alike."""
+def pack_halves(at: np.ndarray) -> bytes:
+    """Numbers in order: the low halves, then the high halves, which are nearly all alike."""
     return at.astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes()
 
 
-def places(packed: bytes) -> np.ndarray:
+def halves(packed: bytes) -> np.ndarray:
     low, high = np.frombuffer(packed, "<u2").reshape(2, -1).astype(np.uint32)
     return low | high << 16
 
@@ -87,7 +87,7 @@ def cut(docs: DataFrame) -> DataFrame:
             for b, x in enumerate(texts, 1):
                 held += 4 * len(x)
                 if held >= BATCH_BYTES or b == len(texts):
-                    yield pa.record_batch([pa.array(np.full(b - a, name)), own.slice(a, b - a), pa.array([pack_places(new[y]) for y in texts[a:b]], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, schema.field("words").type)], schema=schema)
+                    yield pa.record_batch([pa.array(np.full(b - a, name)), own.slice(a, b - a), pa.array([pack_halves(new[y]) for y in texts[a:b]], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, schema.field("words").type)], schema=schema)
                     a, held = b, 0
             for k in range(0, len(words), WORDS_ROW):
                 some = [words[x] for x in order[k : k + WORDS_ROW].tolist()]
@@ -121,15 +121,23 @@ def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(ids, at) of words(word, at): the ids of each distinct word, once."""
+    """words(word, at) with the ids of each distinct word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
         for batch in batches:
             ids = [encode(w.encode()) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([pa.array(ids, pa.list_(pa.int32())), batch.column("at")], names=["ids", "at"])
+            yield pa.record_batch([batch.column("word"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "at", "ids"])
 
-    return words.mapInArrow(run, "ids array<int>, at array<struct<slice:long,no:int>>")
+    return words.mapInArrow(run, "word string, at array<struct<slice:long,no:int>>, ids array<int>")
+
+
+def decode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """words(word, at, ids) as rows (pos, token, bytes, word, at): each id with its bytes from the table of tokens. word and at stand with a word's first id only."""
+    each = words.select(F.posexplode("ids").alias("pos", "token"), "word", "at")
+    first = F.col("pos") == 0
+    each = each.select("pos", "token", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("at")).alias("at"))
+    return each.join(F.broadcast(token_bytes(words.sparkSession, vocabulary)), "token").select("pos", "token", "bytes", "word", "at")
 
 
 def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -143,47 +151,55 @@ def _starts(size: np.ndarray) -> np.ndarray:
 
 
 class Packer:
-    """Gathers the ids and bytes of words, and packs them by the slices that they go to."""
+    """Gathers the ids of words, and packs them by the slices that they go to.
+
+    Slices have the words, so decoded bytes go with the ids only where they aren't the word's own.
+    """
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.pairs = 0
+        self.lossy: dict[int, bytes] = {}
+        self.pairs = self.words = 0
 
-    def add(self, batch: pa.Table) -> None:
-        """Rows (pos, token, bytes, at) of whole words; at is null but for the first of a word."""
-        pos, token = batch["pos"].to_numpy(), batch["token"].to_numpy()
+    def add(self, rows: pa.Table) -> None:
+        """Rows (pos, token, bytes, word, at) of whole words."""
+        pos, token = rows["pos"].to_numpy(), rows["token"].to_numpy()
         first = np.flatnonzero(pos == 0)
         n_ids = np.diff(first, append=len(pos))
         if (pos != np.arange(len(pos)) - np.repeat(first, n_ids)).any():
             raise ValueError("ids of a word came out of order")
-        data = batch["bytes"].combine_chunks()
-        n_bytes = np.add.reduceat(pc.binary_length(data).to_numpy(), first).astype(np.int64)
-        at = batch["at"].combine_chunks().take(pa.array(first))
+        decoded = _joined(rows["bytes"].combine_chunks(), n_ids)
+        word = rows["word"].combine_chunks().take(pa.array(first)).cast(pa.binary())
+        for k in np.flatnonzero(pc.not_equal(decoded, word).to_numpy(zero_copy_only=False)).tolist():
+            self.lossy[self.words + k] = decoded[k].as_py()
+        at = rows["at"].combine_chunks().take(pa.array(first))
         where = at.flatten()
-        n_at = pc.list_value_length(at).to_numpy().astype(np.int64)
-        raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-        self.parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), n_at, n_ids, n_bytes, token, raw))
-        self.pairs += len(where)
+        self.parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), pc.list_value_length(at).to_numpy().astype(np.int64), n_ids, token))
+        self.pairs, self.words = self.pairs + len(where), self.words + len(first)
 
     def flush(self) -> pa.RecordBatch:
-        """(slice, data): a row for each slice."""
-        name, no, n_at, n_ids, n_bytes, token, raw = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.pairs = [], 0
+        """(slice, data, nos, decoded): a row for each slice; nos and decoded are the words that decode to other bytes."""
+        name, no, n_at, n_ids, token = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(name, kind="stable")  # words stay in their order, which packs best
         word = np.repeat(np.arange(len(n_at)), n_at)[order]
-        name, no, at_id, at_byte = name[order], no[order], _starts(n_ids)[word], _starts(n_bytes)[word]
-        n_ids, n_bytes = n_ids[word], n_bytes[word]
+        name, no, at_id, n_ids = name[order], no[order], _starts(n_ids)[word], n_ids[word]
         cuts = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(name)]
-        data = []
+        odd = np.isin(word, np.fromiter(self.lossy, np.int64, len(self.lossy)))
+        data, nos, decoded = [], [], []
         for a, b in zip(cuts, cuts[1:]):
-            t, r = token[_gather(at_id[a:b], n_ids[a:b])], raw[_gather(at_byte[a:b], n_bytes[a:b])]
-            plain = b"".join([x.astype("<u4").tobytes() for x in (np.array([b - a, len(t), len(r)]), no[a:b], n_ids[a:b], n_bytes[a:b], t)]) + r.tobytes()
+            t = token[_gather(at_id[a:b], n_ids[a:b])]
+            plain = b"".join([np.array([b - a, len(t)], "<u4").tobytes(), *(pack_halves(x) for x in (no[a:b], n_ids[a:b], t))])
             data.append(len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(plain, asbytes=True))
-        return pa.record_batch([pa.array(name[cuts[:-1]]), pa.array(data, pa.binary())], names=["slice", "data"])
+            here = a + np.flatnonzero(odd[a:b])
+            nos.append(no[here].tolist())
+            decoded.append([self.lossy[w] for w in word[here].tolist()])
+        out = pa.record_batch([pa.array(name[cuts[:-1]]), pa.array(data, pa.binary()), pa.array(nos, pa.list_(pa.int32())), pa.array(decoded, pa.list_(pa.binary()))], names=["slice", "data", "nos", "decoded"])
+        self.__init__()
+        return out
 
 
 def pack_words(decoded: DataFrame) -> DataFrame:
-    """(slice, data) of decoded(pos, token, bytes, at), in which the rows of a word stand together in order."""
+    """(slice, data, nos, decoded) of decode_words(), in which the rows of a word stand together in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, rest = Packer(), None
@@ -202,7 +218,7 @@ def pack_words(decoded: DataFrame) -> DataFrame:
         if packer.parts:
             yield packer.flush()
 
-    return decoded.mapInArrow(run, "slice long, data binary")
+    return decoded.mapInArrow(run, "slice long, data binary, nos array<int>, decoded array<binary>")
 
 
 @functools.lru_cache(1)
@@ -229,25 +245,27 @@ def _joined(a: pa.Array, n: np.ndarray) -> pa.Array:
 
 
 class Words:
-    """The words of a slice by number: ids, their decimal text, and bytes."""
+    """The words of a slice by number: ids, their decimal text, and decoded bytes. own: its rows (no, words); packed: what came back for it."""
 
-    def __init__(self, packed: list[bytes]):
+    def __init__(self, own: pa.Table, packed: pa.Table):
         parts = []
-        for x in packed:
+        for x in packed["data"].to_pylist():
             plain = pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
-            n, n_t, n_r = np.frombuffer(plain, "<u4", 3).tolist()
-            whole = np.frombuffer(plain, "<u4", 3 + 3 * n + n_t)
-            no, n_ids, n_bytes, token = np.split(whole[3:].astype(np.int64), [n, 2 * n, 3 * n])
-            parts.append((no, n_ids, n_bytes, token, np.frombuffer(plain, np.uint8, n_r, 4 * len(whole))))
-        no, n_ids, n_bytes, self.token, raw = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint8),)
+            n, n_t = np.frombuffer(plain, "<u4", 2).tolist()
+            cuts = np.cumsum([8, 4 * n, 4 * n, 4 * n_t]).tolist()
+            parts.append([halves(plain[a:b]) for a, b in zip(cuts, cuts[1:])])
+        no, n_ids, token = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
         order = np.argsort(no)
-        if not np.array_equal(no[order], np.arange(len(no))):
+        words = own.sort_by("no")["words"].combine_chunks().flatten().cast(pa.binary())
+        if not np.array_equal(no[order], np.arange(len(words))):
             raise ValueError("words of a slice are missing")
-        self.n_ids, first = n_ids[order], _starts(n_ids)[order]
-        self.token, self.first = self.token[_gather(first, self.n_ids)].astype(np.int32), _starts(self.n_ids)
-        texts = decimals(int(self.token.max(initial=0)).bit_length()).take(pa.array(self.token))
-        self.text = _joined(texts, self.n_ids)
-        self.bytes = _joined(_runs(raw[_gather(_starts(n_bytes)[order], n_bytes[order])], n_bytes[order]), np.ones(len(no), np.int64))
+        self.n_ids = n_ids[order]
+        self.token, self.first = token[_gather(_starts(n_ids)[order], self.n_ids)].astype(np.int32), _starts(self.n_ids)
+        self.text = _joined(decimals(int(self.token.max(initial=0)).bit_length()).take(pa.array(self.token)), self.n_ids)
+        lossy = dict(zip(*(packed[c].combine_chunks().flatten().to_pylist() for c in ("nos", "decoded"))))
+        if lossy:
+            words = pa.array([lossy.get(k, w) for k, w in enumerate(words.to_pylist())], pa.binary())
+        self.bytes = words
 
     def digests(self, at: np.ndarray) -> tuple[int, str, str]:
         """(n_tokens, ids_sha256, decoded_sha256) of the words at these places."""
@@ -280,13 +298,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     rows = table.where("words is not null").select("slice", "no", F.posexplode("words").alias("k", "word"))
     rows = rows.select("word", "slice", (F.col("no") + F.col("k")).alias("no")).repartition(F.col("word"))  # no sums before the shuffle: a word is there once for each slice
     words = rows.groupBy("word").agg(F.collect_list(F.struct("slice", "no")).alias("at"))
-    ids = encode_words(words, vocabulary).select(F.posexplode("ids").alias("pos", "token"), "at")
-    ids = ids.select("pos", "token", F.when(F.col("pos") == 0, F.col("at")).alias("at"))
-    packed = pack_words(ids.join(F.broadcast(token_bytes(spark, vocabulary)), "token").select("pos", "token", "bytes", "at"))
+    packed = pack_words(decode_words(encode_words(words, vocabulary), vocabulary))
 
-    def assemble(texts: pa.Table, packed: pa.Table) -> pa.Table:
-        have = Words(packed["data"].to_pylist())
-        at = (places(x.as_py()) for x in texts["at"])
+    def assemble(rows: pa.Table, packed: pa.Table) -> pa.Table:
+        have, texts = Words(rows.filter(pc.is_valid(rows["words"])), packed), rows.filter(pc.is_valid(rows["at"]))
+        at = (halves(x.as_py()) for x in texts["at"])
         if digest:
             n, ids, data = zip(*map(have.digests, at)) if len(texts) else ((), (), ())
             out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
@@ -297,5 +313,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         return pa.table([texts["id"].cast(id_kind), *out], names=["id", *names])
 
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    texts = table.where("at is not null").select("slice", "id", "at")
-    return texts.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, {result}")
+    return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, {result}")
