@@ -26,6 +26,7 @@ class Model:
     sizes: tuple[int, ...] = SIZES
     least: int = 1  # a window with fewer n-grams is filled up with empty ones
     heat: float = 1.0  # divides the logits: fitted on rows that training has not seen
+    shift: float = 0.0  # added to a text's log-odds: fitted likewise
 
 
 def clean(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,3 +205,19 @@ def fit_heat(logits: np.ndarray, y: np.ndarray) -> float:
         p = softmax(logits / heat)[np.arange(len(y)), y]
         best = min(best, (float(-np.log(np.maximum(p, 1e-12)).mean()), float(heat)))
     return best[1]
+
+
+def fit_odds(z: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
+    """(slope, shift) of the log-odds slope * z + shift that fit labels y (0 or 1) best, by Newton steps; a ridge holds the slope near 1."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -500, 500)))
+        w = p * (1 - p)
+        grad = np.array([((p - y) * z).sum() + ridge * (a - 1), (p - y).sum()])
+        hess = np.array([[(w * z * z).sum() + ridge, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
+        step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 1.0 / np.abs(step).max(initial=1e-9))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(a), 1e-3), float(b)

@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from . import subword
 from .common import crc_mod
 
-WORDS, LEAST, BITS, SIZES, WIDTH, ROUNDS, WARM, RATE, BATCH = 12, 48, 18, (3, 4, 5), 8, 12, 3, 0.25, 256
+WORDS, WORST, LEAST, BITS, SIZES, WIDTH, ROUNDS, WARM, RATE, BATCH = 3, 3, 12, 18, (3, 4, 5, 6, 7), 8, 12, 3, 0.25, 256
 #: Bounds of the sample that training sees: rows of each label, and bytes of one text and of all.
 ROWS_PER_LABEL, TEXT_BYTES, SAMPLE_BYTES = 2000, 200_000, 32 << 20
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -72,7 +72,7 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> subword.Model:
             order = np.lexsort((-worth, of))
             rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
             label = y[first + of[order]]
-            chosen = np.sort(order[(rank < 1) | ((rank < 3) & (label == 0)) | ((k < WARM) & (rank < 4))])
+            chosen = np.sort(order[(rank < 2) | ((rank < 3) & (label == 0)) | ((k < WARM) & (rank < 4))])
             bags += subword.window_bags(low, begins, t.sizes, t.bits, chosen, skip)
             ys.append(y[first + of[chosen]])
         nothing = max(8, len(bags) // 10)  # windows without n-grams are clean
@@ -85,23 +85,32 @@ def train(sample: list[tuple[bytes, int]], seed: int = 5) -> subword.Model:
     for x in (model.table, model.bias):  # only the difference counts
         x[..., 1] -= x[..., 0]
         x[..., 0] = 0
-    if len(unseen):
-        p = np.clip(scores(model, unseen), 1e-12, 1 - 1e-12)
-        model.heat = subword.fit_heat(np.stack([np.zeros(len(p)), np.log(p / (1 - p))], axis=1), y_test)
+    if len(set(y_test.tolist())) == 2:
+        slope, model.shift = subword.fit_odds(log_odds(model, unseen), y_test)
+        model.heat = 1 / slope
     return model
 
 
-def scores(model: subword.Model, texts: list[bytes]) -> np.ndarray:
-    """For each text the probability of label 1 in its worst window."""
+def log_odds(model: subword.Model, texts: list[bytes]) -> np.ndarray:
+    """For each text the mean log-odds of label 1 in its WORST worst windows (in all, if it has fewer)."""
     out = np.zeros(len(texts))
     for first, held in subword.chunks(texts):
         low, starts = subword.clean(held)
         begins, of = subword.windows(low, starts, WORDS)
-        p = subword.softmax(subword.window_logits(model, low, begins, subword.repeats(low, begins)))[:, 1]
-        np.maximum.at(out, first + of, p)
+        x = subword.window_logits(model, low, begins, subword.repeats(low, begins))
+        z = x[:, 1] - x[:, 0]
+        order = np.lexsort((-z, of))
+        rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+        top = order[rank < WORST]
+        out[first : first + len(held)] = np.bincount(of[top], z[top], len(held)) / np.bincount(of[top], minlength=len(held))
     return out
 
 
+def scores(model: subword.Model, texts: list[bytes]) -> np.ndarray:
+    """For each text the calibrated probability of label 1."""
+    return 1 / (1 + np.exp(-np.clip(log_odds(model, texts) + model.shift, -500, 500)))
+
+
 def score_udf(spark, model: subword.Model):
     held = spark.sparkContext.broadcast(model)
 
