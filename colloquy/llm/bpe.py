@@ -1,11 +1,9 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-One pass cuts every text into pre-tokens ("words") and leaves the text behind as the numbers of its words, position
-by position; words are numbered within a slice of the texts that one task reads, so a word takes one row for each
-slice, however often it stands there. Those rows are shuffled by word: each distinct word meets itself there, is
-encoded once, and its ids are joined with the table of token bytes, which decodes it. The ids then go back to the
-slices (with the decoded bytes, should they differ from the word), where texts are put together by position.
-The positions never move: they lie in a table that is bucketed by slice, and only words are shuffled.
+Texts are cut into pre-tokens ("words") with their positions (see words.py). The distinct words of each slice are
+shuffled by word: each distinct word meets itself there, is encoded once, and its ids are joined with the table of
+token bytes, which decodes it. The ids then go back to the slices (with the decoded bytes, should they differ
+from the word), where texts are put together by position. Positions never move; only words are shuffled.
 """
 
 from __future__ import annotations
@@ -18,98 +16,27 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import tokens
-from .common import bucketed, scan_bytes
+from . import tokens, words as W
 
-#: A slice is closed at so many bytes of text or distinct words; a text is never cut, so a longer one is a slice alone.
-SLICE_BYTES, SLICE_WORDS = 32 << 20, 400_000
 #: Texts of more characters are cut into words in steps; places of a text that are put together at once.
 LONG_CHARS, STEP = 1 << 22, 1 << 18
-#: (word, slice) pairs that a task packs at once, the bytes of a batch of positions, and the words of a row.
-PAIRS, BATCH_BYTES, WORDS_ROW = 1 << 19, 4 << 20, 1 << 12
 #: The token-byte table is broadcast. No vocabulary with more tokens is taken.
 MOST_TOKENS = 1 << 20
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 
 
-class Numbers(dict):
-    """A word -> its number within the slice, given at first sight."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def _numbered(text: str, numbers: Numbers) -> np.ndarray:
-    """The numbers of a text's words in order."""
-    if len(text) <= LONG_CHARS:
-        steps = iter([tokens.matches()(text)])
-    else:
-        found = tokens.pattern().finditer(text)
-        steps = iter(lambda: [m.group() for m in islice(found, STEP)], [])
-    return np.concatenate([np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)) for words in steps] or [np.zeros(0, np.uint32)])
-
-
-def pack_halves(at: np.ndarray) -> bytes:
-    """Numbers in order: the low halves, then the high halves, which are nearly all alike."""
-    return at.astype("<u2").tobytes() + (at >> 16).astype("<u2").tobytes()
-
-
-def halves(packed: bytes) -> np.ndarray:
-    low, high = np.frombuffer(packed, "<u2").reshape(2, -1).astype(np.uint32)
-    return low | high << 16
-
-
-def cut(docs: DataFrame) -> DataFrame:
-    """Cuts docs(id, text binary): a row (slice, id, at) for each text, and the distinct words of each slice in rows (slice, no, words).
-
-    Frequent words have the small numbers; no is the number of the first word of a row.
-    """
-    id_type, id_kind = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
-    schema = pa.schema([("slice", pa.int64()), ("id", id_kind), ("at", pa.binary()), ("no", pa.int32()), ("words", pa.list_(pa.string()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, numbers, read = TaskContext.get().partitionId(), 0, Numbers(), 0
-        ids: list[pa.Array] = []
-        texts: list[np.ndarray] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            name, words = task << 32 | serial, list(numbers)
-            order = np.argsort(-np.bincount(np.concatenate(texts), minlength=len(words)), kind="stable")
-            new = np.empty(len(words), np.uint32)
-            new[order] = np.arange(len(words), dtype=np.uint32)
-            own, a, held = pa.concat_arrays(ids), 0, 0
-            for b, x in enumerate(texts, 1):
-                held += 4 * len(x)
-                if held >= BATCH_BYTES or b == len(texts):
-                    yield pa.record_batch([pa.array(np.full(b - a, name)), own.slice(a, b - a), pa.array([pack_halves(new[y]) for y in texts[a:b]], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, schema.field("words").type)], schema=schema)
-                    a, held = b, 0
-            for k in range(0, len(words), WORDS_ROW):
-                some = [words[x] for x in order[k : k + WORDS_ROW].tolist()]
-                yield pa.record_batch([pa.array([name]), pa.nulls(1, id_kind), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([some], schema.field("words").type)], schema=schema)
-
-        for batch in batches:
-            first = 0
-            for k, text in enumerate(batch.column("text")):
-                raw = text.as_py() or b""
-                texts.append(_numbered(raw.decode("utf-8", "replace"), numbers))
-                read += len(raw)
-                if read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS:
-                    ids.append(batch.column("id").slice(first, k + 1 - first))
-                    yield from close()
-                    serial, numbers, read, first = serial + 1, Numbers(), 0, k + 1
-                    ids.clear()
-                    texts.clear()
-            ids.append(batch.column("id").slice(first))
-        if texts:
-            yield from close()
-
-    return docs.select("id", "text").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, words array<string>")
+def pre_tokens(text: bytes) -> Iterator[list[str]]:
+    """The words of a text, those of a long one in steps."""
+    whole = text.decode("utf-8", "replace")
+    if len(whole) <= LONG_CHARS:
+        yield tokens.matches()(whole)
+        return
+    found = tokens.pattern().finditer(whole)
+    while some := [m.group() for m in islice(found, STEP)]:
+        yield some
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -140,16 +67,6 @@ def decode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return each.join(F.broadcast(token_bytes(words.sparkSession, vocabulary)), "token").select("pos", "token", "bytes", "word", "at")
 
 
-def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The indices of runs that begin at start and are size long, one after another."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _starts(size: np.ndarray) -> np.ndarray:
-    return np.cumsum(size) - size
-
-
 class Packer:
     """Gathers the ids of words, and packs them by the slices that they go to.
 
@@ -182,14 +99,14 @@ class Packer:
         name, no, n_at, n_ids, token = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(name, kind="stable")  # words stay in their order, which packs best
         word = np.repeat(np.arange(len(n_at)), n_at)[order]
-        name, no, at_id, n_ids = name[order], no[order], _starts(n_ids)[word], n_ids[word]
+        name, no, at_id, n_ids = name[order], no[order], W.starts(n_ids)[word], n_ids[word]
         cuts = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(name)]
         odd = np.isin(word, np.fromiter(self.lossy, np.int64, len(self.lossy)))
         data, nos, decoded = [], [], []
         for a, b in zip(cuts, cuts[1:]):
-            t = token[_gather(at_id[a:b], n_ids[a:b])]
-            plain = b"".join([np.array([b - a, len(t)], "<u4").tobytes(), *(pack_halves(x) for x in (no[a:b], n_ids[a:b], t))])
-            data.append(len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(plain, asbytes=True))
+            t = token[W.gather(at_id[a:b], n_ids[a:b])]
+            plain = b"".join([np.array([b - a, len(t)], "<u4").tobytes(), *(W.pack_halves(x) for x in (no[a:b], n_ids[a:b], t))])
+            data.append(W.squeeze(plain))
             here = a + np.flatnonzero(odd[a:b])
             nos.append(no[here].tolist())
             decoded.append([self.lossy[w] for w in word[here].tolist()])
@@ -211,7 +128,7 @@ def pack_words(decoded: DataFrame) -> DataFrame:
             if end:
                 packer.add(now.slice(0, end))
             rest = now.slice(end)
-            if packer.pairs >= PAIRS:
+            if packer.pairs >= W.PAIRS:
                 yield packer.flush()
         if rest is not None and len(rest):
             packer.add(rest)
@@ -241,7 +158,7 @@ def _runs(raw: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def _joined(a: pa.Array, n: np.ndarray) -> pa.Array:
     """Runs of n values of a binary array, each as one value."""
-    return _runs(np.frombuffer(_data(a), np.uint8), np.add.reduceat(pc.binary_length(a).to_numpy(), _starts(n)) if len(n) else n)
+    return _runs(np.frombuffer(_data(a), np.uint8), np.add.reduceat(pc.binary_length(a).to_numpy(), W.starts(n)) if len(n) else n)
 
 
 class Words:
@@ -250,17 +167,17 @@ class Words:
     def __init__(self, own: pa.Table, packed: pa.Table):
         parts = []
         for x in packed["data"].to_pylist():
-            plain = pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+            plain = W.unsqueeze(x)
             n, n_t = np.frombuffer(plain, "<u4", 2).tolist()
             cuts = np.cumsum([8, 4 * n, 4 * n, 4 * n_t]).tolist()
-            parts.append([halves(plain[a:b]) for a, b in zip(cuts, cuts[1:])])
+            parts.append([W.halves(plain[a:b]) for a, b in zip(cuts, cuts[1:])])
         no, n_ids, token = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
         order = np.argsort(no)
         words = own.sort_by("no")["words"].combine_chunks().flatten().cast(pa.binary())
         if not np.array_equal(no[order], np.arange(len(words))):
             raise ValueError("words of a slice are missing")
         self.n_ids = n_ids[order]
-        self.token, self.first = token[_gather(_starts(n_ids)[order], self.n_ids)].astype(np.int32), _starts(self.n_ids)
+        self.token, self.first = token[W.gather(W.starts(n_ids)[order], self.n_ids)].astype(np.int32), W.starts(self.n_ids)
         self.text = _joined(decimals(int(self.token.max(initial=0)).bit_length()).take(pa.array(self.token)), self.n_ids)
         lossy = dict(zip(*(packed[c].combine_chunks().flatten().to_pylist() for c in ("nos", "decoded"))))
         if lossy:
@@ -279,7 +196,7 @@ class Words:
 
     def whole(self, at: np.ndarray) -> tuple[np.ndarray, bytes]:
         """(ids, decoded) of the words at these places."""
-        return self.token[_gather(self.first[at], self.n_ids[at])], bytes(_data(self.bytes.take(pa.array(at))))
+        return self.token[W.gather(self.first[at], self.n_ids[at])], bytes(_data(self.bytes.take(pa.array(at))))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
@@ -290,19 +207,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     rows and null ids give a row each. An empty table gives no rows; other columns are not read. Bytes that are no
     UTF-8 are read as replacement characters.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.lit(False).alias("counts"))
     id_type, id_kind = own.schema["id"].dataType.simpleString(), to_arrow_type(own.schema["id"].dataType)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(scan_bytes(own) // BUCKET_BYTES, MOST_BUCKETS))
-    table = bucketed(cut(own), "words", "slice", buckets)
-    rows = table.where("words is not null").select("slice", "no", F.posexplode("words").alias("k", "word"))
-    rows = rows.select("word", "slice", (F.col("no") + F.col("k")).alias("no")).repartition(F.col("word"))  # no sums before the shuffle: a word is there once for each slice
-    words = rows.groupBy("word").agg(F.collect_list(F.struct("slice", "no")).alias("at"))
+    table = W.saved_slices(own, pre_tokens, "string")
+    words = W.distinct_words(table).select("word", "at")
     packed = pack_words(decode_words(encode_words(words, vocabulary), vocabulary))
 
     def assemble(rows: pa.Table, packed: pa.Table) -> pa.Table:
         have, texts = Words(rows.filter(pc.is_valid(rows["words"])), packed), rows.filter(pc.is_valid(rows["at"]))
-        at = (halves(x.as_py()) for x in texts["at"])
+        at = (W.halves(x.as_py()) for x in texts["at"])
         if digest:
             n, ids, data = zip(*map(have.digests, at)) if len(texts) else ((), (), ())
             out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]

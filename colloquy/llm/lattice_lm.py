@@ -1,33 +1,29 @@
 """Document likelihood by a subword lattice: all segmentations of each word into pieces of a public vocabulary.
 
-The pieces and their scores come from an existing sentencepiece model, which is never trained here. Its scores rank the
-pieces; 1 / rank is the first guess of their weights. One expectation step over every distinct word of the
-training documents (forward and backward over the word's lattice, weighted by the word's count) then gives the
-unigram probabilities that score. A document is its words, each begun by the mark of a word start, and an end;
-as no piece goes over a word start, its marginal log-probability is the sum of its words'. Each distinct
-word's lattice is run once: words with many occurrences are broadcast with their counts and scores, WORDS at
-most and under keys of bounded length; the others are shuffled, and counted and scored where their rows meet.
+The pieces and their scores come from an existing sentencepiece model; neither is trained here. Its scores rank the
+pieces, and a piece's probability is in proportion to 1 / rank. What is learned from the training documents are the words'
+counts, for the base score, and the share of the end among all tokens. A document is its words, each begun by the mark of a word start, and an end;
+as no piece goes over a word start, its marginal log-probability is the sum of its words'. Texts are cut into
+words with their positions (see words.py); each distinct word is shuffled once for a slice of texts, is counted and
+its lattice run once, and its count and score go back to the slices, where each text sums its words'.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import uuid
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import words as W
 from .common import crc_mod, saved
 
-#: What a Python worker keeps of a run's frequent words, by the run.
-known_words: tuple[str, dict] = ("", {})
-ALPHA, FLOOR, WORDS, WORD_BYTES, HELD, MARK, END = 0.1, 0.1, 1 << 18, 32, 1_000_000, "▁".encode(), "</s>"
+ALPHA, MARK = 0.1, "▁".encode()
 
 
 def default_pieces() -> str:
@@ -38,7 +34,7 @@ def default_pieces() -> str:
 
 
 def vocabulary(model_path: str) -> dict[bytes, float]:
-    """Bytes of each piece -> weight 1 / rank, from the model's scores. Byte pieces rank behind all others, so every text has a segmentation."""
+    """Bytes of each piece -> weight 1 / rank, from the model's scores. Byte pieces rank behind all others, so every text has a segmentation. The weights sum to 1."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -52,11 +48,12 @@ def vocabulary(model_path: str) -> dict[bytes, float]:
             out[piece] = out.get(piece, 0.0) + 1.0 / rank[i]
     for b in range(256):
         out[bytes([b])] = out.get(bytes([b]), 0.0) + 1.0 / (n + b)
-    return out
+    z = sum(out.values())
+    return {p: w / z for p, w in out.items()}
 
 
 class Lattice:
-    """Forward and backward sums over all segmentations of a word, in log space. weights: piece -> probability."""
+    """Forward sums over all segmentations of a word. weights: piece -> probability."""
 
     def __init__(self, weights: dict[bytes, float]):
         self.weights = weights
@@ -64,245 +61,101 @@ class Lattice:
         # beginnings of pieces that are no pieces have probability 0, so that one look-up says whether to go on
         self.begun = dict.fromkeys((p[:k] for p in weights for k in range(1, len(p))), 0.0) | weights
 
-    def forward(self, word: bytes, arcs: list | None = None) -> tuple[list[float], list[float]]:
-        """(alpha, scale): the sum to position i is alpha[i] * exp(scale[i]); scales keep long words from underflow. arcs gets (end, piece, p) by start."""
+    def log_probability(self, word: bytes) -> float:
+        """The logarithm of the sum over all segmentations; a scale that moves on with the position keeps long words from underflow."""
         n, get, longest = len(word), self.begun.get, self.longest
-        alpha, scale = [0.0] * (n + 1), [0.0] * (n + 1)
+        alpha, shift = [0.0] * (n + 1), 0.0
         alpha[0] = 1.0
-        shift = 0.0
         for i in range(n):
             x = alpha[i]
             if x < 1e-200:
-                # all alphas that are still to be added to share one scale; it moves on with the position
                 up = 1.0 / x
                 shift -= math.log(up)
                 for k in range(i, min(n, i + longest) + 1):
                     alpha[k] *= up
                 x = 1.0
-            scale[i] = shift
-            here = []
             for j in range(i + 1, n + 1):
-                s = word[i:j]
-                p = get(s)
+                p = get(word[i:j])
                 if p is None:
                     break
                 if p:
                     alpha[j] += x * p
-                    if arcs is not None:
-                        here.append((j, s, p))
-            if arcs is not None:
-                arcs.append(here)
-        scale[n] = shift
-        return alpha, scale
-
-    def log_probability(self, word: bytes) -> float:
-        a, scale = self.forward(word)
-        return math.log(a[-1]) + scale[-1]
-
-    def expected(self, word: bytes, count: float, into: defaultdict[bytes, float]) -> None:
-        """Adds count times the expected uses of each piece in the word to into."""
-        arcs: list[list[tuple[int, bytes, float]]] = []
-        a, scale = self.forward(word, arcs)
-        n, plain = len(word), not scale[-1]
-        beta = [0.0] * (n + 1)  # relative to the scale of alpha at the same place, and to the whole sum
-        beta[n] = 1.0 / a[n]
-        for i in range(n - 1, -1, -1):
-            b, x, s = 0.0, count * a[i], scale[i]
-            for j, piece, p in arcs[i]:
-                t = p * beta[j]
-                if not plain and s != scale[j]:
-                    t *= math.exp(s - scale[j])
-                b += t
-                into[piece] += x * t
-            beta[i] = b
+        return math.log(alpha[n]) + shift
 
 
-def words_of(text: bytes) -> list[bytes]:
+def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in UTF-8: A-Z lower-cased, split at ASCII white space."""
-    return text.lower().split()  # of bytes: both know ASCII only
+    yield text.lower().split()  # of bytes: both know ASCII only
 
 
-def word_key(word: bytes) -> bytes:
-    """A key of bounded length: short words themselves, others a digest after a byte that UTF-8 never has."""
-    return word if len(word) <= WORD_BYTES else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n, m) of docs(text, held_out): occurrences in texts that train, and in all; each task sums before it passes its counts on."""
+def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
+    """(slice, data) of words(word, uses, at): each distinct word's training count and log10 probability, packed for the slices that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for c in rest:
-                train.setdefault(c, 0)
-            rows = list(train.items())
-            for i in range(0, len(rows), 50_000):
-                w, n = zip(*rows[i : i + 50_000])
-                yield pa.record_batch([pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array([x + rest[y] for y, x in zip(w, n)], pa.int64())], names=["word", "n", "m"])
-            train.clear()
-            rest.clear()
-
-        for batch in batches:
-            for text, out_of in zip(batch.column("text"), batch.column("held_out").to_pylist()):
-                (rest if out_of else train).update(words_of(text.as_py()))
-                if len(train) + len(rest) > HELD:
-                    yield from out()
-        yield from out()
-
-    return docs.select("text", "held_out").mapInArrow(run, "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        lattice = Lattice({p: w * (1 - end) for p, w in vocabulary(model_path).items()})
+        parts: list[tuple] = []
 
+        def flush() -> pa.RecordBatch:
+            name, no, uses, score = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            order = np.lexsort((no, name))
+            cuts = [0, *(np.flatnonzero(np.diff(name[order])) + 1).tolist(), len(name)]
+            data = [W.squeeze(b"".join([np.array(len(o), "<i8").tobytes(), no[o].astype("<i8").tobytes(), uses[o].astype("<i8").tobytes(), score[o].astype("<f8").tobytes()])) for a, b in zip(cuts, cuts[1:]) for o in [order[a:b]]]
+            return pa.record_batch([pa.array(name[order][cuts[:-1]]), pa.array(data, pa.binary())], names=["slice", "data"])
 
-def fit_pieces(counts: DataFrame, ends: int, model_path: str) -> tuple[dict[bytes, float], float]:
-    """Piece probabilities and that of the end, from one expectation step over all training words counts(word, n) and ends documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guess = vocabulary(model_path)
-        z = sum(guess.values())
-        lattice = Lattice({p: w / z for p, w in guess.items()})
-        into: defaultdict[bytes, float] = defaultdict(float)
         for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                lattice.expected(MARK + w, float(n), into)
-        if into:
-            yield pa.record_batch([pa.array(list(into), pa.binary()), pa.array(list(into.values()), pa.float64())], names=["piece", "uses"])
+            score = np.array([lattice.log_probability(MARK + w) for w in batch.column("word").to_pylist()]) / math.log(10)
+            at = batch.column("at")
+            n, where = pc.list_value_length(at).to_numpy(), at.flatten()
+            parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), np.repeat(batch.column("uses").to_numpy(), n), np.repeat(score, n)))
+            if sum(len(x[0]) for x in parts) >= W.PAIRS:
+                yield flush()
+        if parts:
+            yield flush()
 
-    uses = counts.select("word", "n").mapInArrow(run, "piece binary, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    got = {bytes(r.piece): r.uses for r in uses.collect()}  # a row for each piece of the vocabulary at most
-    pieces = {p: got.get(p, 0.0) + FLOOR for p in sorted(vocabulary(model_path))}
-    z = sum(pieces.values()) + ends + FLOOR
-    return {p: u / z for p, u in pieces.items()}, (ends + FLOOR) / z
+    return words.mapInArrow(run, "slice long, data binary")
 
 
-def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, words: int = WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """Scores every whole text, learning from the rows whose crc32(id) modulo folds isn't 0.
 
     Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score), all logarithms to base 10:
     base_score is that of add-ALPHA word unigrams, score the lattice's marginal probability. Tokens are the words and
-    one end. Null, empty and blank texts are an end alone. A null id counts as training. Repeated rows
-    count and are scored each, with one row each in the result; rows of one id with different texts
-    too. An empty table gives no rows; other columns are not read.
+    one end. Null, empty and blank texts are an end alone. A null id counts as training. Rows are never told apart by
+    id: repeated rows, and rows of one id with different texts, count and are scored each, with one row each in the
+    result. Without training rows the end has half of all probability. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     fold = F.coalesce(crc_mod(id_col, folds) == 0, F.lit(False))
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), fold.alias("held_out"))
-    id_type, id_kind = own.schema["id"].dataType.simpleString(), to_arrow_type(own.schema["id"].dataType)
-    ends = own.where("not held_out").count()
-    counts = saved(count_words(own), "counts")
-    distinct, total = counts.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = docs.select(F.struct(F.col(id_col).alias("id"), fold.alias("held_out")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), (~fold).alias("counts"))
+    id_type, id_kind = (x(docs.schema[id_col].dataType) for x in (lambda t: t.simpleString(), to_arrow_type))
+    table = W.saved_slices(own, words_of, "binary")
+    ends = table.where("at is not null and not id.held_out").count()
+    words = saved(W.distinct_words(table), "distinct")
+    distinct, total = words.agg(F.count_if(F.col("uses") > 0), F.coalesce(F.sum("uses"), F.lit(0))).first()
     n_train, n_kinds = total + ends, distinct + (ends > 0)
-    weights, end = fit_pieces(counts.where("n > 0"), ends, model_path)
-    step = F.floor(F.log2(F.col("m").cast("double")) * 8).cast("int")
-    least, held = None, 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.step):  # 512 rows at most
-        if (held := held + r.k) > words:
-            break
-        least = r.step
-    base = lambda c: math.log10((c + ALPHA) / (n_train + ALPHA * (n_kinds + 1)))
-    model = spark.sparkContext.broadcast((list(weights), np.array(list(weights.values()))))
-    run_id = uuid.uuid4().hex
-
-    def lattice() -> Lattice:
-        names, values = model.value
-        return Lattice(dict(zip(names, values.tolist())))
-
-    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = lattice()
-        for batch in batches:
-            s = [run.log_probability(MARK + w) / math.log(10) for w in batch.column("word").to_pylist()]
-            keys = [word_key(w) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([pa.array(keys, pa.binary()), batch.column("n"), pa.array(s, pa.float64())], names=["word", "n", "s"])
-
-    if least is None:
-        frequent = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-    else:
-        frequent = counts.where(step >= least).select("word", "n").mapInArrow(score_words, "word binary, n long, s double").toArrow()
-    known = spark.sparkContext.broadcast(frequent.combine_chunks().to_batches())
-
-    def table() -> dict[bytes, tuple[float, float, bool]]:
-        from . import lattice_lm as here
-
-        if here.known_words[0] != run_id:
-            rows = [x for b in known.value for x in zip(*(b.column(c).to_pylist() for c in ("word", "n", "s")))]
-            here.known_words = (run_id, {w: (base(n), s, n > 0) for w, n, s in rows})
-        return here.known_words[1]
-
-    names = ["id", "uid", "held_out", "word", "n", "n_tokens", "base", "s"]
-    kinds = [id_kind, pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def rows_of(batches: Iterator[pa.RecordBatch], rare: bool) -> Iterator[pa.RecordBatch]:
-        """The text's frequent words summed into a row with no word, or a row for each other word. uid tells rows of one id apart by their text."""
-        import xxhash
-
-        have = table()
-        first, last = base(ends), math.log10(end)
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for i, text, out in zip(batch.column("id"), batch.column("text"), batch.column("held_out")):
-                    i, text, out = i.as_py(), text.as_py(), out.as_py()
-                    uid = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    found = words_of(text)
-                    if rare:
-                        for w, n in Counter([w for w in found if w not in have and (len(w) <= WORD_BYTES or word_key(w) not in have)]).items():
-                            yield i, uid, out, w, n, None, None, None
-                    else:
-                        got = [x for x in map(have.get, found) if x is not None]
-                        if len(got) < len(found):
-                            got += [x for w in found if len(w) > WORD_BYTES and (x := have.get(word_key(w))) is not None]
-                        b, s, k = zip(*got) if got else ((), (), ())
-                        yield i, uid, out, None, sum(k) + (ends > 0), len(found) + 1, math.fsum(b) + first, math.fsum(s) + last
-
-        held = []
-        for row in rows():
-            held.append(row)
-            if len(held) == 20_000:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-                held = []
-        if held:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-
-    full = f"id {id_type}, uid long, held_out boolean, word binary, n long, n_tokens long, base double, s double"
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by word. Those of one word are few, or it would be frequent: count it, run its lattice once, and score its rows."""
-        run, now, group = lattice(), None, []
-
-        def close() -> list[tuple]:
-            c = sum(n for _, _, out, n in group if not out)
-            b, s = base(c), run.log_probability(MARK + now) / math.log(10)
-            return [(i, uid, n * (c > 0), n * b, n * s) for i, uid, _, n in group]
-
-        def record(out: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (id_kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["id", "uid", "n", "base", "s"])
-
-        out: list[tuple] = []
-        for batch in batches:
-            for i, uid, held_out, w, n in zip(*(batch.column(c).to_pylist() for c in ("id", "uid", "held_out", "word", "n"))):
-                if w != now:
-                    if group:
-                        out += close()
-                    now, group = w, []
-                    if len(out) > 20_000:
-                        yield record(out)
-                        out = []
-                group.append((i, uid, held_out, n))
-        if group:
-            out += close()
-        if out:
-            yield record(out)
-
-    others = own.mapInArrow(lambda b: rows_of(b, True), full).select("id", "uid", "held_out", "word", "n").repartition("word").sortWithinPartitions("word")
-    rare_sums = others.mapInArrow(meet, f"id {id_type}, uid long, n long, base double, s double").groupBy("id", "uid").agg(F.sum("n").alias("n2"), F.sum("base").alias("b2"), F.sum("s").alias("s2"))
-    texts = own.mapInArrow(lambda b: rows_of(b, False), full).drop("word")
-    return _join(texts, rare_sums, n_train)
-
-
-def _join(texts: DataFrame, rare_sums: DataFrame, n_train: int) -> DataFrame:
-    """Adds the other words' sums to each text's. Repeated rows have summed alike, so each takes its share."""
-    times = texts.groupBy("id", "uid", "held_out", "n", "n_tokens", "base", "s").agg(F.count("*").alias("times"))
-    right = rare_sums.select(F.col("id").alias("id2"), F.col("uid").alias("uid2"), "n2", "b2", "s2")
-    both = times.join(right, (F.col("uid") == F.col("uid2")) & F.col("id").eqNullSafe(F.col("id2")), "left")
-    share = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))
-    out = both.select("id", "held_out", "n_tokens", (F.col("n") + share("n2").cast("long")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + share("b2")).alias("base_score"), (F.col("s") + share("s2")).alias("score"), "times")
-    return out.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("__i"), "*").drop("__i", "times")
+    end = ends / n_train if n_train > ends else 0.5
+    packed = score_words(words, model_path, end)
+    base = lambda c: np.log10((c + ALPHA) / (n_train + ALPHA * (n_kinds + 1)))
+
+    def assemble(rows: pa.Table, packed: pa.Table) -> pa.Table:
+        parts = []
+        for x in packed["data"].to_pylist():
+            plain = W.unsqueeze(x)
+            n = int(np.frombuffer(plain, "<i8", 1)[0])
+            parts.append((*np.frombuffer(plain, "<i8", 2 * n, 8).reshape(2, -1), np.frombuffer(plain, "<f8", n, 8 + 16 * n)))
+        no, uses, score = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(no)
+        known, base_of, score = uses[order] > 0, base(uses[order]), score[order]
+        if not np.array_equal(no[order], np.arange(len(no))):
+            raise ValueError("words of a slice are missing")
+        texts = rows.filter(pc.is_valid(rows["at"]))
+        out = []
+        for x in texts["at"]:
+            at = W.halves(x.as_py())
+            out.append((len(at) + 1, int(known[at].sum()) + (ends > 0), n_train, float(base_of[at].sum() + base(ends)), float(score[at].sum() + math.log10(end))))
+        ids = texts["id"].combine_chunks()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+        return pa.table([ids.field("id").cast(id_kind), ids.field("held_out"), *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

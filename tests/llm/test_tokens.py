@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 
 from colloquy.llm import bpe, lengths, tokens
+from colloquy.llm import words as W
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def test_pieces_keep_the_matches():
 def test_bpe_equals_the_library(spark, own, monkeypatch, small):
     if small:  # many slices and batches, words in many packs
         for name, value in (("SLICE_BYTES", 500), ("SLICE_WORDS", 50), ("PAIRS", 20), ("BATCH_BYTES", 200), ("WORDS_ROW", 7)):
-            monkeypatch.setattr(bpe, name, value)
+            monkeypatch.setattr(W, name, value)
     rows = [*enumerate(texts(300)), (None, "no id"), (5, "second text of 5 " + "q" * 60), (6, texts(0)[6])]
     df = spark.createDataFrame([(*r, "w", b"d") for r in rows], "doc_id long, text string, word string, data binary")
     got = sorted([(str(r.id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(df, tokens.default_vocabulary()).collect()])
@@ -47,12 +48,13 @@ def test_bpe_equals_the_library(spark, own, monkeypatch, small):
 
 def test_long_texts_go_in_steps(own, monkeypatch):
     whole = [t or "" for t in texts(50)]
-    numbers = bpe.Numbers()
-    at = [bpe._numbered(t, numbers) for t in whole]
+    numbers = W.Numbers()
+    split = lambda t: [w for some in bpe.pre_tokens(t.encode()) for w in some]
+    at = [np.array([numbers[w] for w in split(t)], np.uint32) for t in whole]
+    once = [split(t) for t in whole]
     monkeypatch.setattr(bpe, "LONG_CHARS", 10)
     monkeypatch.setattr(bpe, "STEP", 7)
-    again = bpe.Numbers()
-    assert all(np.array_equal(x, bpe._numbered(t, again)) and np.array_equal(x, bpe.halves(bpe.pack_halves(x))) for x, t in zip(at, whole)) and list(numbers) == list(again)
+    assert once == [split(t) for t in whole] and all(np.array_equal(x, W.halves(W.pack_halves(x))) for x in at)
     table = {i: b for b, i in tokens.ranks(tokens.default_vocabulary()).items()}
     packer, words, lost = bpe.Packer(), list(numbers), numbers[" cat"]
     kinds = [("pos", pa.int32()), ("token", pa.int32()), ("bytes", pa.binary()), ("word", pa.string()), ("at", pa.list_(pa.struct([("slice", pa.int64()), ("no", pa.int32())])))]
