@@ -55,6 +55,7 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             ids = [encode(w.encode()) for w in batch.column("word").to_pylist()]
             yield pa.record_batch([batch.column("word"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "at", "ids"])
+        W.give_back()
 
     return words.mapInArrow(run, "word string, at array<struct<slice:long,no:int>>, ids array<int>")
 
@@ -134,6 +135,8 @@ def pack_words(decoded: DataFrame) -> DataFrame:
             packer.add(rest)
         if packer.parts:
             yield packer.flush()
+        del packer, rest
+        W.give_back()
 
     return decoded.mapInArrow(run, "slice long, data binary, nos array<int>, decoded array<binary>")
 
@@ -166,18 +169,19 @@ class Words:
 
     def __init__(self, own: pa.Table, packed: pa.Table):
         parts = []
-        for x in packed["data"].to_pylist():
-            plain = W.unsqueeze(x)
+        for x in packed["data"]:
+            plain = W.unsqueeze(x.as_py())
             n, n_t = np.frombuffer(plain, "<u4", 2).tolist()
             cuts = np.cumsum([8, 4 * n, 4 * n, 4 * n_t]).tolist()
             parts.append([W.halves(plain[a:b]) for a, b in zip(cuts, cuts[1:])])
-        no, n_ids, token = (np.concatenate(x).astype(np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        no, n_ids, token = (np.concatenate(x).view(np.int32) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+        del parts
         order = np.argsort(no)
         words = own.sort_by("no")["words"].combine_chunks().flatten().cast(pa.binary())
         if not np.array_equal(no[order], np.arange(len(words))):
             raise ValueError("words of a slice are missing")
         self.n_ids = n_ids[order]
-        self.token, self.first = token[W.gather(W.starts(n_ids)[order], self.n_ids)].astype(np.int32), W.starts(self.n_ids)
+        self.token, self.first = token[W.gather(W.starts(n_ids)[order], self.n_ids)], W.starts(self.n_ids)
         self.text = _joined(decimals(int(self.token.max(initial=0)).bit_length()).take(pa.array(self.token)), self.n_ids)
         lossy = dict(zip(*(packed[c].combine_chunks().flatten().to_pylist() for c in ("nos", "decoded"))))
         if lossy:
@@ -214,16 +218,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     packed = pack_words(decode_words(encode_words(words, vocabulary), vocabulary))
 
     def assemble(rows: pa.Table, packed: pa.Table) -> pa.Table:
-        have, texts = Words(rows.filter(pc.is_valid(rows["words"])), packed), rows.filter(pc.is_valid(rows["at"]))
-        at = (W.halves(x.as_py()) for x in texts["at"])
-        if digest:
-            n, ids, data = zip(*map(have.digests, at)) if len(texts) else ((), (), ())
-            out = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-        else:
-            ids, data = zip(*map(have.whole, at)) if len(texts) else ((), ())
-            out, names = [pa.array(ids, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["ids", "decoded"]
-        return pa.table([texts["id"].cast(id_kind), *out], names=["id", *names])
+        have = Words(rows.filter(pc.is_valid(rows["words"])).select(["no", "words"]), packed)
+        got = [(have.digests if digest else have.whole)(W.halves(x.as_py())) for x in rows["at"] if x.is_valid]
+        kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
+        columns = zip(*got) if got else [[]] * len(kinds)
+        out = pa.table([rows["id"].filter(pc.is_valid(rows["at"])).cast(id_kind), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", *names])
+        del have, got, rows, packed
+        W.give_back()
+        return out
 
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
     return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, {result}")

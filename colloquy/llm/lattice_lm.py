@@ -112,6 +112,7 @@ def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
                 yield flush()
         if parts:
             yield flush()
+        W.give_back()
 
     return words.mapInArrow(run, "slice long, data binary")
 

@@ -8,6 +8,9 @@ positions never move: they lie in a table that is bucketed by slice.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,6 +67,14 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers stay for later tasks, and several of them share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) -> DataFrame:
     """Cuts docs(id, text binary, counts boolean): a row (slice, id, at) for each text, and the distinct words of each slice in rows (slice, no, words, uses).
 
@@ -116,6 +127,8 @@ def cut(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) ->
             ids.append(batch.column("id").slice(first))
         if texts:
             yield from close()
+        del ids, texts, counted, numbers
+        give_back()
 
     return docs.select("id", "text", "counts").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, words array<{kind}>, uses array<long>")
 
