@@ -107,3 +107,33 @@ def crc_mod(name: str, m: int):
 def id_key(name: str):
     """An id as a join key that is never null."""
     return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+
+
+#: Tables of up to so many rows of ids and digests are broadcast; larger ones are shuffled.
+FEW = 1 << 18
+
+
+def if_few(table: DataFrame) -> DataFrame:
+    """A saved table of short rows, to be broadcast if it has FEW of them at most."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
+def text_digest(name: str):
+    return F.md5(text_of(name).cast("binary"))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group; rows(id, node, group, n_same) has every distinct pair of an id and a text's digest, and how often it stands there.
+
+    The smallest id stays (null last), of its texts that with the smallest digest, and of equal rows one.
+    """
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    first = rows.groupBy("group").agg(F.min(least).alias("first"))
+    several = saved(rows.groupBy("group").agg(F.sum("n_same").alias("n")).where("n > 1").join(first, "group"), "groups")
+    # only rows of groups with several have to be told: most are alone and stay
+    told = rows.join(several, "group").select(id_key("id").alias("__id"), F.col("node").alias("__node"), (~least.eqNullSafe(F.col("first"))).alias("__goes"))
+    own = docs.withColumn("__key", id_key(id_col)).withColumn("__text", text_digest(text_col))
+    marked = own.join(if_few(saved(told, "told")), (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__node")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = marked.where("__goes is null").select(*columns)
+    return alone.unionByName(marked.where("not __goes").dropDuplicates(["__key", "__text"]).select(*columns))

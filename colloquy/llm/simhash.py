@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import attach, id_key, saved
+from .common import attach, keep_first, saved, text_digest
 from .components import components
 
 DISTANCE, SEED, BUCKET, FAN = 2, 42, 1024, 16
@@ -195,6 +195,19 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
         level += 1
 
 
+def simhash_classes(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, bucket: int = BUCKET) -> DataFrame:
+    """(id, node, fp, root, component_id, n_equal) for every row: node is the text's digest, root a fingerprint that names the component."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = saved(own.select("id", text_digest("text").alias("node"), fingerprint_udf(words)("text").alias("fp")), "fingerprints")
+    total = rows.count()
+    classes = saved(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    member = saved(components(links(classes.select("fp"), distance, bucket)), "members")
+    named = classes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    sizes = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    table = attach(named, sizes, "root", "k", max(total, 1)).select("fp", "n", "root", "component_id")
+    return attach(rows, table, "fp", "n", max(total, 1)).select("id", "node", "fp", "root", "component_id", F.col("n").alias("n_equal"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """(id, fp, component_id, n_equal) for every row: fp is the fingerprint as a long, n_equal the rows that share it.
 
@@ -203,19 +216,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fewer words than a shingle are one shingle. Repeated rows are classified each. A null id is never a
     component_id unless its component has no other. An empty table gives no rows; other columns are not read.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(own.select("id", fingerprint_udf(words)("text").alias("fp")), "fingerprints")
-    total = rows.count()
-    classes = saved(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    member = saved(components(links(classes.select("fp"), distance, bucket)), "members")
-    named = classes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    linked = named.where("root is not null")
-    sizes = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
-    table = attach(linked, sizes, "root", "k", max(total, 1)).select("fp", "n", "component_id")
-    return attach(rows, table, "fp", "n", max(total, 1)).select("id", "fp", "component_id", F.col("n").alias("n_equal"))
+    return simhash_classes(docs, id_col, text_col, words, distance, bucket).drop("node", "root")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. All columns stay as they are."""
-    first = simhash_components(docs, id_col, text_col, words, distance).where("id <=> component_id").select(id_key("id").alias("__first"))
-    return docs.withColumn("__key", id_key(id_col)).join(first, F.col("__key") == F.col("__first"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """docs with one row of each component: that of the smallest id. All columns stay as they are.
+
+    Rows of one id with different texts are told apart: each may stand for a component of its own. Among texts of the
+    smallest id in one component the one with the smallest digest stays, and of equal rows one.
+    """
+    rows = simhash_classes(docs, id_col, text_col, words, distance).groupBy("id", "node", "root").agg(F.count("*").alias("n_same"))
+    return keep_first(docs, saved(rows.withColumnRenamed("root", "group"), "rows"), id_col, text_col)

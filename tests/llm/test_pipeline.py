@@ -7,14 +7,22 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from colloquy.llm import mixing, simhash, tokens, toxicity
+from colloquy.llm import mixing, tokens, toxicity
 
 WORDS = ["river", "table", "walks", "green", "morning", "letter", "window", "quiet", "paper", "garden", "stone", "music"]
 
 
-def fingerprint(text):
-    h = simhash.shingle_hashes(text, 3)
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+def shingles(text):
+    w = low(text).split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +50,6 @@ def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = [tuple(r) for r in docs.collect()]
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     order = lambda rows: sorted(rows, key=str)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
@@ -59,7 +66,7 @@ def test_stages(spark, folder):
                     best[k] = r
             kept = list(best.values())
         elif name == "simhash_near_dedup":
-            f = {r[0]: fingerprint(r[1]) for r in kept}
+            f = {r[0]: shingles(r[1]) for r in kept}
             root = {i: i for i in f}
             key = lambda i: 1 << 60 if i is None else i
 
@@ -70,7 +77,7 @@ def test_stages(spark, folder):
 
             for a in f:
                 for b in f:
-                    if a != b and (f[a] ^ f[b]).bit_count() <= 2:
+                    if a != b and alike(f[a], f[b]):
                         x, y = sorted((find(a), find(b)), key=key)
                         root[y] = x
             kept = [r for r in kept if find(r[0]) == r[0]]
