@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts are cut into pre-tokens ("words") with their positions (see words.py). The distinct words of each slice are
-shuffled by word: each distinct word meets itself there, is encoded once, and its ids are joined with the table of
-token bytes, which decodes it. The ids then go back to the slices (with the decoded bytes, should they differ
-from the word), where texts are put together by position. Positions never move; only words are shuffled.
+shuffled by word: each distinct word meets itself there and is encoded once. Its ids are joined back to the slices, and
+there with the table of token bytes, which decodes them; texts are put together by position. Positions never
+move; only words are shuffled.
 """
 
 from __future__ import annotations
@@ -11,16 +11,18 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import tokens, words as W
+from . import tokens
+from . import words as W
+from .common import give_back, small_batches
 
 #: Texts of more characters are cut into words in steps; places of a text that are put together at once.
 LONG_CHARS, STEP = 1 << 22, 1 << 18
@@ -39,106 +41,47 @@ def pre_tokens(text: bytes) -> Iterator[list[str]]:
         yield some
 
 
-def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
+def token_bytes(vocabulary: str) -> pa.Table:
     """(token, bytes): the vocabulary file as a table."""
     ranks = tokens.ranks(vocabulary)
-    if len(ranks) > MOST_TOKENS:
+    if len(ranks) > MOST_TOKENS or max(ranks.values(), default=0) >= MOST_TOKENS:
         raise ValueError(f"{len(ranks)} tokens are more than {MOST_TOKENS}")
-    return spark.createDataFrame(pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+    return pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}).sort_by("token")
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """words(word, at) with the ids of each distinct word."""
+    """(slice, data) of words(word, at): the ids of each distinct word, encoded once and packed for the slices that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary)
-        for batch in batches:
-            ids = [encode(w.encode()) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "at", "ids"])
-        W.give_back()
-
-    return words.mapInArrow(run, "word string, at array<struct<slice:long,no:int>>, ids array<int>")
-
-
-def decode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """words(word, at, ids) as rows (pos, token, bytes, word, at): each id with its bytes from the table of tokens. word and at stand with a word's first id only."""
-    each = words.select(F.posexplode("ids").alias("pos", "token"), "word", "at")
-    first = F.col("pos") == 0
-    each = each.select("pos", "token", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("at")).alias("at"))
-    return each.join(F.broadcast(token_bytes(words.sparkSession, vocabulary)), "token").select("pos", "token", "bytes", "word", "at")
-
-
-class Packer:
-    """Gathers the ids of words, and packs them by the slices that they go to.
-
-    Slices have the words, so decoded bytes go with the ids only where they aren't the word's own.
-    """
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.lossy: dict[int, bytes] = {}
-        self.pairs = self.words = 0
-
-    def add(self, rows: pa.Table) -> None:
-        """Rows (pos, token, bytes, word, at) of whole words."""
-        pos, token = rows["pos"].to_numpy(), rows["token"].to_numpy()
-        first = np.flatnonzero(pos == 0)
-        n_ids = np.diff(first, append=len(pos))
-        if (pos != np.arange(len(pos)) - np.repeat(first, n_ids)).any():
-            raise ValueError("ids of a word came out of order")
-        decoded = _joined(rows["bytes"].combine_chunks(), n_ids)
-        word = rows["word"].combine_chunks().take(pa.array(first)).cast(pa.binary())
-        for k in np.flatnonzero(pc.not_equal(decoded, word).to_numpy(zero_copy_only=False)).tolist():
-            self.lossy[self.words + k] = decoded[k].as_py()
-        at = rows["at"].combine_chunks().take(pa.array(first))
-        where = at.flatten()
-        self.parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), pc.list_value_length(at).to_numpy().astype(np.int64), n_ids, token))
-        self.pairs, self.words = self.pairs + len(where), self.words + len(first)
-
-    def flush(self) -> pa.RecordBatch:
-        """(slice, data, nos, decoded): a row for each slice; nos and decoded are the words that decode to other bytes."""
-        name, no, n_at, n_ids, token = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(name, kind="stable")  # words stay in their order, which packs best
-        word = np.repeat(np.arange(len(n_at)), n_at)[order]
-        name, no, at_id, n_ids = name[order], no[order], W.starts(n_ids)[word], n_ids[word]
-        cuts = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(name)]
-        odd = np.isin(word, np.fromiter(self.lossy, np.int64, len(self.lossy)))
-        data, nos, decoded = [], [], []
-        for a, b in zip(cuts, cuts[1:]):
-            t = token[W.gather(at_id[a:b], n_ids[a:b])]
-            plain = b"".join([np.array([b - a, len(t)], "<u4").tobytes(), *(W.pack_halves(x) for x in (no[a:b], n_ids[a:b], t))])
-            data.append(W.squeeze(plain))
-            here = a + np.flatnonzero(odd[a:b])
-            nos.append(no[here].tolist())
-            decoded.append([self.lossy[w] for w in word[here].tolist()])
-        out = pa.record_batch([pa.array(name[cuts[:-1]]), pa.array(data, pa.binary()), pa.array(nos, pa.list_(pa.int32())), pa.array(decoded, pa.list_(pa.binary()))], names=["slice", "data", "nos", "decoded"])
-        self.__init__()
-        return out
+        encode, parts = tokens.encoder(vocabulary), []
+
+        def flush() -> pa.RecordBatch:
+            name, no, n_at, n_ids, token = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            order = np.argsort(name, kind="stable")  # words stay in their order, which packs best
+            word = np.repeat(np.arange(len(n_at)), n_at)[order]
+            name, no, at_id, n_ids = name[order], no[order], W.starts(n_ids)[word], n_ids[word]
+            cuts = [0, *(np.flatnonzero(np.diff(name)) + 1).tolist(), len(name)]
+            data = []
+            for a, b in zip(cuts, cuts[1:]):
+                t = token[W.gather(at_id[a:b], n_ids[a:b])]
+                data.append(W.squeeze(b"".join([np.array([b - a, len(t)], "<u4").tobytes(), *(W.pack_halves(x) for x in (no[a:b], n_ids[a:b], t))])))
+            return pa.record_batch([pa.array(name[cuts[:-1]]), pa.array(data, pa.binary())], names=["slice", "data"])
 
-
-def pack_words(decoded: DataFrame) -> DataFrame:
-    """(slice, data, nos, decoded) of decode_words(), in which the rows of a word stand together in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, rest = Packer(), None
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if rest is None else pa.concat_tables([rest, now])
-            last = np.flatnonzero(now["pos"].to_numpy() == 0)
-            end = int(last[-1]) if len(last) else 0  # the last word may go on
-            if end:
-                packer.add(now.slice(0, end))
-            rest = now.slice(end)
-            if packer.pairs >= W.PAIRS:
-                yield packer.flush()
-        if rest is not None and len(rest):
-            packer.add(rest)
-        if packer.parts:
-            yield packer.flush()
-        del packer, rest
-        W.give_back()
-
-    return decoded.mapInArrow(run, "slice long, data binary, nos array<int>, decoded array<binary>")
+            ids = [encode(w.as_py().encode()) for w in batch.column("word")]
+            at = batch.column("at")
+            where = at.flatten()
+            n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+            token = np.fromiter(chain.from_iterable(ids), np.int32, int(n_ids.sum()))
+            parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), pc.list_value_length(at).to_numpy().astype(np.int64), n_ids, token))
+            if sum(len(x[0]) for x in parts) >= W.PAIRS:
+                yield flush()
+        if parts:
+            yield flush()
+        give_back()
+
+    return words.mapInArrow(run, "slice long, data binary")
 
 
 @functools.lru_cache(1)
@@ -164,29 +107,35 @@ def _joined(a: pa.Array, n: np.ndarray) -> pa.Array:
     return _runs(np.frombuffer(_data(a), np.uint8), np.add.reduceat(pc.binary_length(a).to_numpy(), W.starts(n)) if len(n) else n)
 
 
+def join_bytes(ids: np.ndarray, table: pa.Table) -> pa.Array:
+    """The bytes of each id, joined from a table of tokens in order. Its key is dense, or nearly, so the join is one gather."""
+    tokens_of = table["token"].to_numpy()
+    dense = np.full(int(tokens_of[-1]) + 1 if len(tokens_of) else 1, -1)
+    dense[tokens_of] = np.arange(len(tokens_of))
+    if len(ids) and (ids.max() >= len(dense) or (dense[ids] < 0).any()):
+        raise ValueError("an id is not in the table of tokens")
+    return table["bytes"].combine_chunks().take(pa.array(dense[ids]))
+
+
 class Words:
-    """The words of a slice by number: ids, their decimal text, and decoded bytes. own: its rows (no, words); packed: what came back for it."""
+    """The words of a slice by number: ids, their decimal text, and decoded bytes. packed: what came back for the slice; table: the bytes of tokens."""
 
-    def __init__(self, own: pa.Table, packed: pa.Table):
+    def __init__(self, packed: list[bytes], table: pa.Table):
         parts = []
-        for x in packed["data"]:
-            plain = W.unsqueeze(x.as_py())
+        for x in packed:
+            plain = W.unsqueeze(x)
             n, n_t = np.frombuffer(plain, "<u4", 2).tolist()
             cuts = np.cumsum([8, 4 * n, 4 * n, 4 * n_t]).tolist()
             parts.append([W.halves(plain[a:b]) for a, b in zip(cuts, cuts[1:])])
         no, n_ids, token = (np.concatenate(x).view(np.int32) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
         del parts
         order = np.argsort(no)
-        words = own.sort_by("no")["words"].combine_chunks().flatten().cast(pa.binary())
-        if not np.array_equal(no[order], np.arange(len(words))):
+        if not np.array_equal(no[order], np.arange(len(no))):
             raise ValueError("words of a slice are missing")
         self.n_ids = n_ids[order]
         self.token, self.first = token[W.gather(W.starts(n_ids)[order], self.n_ids)], W.starts(self.n_ids)
         self.text = _joined(decimals(int(self.token.max(initial=0)).bit_length()).take(pa.array(self.token)), self.n_ids)
-        lossy = dict(zip(*(packed[c].combine_chunks().flatten().to_pylist() for c in ("nos", "decoded"))))
-        if lossy:
-            words = pa.array([lossy.get(k, w) for k, w in enumerate(words.to_pylist())], pa.binary())
-        self.bytes = words
+        self.bytes = _joined(join_bytes(self.token, table), self.n_ids)
 
     def digests(self, at: np.ndarray) -> tuple[int, str, str]:
         """(n_tokens, ids_sha256, decoded_sha256) of the words at these places."""
@@ -213,20 +162,35 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.lit(False).alias("counts"))
     id_type, id_kind = own.schema["id"].dataType.simpleString(), to_arrow_type(own.schema["id"].dataType)
-    table = W.saved_slices(own, pre_tokens, "string")
-    words = W.distinct_words(table).select("word", "at")
-    packed = pack_words(decode_words(encode_words(words, vocabulary), vocabulary))
+    slices = W.saved_slices(own, pre_tokens, "string")
+    packed = encode_words(W.distinct_words(slices).select("word", "at"), vocabulary)
+    table = docs.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))  # MOST_TOKENS rows at most
 
     def assemble(rows: pa.Table, packed: pa.Table) -> pa.Table:
-        have = Words(rows.filter(pc.is_valid(rows["words"])).select(["no", "words"]), packed)
-        got = [(have.digests if digest else have.whole)(W.halves(x.as_py())) for x in rows["at"] if x.is_valid]
+        have = Words([x.as_py() for x in packed["data"]], table.value)
+        got = [(have.digests if digest else have.whole)(W.halves(x.as_py())) for x in rows["at"]]
         kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
         columns = zip(*got) if got else [[]] * len(kinds)
-        out = pa.table([rows["id"].filter(pc.is_valid(rows["at"])).cast(id_kind), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", *names])
+        out = pa.table([rows["id"].cast(id_kind), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", *names])
         del have, got, rows, packed
-        W.give_back()
+        give_back()
         return out
 
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, {result}")
+    texts = slices.where("at is not null").select("slice", "id", "at")
+    return texts.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, {result}")
+
+
+def decode(encoded: DataFrame, vocabulary: str, id_col: str = "id") -> DataFrame:
+    """(id, decoded) of encoded(id, ids array<int>), whose ids differ: every id with its place, joined with the table of tokens, and put in order again.
+
+    Texts without ids (null or empty) have no bytes. An id that is no token fails.
+    """
+    spark = encoded.sparkSession
+    small_batches(spark)
+    table = F.broadcast(spark.createDataFrame(token_bytes(vocabulary)))  # MOST_TOKENS rows at most
+    each = encoded.select(F.col(id_col).alias("id"), F.posexplode_outer("ids").alias("pos", "token"))
+    found = each.join(table, "token", "left").withColumn("hex", F.when(F.col("token").isNotNull(), F.coalesce(F.hex("bytes"), F.raise_error(F.lit("an id is not in the table of tokens")))))
+    whole = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
+    return whole.select("id", F.unhex(F.array_join(F.transform("parts", lambda p: p.hex), "")).alias("decoded"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +114,21 @@ def id_key(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit("null"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of a few megabytes between Spark and Python: texts are long, and several workers share an executor's memory. What the application itself has set stays."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2048"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers stay for later tasks, and several of them share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Tables of up to so many rows of ids and digests are broadcast; larger ones are shuffled.
 FEW = 1 << 18
 
@@ -137,3 +157,11 @@ def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     columns = [F.col(f"`{c}`") for c in docs.columns]
     alone = marked.where("__goes is null").select(*columns)
     return alone.unionByName(marked.where("not __goes").dropDuplicates(["__key", "__text"]).select(*columns))
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What is still there goes when the driver ends, as far as Spark still runs."""
+    with contextlib.suppress(Exception):
+        if spark := SparkSession.getActiveSession():
+            release(spark)

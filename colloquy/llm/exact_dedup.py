@@ -36,8 +36,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # verified: only what really has 2 rows or more and 1/(4 * HEAVY) of all is worth a place in the broadcast
     heavy = saved(seen.where(f"group_size > 1 and group_size * {4 * HEAVY} >= {d.count()}"), "heavy")
     hit = d.join(F.broadcast(heavy), "digest", "left")
-    at_top = hit.where("group_size is not null and id <=> keep_id").groupBy("digest", "keep_id", "group_size").agg(F.count("*").alias("n"))
-    first = at_top.select(F.col("keep_id").alias("id"), "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"), "digest").select("id", "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "digest")
+    # equal rows of a winner: each has a number of its own, written down, and the smallest stays
+    at_top = saved(hit.where("group_size is not null and id <=> keep_id").withColumn("row", F.monotonically_increasing_id()), "winners")
+    stays = at_top.groupBy(F.col("digest").alias("d")).agg(F.min("row").alias("stays"))  # one for each heavy digest
+    first = at_top.join(F.broadcast(stays), F.col("digest") == F.col("d")).select("id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), "digest")
     lower = hit.where("group_size is not null and not (id <=> keep_id)").select("id", "keep_id", "group_size", F.lit(False).alias("kept"), "digest")
     w = Window.partitionBy("digest")
     rest = (

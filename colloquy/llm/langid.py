@@ -11,19 +11,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from . import subword
-from .common import crc_mod
+from .common import crc_mod, give_back, small_batches
 from .toxicity import sample_rows
 
 BITS, SIZES, WIDTH, EPOCHS, RATE, BATCH, WORDS = 18, (2, 3, 4), 12, 4, 0.25, 256, 24
-#: Bounds of the sample: rows of each language; languages, those with the most rows first; windows of a row in an epoch.
-ROWS_PER_LANG, MOST_LANGS, WINDOWS = 600, 256, 8
+#: Bounds of the sample: rows of each language, and windows of a row; toxicity.py has those of all rows and of bytes. Every language is learned.
+ROWS_PER_LANG, WINDOWS = 600, 8
 FOLDS, HELD_OUT, ACCEPTED, UNKNOWN = 4, 2, 0.995, "und"
 
 
@@ -79,11 +79,9 @@ def text_logits(model: subword.Model, texts: list[bytes]) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
     """Learns from a bounded sample of the rows with a language whose crc32(id) modulo FOLDS isn't HELD_OUT."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where(crc_mod("id", FOLDS) != HELD_OUT).where(F.col("lang").isNotNull())
-    top = own.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGS).select("lang")
-    known = own.join(F.broadcast(top), "lang").select("id", "lang")
-    return train(sample_rows(own.select("id", "text"), known, "id", "text", "lang", ROWS_PER_LANG))
+    return train(sample_rows(own.select("id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label")), ROWS_PER_LANG))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -94,22 +92,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     score 0, and so is every text if no language could be learned. A null id is not held out, and isn't learned from.
     Repeated rows are scored each alike. An empty table gives no rows; columns other than these are not read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
 
-    @pandas_udf("lang_pred string, score double, accepted boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("lang_pred string, score double, accepted boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         who, letter = held.value, regex.compile(r"\p{L}").search
         for texts in batches:
-            out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "accepted": False}, index=range(len(texts)))
-            on = [i for i, t in enumerate(texts) if t and letter(t)] if who else []
+            n = len(texts)
+            lang, score, sure = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
+            said = [t.as_py() for t in texts]
+            on = [i for i, t in enumerate(said) if t and letter(t)] if who else []
             if on:
-                p = subword.softmax(text_logits(who.model, [texts.iloc[i].encode("utf-8", "replace") for i in on]))
+                p = subword.softmax(text_logits(who.model, [said[i].encode("utf-8", "replace") for i in on]))
                 best = p.argmax(axis=1)
-                score = p[np.arange(len(on)), best]
-                out.loc[on, "lang_pred"] = np.array(who.model.classes, object)[best]
-                out.loc[on, "score"] = score
-                out.loc[on, "accepted"] = score >= who.least
-            yield out
+                lang[on], score[on] = np.array(who.model.classes, object)[best], p[np.arange(len(on)), best]
+                sure[on] = score[on] >= who.least
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(sure)], ["lang_pred", "score", "accepted"])
+        give_back()
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = own.select("id", F.coalesce(crc_mod("id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), predict("text").alias("p"))

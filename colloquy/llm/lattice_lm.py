@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words as W
-from .common import crc_mod, saved
+from .common import crc_mod, give_back, saved
 
 ALPHA, MARK = 0.1, "▁".encode()
 
@@ -112,7 +112,7 @@ def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
                 yield flush()
         if parts:
             yield flush()
-        W.give_back()
+        give_back()
 
     return words.mapInArrow(run, "slice long, data binary")
 
@@ -157,6 +157,8 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         ids = texts["id"].combine_chunks()
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+        del parts, no, uses, score, order, known, base_of, texts, out
+        give_back()
         return pa.table([ids.field("id").cast(id_kind), ids.field("held_out"), *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from . import tokens
-from .common import saved
+from .common import give_back, saved, small_batches
 
 SPAN, MEMO = 128, 400_000
 
@@ -23,8 +23,8 @@ SPAN, MEMO = 128, 400_000
 def token_count_udf(vocabulary: str):
     """Number of byte-level BPE ids of a whole text, without special tokens; a null text has none."""
 
-    @pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         find, encode = tokens.matches(), tokens.encoder(vocabulary)
         size = tokens.Memo(lambda w: len(encode(w.encode("utf-8", "replace"))), MEMO)
         whole = lambda t: sum(size[w] for w in find(t))
@@ -38,13 +38,16 @@ def token_count_udf(vocabulary: str):
             return whole(cut[0]) + sum(map(after.__getitem__, cut[1]))
 
         for texts in batches:
-            yield pd.Series([of(t) for t in texts], dtype="int64")
+            yield pa.array([of(t.as_py()) for t in texts], pa.int64())
+        del size, after
+        give_back()
 
     return count
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """(n_tokens, docs): how many documents have each encoded length. It is written out, so that texts are encoded once."""
+    small_batches(docs.sparkSession)
     sizes = docs.select(token_count_udf(vocabulary)(F.col(text_col).cast("string")).alias("n_tokens"))
     return saved(sizes.groupBy("n_tokens").agg(F.count("*").alias("docs")), "lengths")
 

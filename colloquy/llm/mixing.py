@@ -56,16 +56,16 @@ def solve_exponent(sources: DataFrame, entropy: float | None = None, repetition:
     return high
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = None, repetition: float | None = 2.0, budget: int | None = None, seed: int = 17) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = None, repetition: float | None = 2.0, budget: int | None = None, seed: int = 17, tokens_col: str | None = None) -> DataFrame:
     """(id, source, n_tokens, weight, copies, block) for every row: how often the mix holds the document.
 
-    budget is in words; None means the smallest in which every document is held once at least. copies is the number
+    Tokens are words between ASCII white space, or what column tokens_col counts (null: none). budget is in tokens; None means the smallest in which every document is held once at least. copies is the number
     of whole passes, and one more if the document lies in the permuted blocks that fill the rest of the
     quota. Documents without words (null, empty or blank texts) take no budget: one copy and block 0. A null
     source is a source of its own. Repeated rows count each and may get different copies only through their
     place in a block. An empty table gives no rows; other columns are not read.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("n_tokens"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(text_col) if tokens_col is None else F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long"))).alias("n_tokens"))
     rows = saved(own.withColumn("key", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))), "sizes")
     totals = rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     whole = totals.agg(F.sum("tokens").alias("t"), F.sum("n").alias("n")).first()
@@ -100,7 +100,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
-    """docs with every row as often as plan_mix() says; all columns stay as they are. Rows with one id get the same number."""
-    copies = plan_mix(docs, id_col, text_col, source_col, **plan).groupBy(id_key("id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    held = docs.withColumn("__key", id_key(id_col)).join(copies, F.col("__key") == F.col("__id")).drop("__key", "__id")
-    return held.where("__copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__pass", "__copies")
+    """docs with every row as often as plan_mix() says; all columns stay as they are. Rows with one id get the same number, the largest of theirs."""
+    rows = plan_mix(docs, id_col, text_col, source_col, **plan).groupBy(id_key("id").alias("__key")).agg(F.max("copies").alias("__copies"), F.count("*").alias("__rows"))
+    copies = saved(rows, "copies")
+    total = copies.agg(F.sum("__rows")).first()[0] or 1
+    held = attach(docs.withColumn("__key", id_key(id_col)), copies, "__key", "__rows", total)
+    return held.where("__copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,9 +18,9 @@ def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_transport_stream_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ts_media.read_media(ts_media.encode_media(table(spark, sf_dir, "documents")))
+    out = ts_media.read_media(ts_media.store_media(table(spark, sf_dir, "documents")))
     first, last = F.expr("points[0].pts"), F.expr("points[size(points) - 1].pts")
-    feature = F.format_string("programs=%d packets=%d units=%d random_access=%d first_pts=%d last_pts=%d lost=%d broken=%d", "programs", "packets", "units", F.size("points"), first, last, "lost", "broken")
+    feature = F.format_string("programs=%d packets=%d units=%d random_access=%d first_pts=%d last_pts=%d lost=%d broken=%d damaged=%d", "programs", "packets", "units", F.size("points"), first, last, "lost", "broken", "damaged")
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 

@@ -13,14 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from .common import attach, keep_first, saved, text_digest
+from .common import attach, give_back, keep_first, saved, small_batches, text_digest
 from .components import components
 
 DISTANCE, SEED, BUCKET, FAN = 2, 42, 1024, 16
@@ -46,10 +45,11 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprint_udf(words: int):
-    @pandas_udf("long")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("long")
+    def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([majority(np.array(shingle_hashes(t, words), "<u8")) for t in texts], dtype="int64")
+            yield pa.array([majority(np.array(shingle_hashes(t.as_py(), words), "<u8")) for t in texts], pa.int64())
+        give_back()
 
     return fingerprint
 
@@ -197,6 +197,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
 
 def simhash_classes(docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, bucket: int = BUCKET) -> DataFrame:
     """(id, node, fp, root, component_id, n_equal) for every row: node is the text's digest, root a fingerprint that names the component."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = saved(own.select("id", text_digest("text").alias("node"), fingerprint_udf(words)("text").alias("fp")), "fingerprints")
     total = rows.count()

@@ -2,7 +2,8 @@
 
 The features of a text are the byte n-grams of its words (A-Z lower-cased, each word between two spaces), hashed into
 buckets. A class's score of a window is linear in the mean of its n-grams' embeddings, so for scoring the
-product of embeddings and softmax weights is kept: a row of class scores for each bucket.
+product of embeddings and softmax weights is kept, a row of class scores for each bucket, unless there are more
+classes than an embedding has numbers.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ _LOW[9:14] = 32
 
 @dataclass
 class Model:
-    table: np.ndarray  # buckets x classes
+    table: np.ndarray  # buckets x classes, or buckets x width
     bias: np.ndarray
     classes: list
     bits: int
     sizes: tuple[int, ...] = SIZES
     least: int = 1  # a window with fewer n-grams is filled up with empty ones
     heat: float = 1.0  # divides the logits: fitted on rows that training has not seen
+    out: np.ndarray | None = None  # with many classes the table has embeddings, and these are the softmax weights
     shift: float = 0.0  # added to a text's log-odds: fitted likewise
 
 
@@ -120,7 +122,8 @@ def window_logits(model: Model, low: np.ndarray, begins: np.ndarray, skip: np.nd
         for c in used:
             sums[c][at] += columns[c][bucket]
     n = np.maximum(np.add.reduceat(count, begins), model.least)
-    return (np.stack([np.add.reduceat(x, begins) / n for x in sums], axis=1) + model.bias) / model.heat
+    means = np.stack([np.add.reduceat(x, begins) / n for x in sums], axis=1)
+    return ((means if model.out is None else means @ model.out) + model.bias) / model.heat
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -153,6 +156,8 @@ class Trainer:
         self.classes, self.bits, self.sizes, self.rate, self.least, self.rng = classes, bits, sizes, rate, least, rng
 
     def model(self) -> Model:
+        if len(self.classes) > self.w.shape[0]:
+            return Model(self.e.astype(float), self.b.astype(float), self.classes, self.bits, self.sizes, self.least, out=self.w.astype(float))
         return Model((self.e @ self.w).astype(float), self.b.astype(float), self.classes, self.bits, self.sizes, self.least)
 
     def step(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:

@@ -12,38 +12,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from . import subword
-from .common import crc_mod
+from .common import crc_mod, give_back, if_few, saved, small_batches, text_of
 
 WORDS, WORST, LEAST, BITS, SIZES, WIDTH, ROUNDS, WARM, RATE, BATCH = 3, 3, 12, 18, (3, 4, 5, 6, 7), 8, 12, 3, 0.25, 256
-#: Bounds of the sample that training sees: rows of each label, and bytes of one text and of all.
-ROWS_PER_LABEL, TEXT_BYTES, SAMPLE_BYTES = 2000, 200_000, 32 << 20
+#: Bounds of the sample that training sees: rows of each label and of all, and bytes of one text and of all.
+ROWS_PER_LABEL, SAMPLE_ROWS, TEXT_BYTES, SAMPLE_BYTES = 2000, 1 << 17, 200_000, 32 << 20
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[bytes, object]]:
-    """A bounded, repeatable sample (text, label): for each label the rows of the smallest hashes, as far as SAMPLE_BYTES go.
+def sample_rows(rows: DataFrame, per_label: int) -> list[tuple[bytes, object]]:
+    """A bounded, repeatable sample (text, label) of rows(id, text, label): for each label those of the smallest hashes of id and text.
 
-    Texts of over TEXT_BYTES are left out of the sample. Rows without a label are none.
+    Every label has per_label rows at most, all labels together SAMPLE_ROWS, and their texts SAMPLE_BYTES; the first of every
+    label go before the second ones. Texts of over TEXT_BYTES are left out of the sample. Equal rows count once, and rows that
+    have one id and text but several labels are not learned from. Rows without a label are none.
     """
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).dropDuplicates(["__id"])
-    # only the smallest hashes go on, about twice as many as are wanted, so that a label's rows don't meet in one task
-    sizes = known.groupBy("__label").agg(F.count("*").alias("__size"))
-    near = known.join(F.broadcast(sizes), "__label").where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.lit(1 << 30) * F.lit(2.0 * rows + 100) / F.col("__size"))
-    pick = Window.partitionBy("__label").orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)), "__id")
-    few = near.withColumn("__n", F.row_number().over(pick)).where(F.col("__n") <= rows).select("__id", "__label")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the sample's ids are rows * labels at most: bounded, so broadcast
-    own = docs.select(F.col(id_col).alias("__doc"), text.alias("__text")).where(F.octet_length("__text") <= TEXT_BYTES)
-    got = own.join(F.broadcast(few), F.col("__doc") == F.col("__id")).select("__text", "__label", F.xxhash64("__id").alias("h"))
-    share = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    got = got.withColumn("__sum", F.sum(F.octet_length("__text")).over(share)).where(F.col("__sum") <= SAMPLE_BYTES)
-    return sorted((r["__text"].encode("utf-8", "replace"), r["__label"]) for r in got.select("__text", "__label").toLocalIterator())
+    own = rows.where(F.col("label").isNotNull()).withColumn("n", F.octet_length("text")).where(F.col("n") <= TEXT_BYTES)
+    own = own.select("text", "label", "n", F.xxhash64("id", "text").alias("h"))
+    sizes = rows.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("__label")).agg(F.count("*").alias("size"))
+    per_label = max(1, min(per_label, SAMPLE_ROWS // max(sizes.count(), 1)))
+    # about twice as many hashes as are wanted are looked at, and none of the texts
+    near = own.select("label", "n", "h").join(sizes, F.col("label") == F.col("__label"))
+    near = near.where(F.pmod("h", F.lit(1 << 30)) < F.lit(1 << 30) * F.lit(2.0 * per_label + 20) / F.col("size"))
+    one = near.groupBy("h").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.min("n").alias("n")).where("label = other")
+    place: dict[object, int] = {}
+    ranked = []
+    for r in sorted(one.select("h", "label", "n").collect(), key=lambda r: (r.h % (1 << 30), r.h)):  # 2 * SAMPLE_ROWS and 20 for each label, about
+        place[r.label] = place.get(r.label, 0) + 1
+        if place[r.label] <= per_label:
+            ranked.append((place[r.label], r.h, r.n))
+    chosen, total = [], 0
+    for _, h, n in sorted(ranked):
+        if (total := total + n) > SAMPLE_BYTES:
+            break
+        chosen.append((h,))
+    if not chosen:
+        return []
+    few = rows.sparkSession.createDataFrame(chosen, "wanted long")  # SAMPLE_ROWS at most
+    got = own.join(F.broadcast(few), F.col("h") == F.col("wanted")).groupBy("h").agg(F.any_value("text").alias("text"), F.any_value("label").alias("label"))
+    return sorted((r.text.encode("utf-8", "replace"), r.label) for r in got.select("text", "label").toLocalIterator())
 
 
 def train(sample: list[tuple[bytes, int]], seed: int = 5) -> subword.Model:
@@ -112,20 +125,32 @@ def scores(model: subword.Model, texts: list[bytes]) -> np.ndarray:
 
 
 def score_udf(spark, model: subword.Model):
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(scores(held.value, [(t or "").encode("utf-8", "replace") for t in texts]))
+            yield pa.array(scores(held.value, [t.as_py() or b"" for t in texts.cast(pa.binary())]))
+        give_back()
 
     return score
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> subword.Model:
-    """Trains on a bounded sample of labelled rows whose crc32(id) modulo FOLDS isn't HELD_OUT. Labels of other rows are never read."""
+    """Trains on a bounded sample of labelled rows whose crc32(id) modulo FOLDS isn't HELD_OUT. Labels of other rows are never read.
+
+    An id with labels of both kinds has none. Of ids that have one, those of the smallest hashes are looked up among
+    docs, three times as many as the sample has at most, so that ids without a document and equal rows leave enough.
+    """
     allowed = labels.where(crc_mod(id_col, FOLDS) != HELD_OUT).where(F.col(label_col).isin(0, 1))
-    return train(sample_rows(docs, allowed, id_col, text_col, label_col, ROWS_PER_LABEL))
+    known = allowed.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).where("label = other").drop("other")
+    known = saved(known, "labels")
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    share = F.when(F.col("label") == 1, F.lit(3.0 * ROWS_PER_LABEL / max(sizes.get(1, 0), 1))).otherwise(F.lit(3.0 * ROWS_PER_LABEL / max(sizes.get(0, 0), 1)))
+    few = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.lit(1 << 30) * share)
+    own = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return train(sample_rows(own.join(if_few(few), F.col("id") == F.col("__id")).select("id", "text", "label"), ROWS_PER_LABEL))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, saved, small_batches
+
 # Fixed values of ISO/IEC 13818-1
 PACKET, SYNC, PAT_PID, NULL_PID, PRIVATE_STREAM, PRIVATE_TYPE, CLOCK = 188, 0x47, 0, 0x1FFF, 0xBD, 0x06, 90_000
 #: Ours: program number, its map's PID, the elementary stream's PID, bytes of payload in a PES packet, and ticks between those.
@@ -80,58 +82,151 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def demux(ts: bytes) -> dict:
-    """Parses a transport stream: payload, programs, packets, continuity and CRC errors, and the random-access points (pts, packet)."""
-    if len(ts) % PACKET:
-        raise ValueError(f"{len(ts)} bytes are no whole packets")
+def _payload_of(packet: bytes) -> tuple[bytes, bool, bool] | None:
+    """(payload, random access, discontinuity) of a packet; None if its adaptation field does not fit."""
+    has, random, gap, body = packet[3] >> 4 & 3, False, False, 4
+    if has & 2:
+        size = packet[4]
+        if size > 183 - (has & 1):
+            return None
+        if size:
+            random, gap = bool(packet[5] & 0x40), bool(packet[5] & 0x80)
+        body = 5 + size
+    return (packet[body:] if has & 1 else b""), random, gap
+
+
+class _Sections:
+    """Puts the sections of one PID together, which may go over several packets."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+
+    def feed(self, payload: bytes, start: bool) -> Iterator[bytes]:
+        if start:
+            if not payload:
+                return
+            skip = payload[0]
+            if self.held is not None:
+                yield from self._cut(self.held + payload[1 : 1 + skip])
+            self.held = payload[1 + skip :]
+        elif self.held is not None:
+            self.held += payload
+        yield from self._cut(self.held or b"")
+
+    def _cut(self, data: bytes) -> Iterator[bytes]:
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if len(data) < size:
+                break
+            yield data[:size]
+            data = data[size:]
+        self.held = data if data and data[0] != 0xFF else None
+
+
+def _pes(data: bytes) -> tuple[bytes, int | None, bool]:
+    """(payload, time stamp or None, whole) of the bytes of one PES packet."""
+    if len(data) < 9 or data[:3] != b"\0\0\1":
+        return b"", None, False
+    length, flags, head = data[4] << 8 | data[5], data[7] >> 6, data[8]
+    pts = None
+    if flags & 2 and head >= 5 and len(data) >= 14:
+        p = data[9:14]
+        pts = (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1
+    end = 6 + length if length else len(data)  # no length: up to the next packet
+    return data[9 + head : end], pts, len(data) >= max(end, 9 + head)
+
+
+def demux(ts: bytes | None) -> dict:
+    """Parses a transport stream and says what it holds and what is wrong with it.
+
+    payload: the units' bytes one after another; units: how many PES packets there are; points: (time stamp, packet number) of those that are
+    random-access points. A time stamp is null where there is none. lost: breaks of the continuity counter that no discontinuity
+    flag announces; repeated: packets sent twice, which the standard allows and which count once; broken: packets without a
+    sync byte, cut off or with fields that do not fit, and sections whose check sum is wrong; damaged: units that lack bytes, by their length or by a break
+    inside. A damaged unit gives what there is of it. After bytes without a sync byte the next packet is searched for.
+    A null stream is one without packets.
+    """
+    ts = ts or b""
     maps: set[int] = set()
     streams: dict[int, int] = {}
-    counters: dict[int, int] = {}
-    units: list[list[bytes]] = []
-    points: list[tuple[int, int]] = []
-    programs = lost = broken = 0
-    for at in range(0, len(ts), PACKET):
-        b1, b2, b3 = ts[at + 1], ts[at + 2], ts[at + 3]
+    programs: set[int] = set()
+    sections: dict[int, _Sections] = {PAT_PID: _Sections()}
+    last: dict[int, tuple[int, bytes]] = {}
+    open_units: dict[int, dict] = {}
+    units: list[dict] = []
+    count = dict.fromkeys(("packets", "lost", "repeated", "broken"), 0)
+    at = 0
+    while at < len(ts):
         if ts[at] != SYNC:
-            broken += 1
+            # a packet's sync byte is where another one follows at its length, or the stream ends
+            n = at + 1
+            while (n := ts.find(b"\x47", n)) >= 0 and n + PACKET < len(ts) and ts[n + PACKET] != SYNC:
+                n += 1
+            count["broken"] += 1
+            at = n if n >= 0 else len(ts)
             continue
-        pid, start, has, counter = (b1 & 0x1F) << 8 | b2, b1 & 0x40, b3 >> 4 & 3, b3 & 15
+        packet, number = ts[at : at + PACKET], count["packets"]
+        at += PACKET
+        if len(packet) < PACKET:
+            count["broken"] += 1
+            break
+        count["packets"] += 1
+        pid, start, counter = (packet[1] & 0x1F) << 8 | packet[2], bool(packet[1] & 0x40), packet[3] & 15
         if pid == NULL_PID:
             continue
-        body, random = at + 4, False
-        if has & 2:
-            if ts[body]:
-                random = bool(ts[body + 1] & 0x40)
-            body += ts[body] + 1
-        if not has & 1:
+        got = _payload_of(packet)
+        if got is None or packet[1] & 0x80:
+            count["broken"] += 1
             continue
-        if counters.get(pid, counter) != counter:
-            lost += 1
-        counters[pid] = counter + 1 & 15
-        if pid in streams:
+        payload, random, gap = got
+        torn = False
+        if packet[3] & 0x10:
+            if pid in last and not gap:
+                if counter == last[pid][0] and packet == last[pid][1]:
+                    count["repeated"] += 1
+                    continue
+                if counter != (last[pid][0] + 1 & 15):
+                    count["lost"] += 1
+                    torn = True
+            last[pid] = (counter, packet)
+        if pid in sections:
+            if torn:
+                sections[pid].held = None
+            for x in sections[pid].feed(payload, start):
+                if len(x) < 12 or crc32_mpeg(x):
+                    count["broken"] += 1
+                elif pid == PAT_PID and x[0] == 0:
+                    for k in range(8, len(x) - 7, 4):
+                        if number_of := x[k] << 8 | x[k + 1]:  # 0 is the network's own table
+                            programs.add(number_of)
+                            maps.add(m := (x[k + 2] & 0x1F) << 8 | x[k + 3])
+                            sections.setdefault(m, _Sections())
+                elif pid in maps and x[0] == 2:
+                    k = 12 + ((x[10] & 0x0F) << 8 | x[11])
+                    while k + 5 <= len(x) - 4:
+                        streams[(x[k + 1] & 0x1F) << 8 | x[k + 2]] = x[k]
+                        k += 5 + ((x[k + 3] & 0x0F) << 8 | x[k + 4])
+        elif pid in streams:
             if start:
-                p = ts[body : body + 14]
-                pts = (p[9] & 0x0E) << 29 | p[10] << 22 | (p[11] & 0xFE) << 14 | p[12] << 7 | p[13] >> 1
-                if random:
-                    points.append((pts, at // PACKET))
-                units.append([ts[body + 9 + p[8] : at + PACKET]])
-            elif units:
-                units[-1].append(ts[body : at + PACKET])
-        elif start and (pid == PAT_PID or pid in maps):
-            s = body + 1 + ts[body]
-            end = s + 3 + ((ts[s + 1] & 0x0F) << 8 | ts[s + 2])
-            if crc32_mpeg(ts[s:end]):
-                broken += 1
-            elif pid == PAT_PID:
-                for i in range(s + 8, end - 4, 4):
-                    programs += 1
-                    maps.add((ts[i + 2] & 0x1F) << 8 | ts[i + 3])
-            else:
-                i = s + 12 + ((ts[s + 10] & 0x0F) << 8 | ts[s + 11])
-                while i < end - 4:
-                    streams[(ts[i + 1] & 0x1F) << 8 | ts[i + 2]] = ts[i]
-                    i += 5 + ((ts[i + 3] & 0x0F) << 8 | ts[i + 4])
-    return {"payload": b"".join(x for u in units for x in u), "packets": len(ts) // PACKET, "programs": programs, "units": len(units), "lost": lost, "broken": broken, "points": points}
+                open_units[pid] = {"parts": [payload], "packet": number, "random": random, "torn": False}
+                units.append(open_units[pid])
+                if torn and len(units) > 1:  # what is lost may be the end of the unit before
+                    before = next((u for u in reversed(units[:-1]) if u.get("pid", pid) == pid), None)
+                    if before is not None:
+                        before["torn"] = True
+            elif pid in open_units:
+                open_units[pid]["parts"].append(payload)
+                open_units[pid]["torn"] |= torn
+            if pid in open_units:
+                open_units[pid]["pid"] = pid
+    out, points, damaged = [], [], 0
+    for u in units:
+        data, pts, whole = _pes(b"".join(u["parts"]))
+        out.append(data)
+        damaged += u["torn"] or not whole
+        if u["random"]:
+            points.append((pts, u["packet"]))
+    return {"payload": b"".join(out), "programs": len(programs), "units": len(units), "damaged": damaged, "points": points, **count}
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -159,6 +254,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty; an empty one has a payload of 64 zeros. Repeated rows give equal media; a null id
     stays null. An empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -170,24 +266,37 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
+FACTS = ("packets", "programs", "units", "lost", "repeated", "broken", "damaged")
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """(id, n_bytes, payload facts, media facts, points) of media (id, n_bytes, media): what the stored streams say."""
+    """(id, n_bytes, payload facts, media facts, points) of media (id, n_bytes, media): what the stored streams say.
+
+    Damaged streams are counted, not refused: see demux(). A null stream has no bytes, no packets and the digests of nothing.
+    """
     kind = media.schema["id"].dataType.simpleString()
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "packets", "programs", "units", "lost", "broken", "points"]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", *FACTS, "points"]
     points = pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64())]))
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, n, m in zip(batch.column("id"), batch.column("n_bytes"), batch.column("media")):
-                stored = m.as_py()
+                stored = m.as_py() or b""
                 x = demux(stored)
                 p = x["payload"]
-                rows.append((i.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), x["packets"], x["programs"], x["units"], x["lost"], x["broken"], [{"pts": a, "packet": b} for a, b in x["points"]]))
+                rows.append((i.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), *(x[f] for f in FACTS), [{"pts": a, "packet": b} for a, b in x["points"]]))
             if rows:
                 long = pa.int64()
-                kinds = [batch.schema.field(0).type, long, long, pa.string(), long, long, pa.string(), long, long, long, long, long, points]
+                kinds = [batch.schema.field(0).type, long, long, pa.string(), long, long, pa.string(), *[long] * len(FACTS), points]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        give_back()
 
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, programs long, units long, lost long, broken long, points array<struct<pts:long,packet:long>>"
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, {', '.join(f'{f} long' for f in FACTS)}, points array<struct<pts:long,packet:long>>"
     return media.select("id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_media() as a written table: the streams are stored, and whoever reads them reads the stored bytes."""
+    return saved(encode_media(docs, id_col, text_col), "media")

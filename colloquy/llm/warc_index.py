@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import HEAVY, saved, scratch
 
-MOST_BLOCKS, LEAST_LINES, KEY_CHARS = 65_536, 256, 512
+MOST_BLOCKS, LEAST_LINES, KEY_CHARS, TASK_BYTES = 65_536, 256, 512, 32 << 20
 #: Groups of equal payloads up to this number are broadcast; more are joined by a shuffle.
 GROUPS_BROADCAST = 100_000
 DATE, STAMP = "1970-01-01T00:00:00Z", "19700101000000"
@@ -177,8 +177,8 @@ def build_index(entries: DataFrame, root: str) -> list[tuple[str, str, str, int,
     return sorted(tuple(r) for r in directory.collect())  # MOST_BLOCKS and one for each file at most
 
 
-def look_up(keys: DataFrame, directory: list[tuple[str, str, str, int, int]], root: str) -> DataFrame:
-    """The records of all captures whose key is in keys(key): directory search, one block, one byte range for each."""
+def look_up(keys: DataFrame, directory: list[tuple[str, str, str, int, int]], root: str, read_bytes: int = 0) -> DataFrame:
+    """The records of all captures whose key is in keys(key): directory search, one block, one byte range for each. read_bytes is about what will be read."""
     spark = keys.sparkSession
     held = spark.sparkContext.broadcast(directory)
 
@@ -220,7 +220,8 @@ def look_up(keys: DataFrame, directory: list[tuple[str, str, str, int, int]], ro
         for f in files.values():
             f.close()
 
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of our own: the few bytes of keys stand for many reads, so they mustn't be coalesced by size
+    # a number of our own: the few bytes of keys stand for many reads, so they mustn't be coalesced by size
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), read_bytes // TASK_BYTES)
     dealt = keys.select("key").mapInArrow(locate, "block long, key string").repartition(spread, "block").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(read, RECORD)
 
@@ -235,4 +236,5 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     root = scratch(pages.sparkSession, "warc")
     entries = write_archives(plan_revisits(pages, id_col, url_col, payload_col, least_bytes), root)
-    return look_up(entries.select("key").distinct(), build_index(entries, root), root)
+    size = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return look_up(entries.select("key").distinct(), build_index(entries, root), root, size)

@@ -8,9 +8,6 @@ positions never move: they lie in a table that is bucketed by slice.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bucketed, scan_bytes
+from .common import bucketed, give_back, scan_bytes, small_batches
 
 #: A slice is closed at so many bytes of text or distinct words; a text is never cut, so a longer one is a slice alone.
 SLICE_BYTES, SLICE_WORDS = 32 << 20, 400_000
 #: The bytes of a batch of positions, and the words of a row.
 BATCH_BYTES, WORDS_ROW = 4 << 20, 1 << 12
 #: (word, slice) pairs that a task packs at once.
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 
 
@@ -67,14 +64,6 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system. Python workers stay for later tasks, and several of them share an executor's memory."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def cut(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) -> DataFrame:
     """Cuts docs(id, text binary, counts boolean): a row (slice, id, at) for each text, and the distinct words of each slice in rows (slice, no, words, uses).
 
@@ -136,6 +125,7 @@ def cut(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) ->
 def saved_slices(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) -> DataFrame:
     """cut(), written out and bucketed by slice."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(scan_bytes(docs) // BUCKET_BYTES, MOST_BUCKETS))
     return bucketed(cut(docs, split, kind), "words", "slice", buckets)
 

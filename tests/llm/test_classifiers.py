@@ -95,3 +95,78 @@ def test_grams_stay_within_words():
     assert seen[4] == [b" ab ", b" xyz", b"xyz "]
     begins, of = subword.windows(low, starts, 1)
     assert of.tolist() == [0, 0, 1, 2] and len(starts) == 4
+
+
+def test_sample_rows(spark, monkeypatch):
+    rows = [(i % 50, f"text {i}", "ab"[i % 2]) for i in range(400)] + [(1, "same", "a"), (1, "same", "b"), (2, "twice", "a"), (2, "twice", "a"), (3, "none", None), (4, "x" * 300_000, "a"), (5, "rare", "c")] + [(6, "hot", "b")] * 300
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    got = toxicity.sample_rows(df, 600)
+    assert len(got) == len(set(got)) == 403 and (b"rare", "c") in got and (b"hot", "b") in got and not [t for t, _ in got if t in (b"same", b"none") or len(t) > 1000]
+    few = toxicity.sample_rows(df, 7)
+    assert {v for _, v in few} == {"a", "b", "c"} and all(sum(x == v for _, x in few) <= 7 for v in "abc") and few == toxicity.sample_rows(df.repartition(5), 7)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 30)
+    assert sum(len(t) for t, _ in toxicity.sample_rows(df, 600)) <= 30
+    assert toxicity.sample_rows(df.limit(0), 600) == []
+
+
+def test_contradicting_labels_are_not_learned(spark):
+    rows = toxic_rows(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    own = [(i, y) for i, _, y in rows if i % 7]
+    some = toxicity.fit(docs, spark.createDataFrame(own, "doc_id long, toxic int"))
+    both = toxicity.fit(docs, spark.createDataFrame(own + [(i, y) for i in range(0, 300, 7) for y in (0, 1)], "doc_id long, toxic int"))
+    assert np.array_equal(some.table, both.table)
+
+
+def test_scores_against_a_plain_version():
+    """The vectorized scorer against one that goes word by word."""
+    model = toxicity.train([(t.encode(), y) for _, t, y in toxic_rows(300)])
+
+    def bucket(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            h = c if k == 0 else (h * 0x9E3779B97F4A7C15 + c + 1) % 2**64
+        h ^= h >> 31
+        return (h * 0xBF58476D1CE4E5B9) % 2**64 >> 64 - model.bits
+
+    def plain(text):
+        w = text.lower().split()
+        cuts = list(range(0, len(w), toxicity.WORDS))
+        if len(cuts) > 1 and len(w) - cuts[-1] < toxicity.WORDS:
+            cuts.pop()
+        odds = []
+        for a, b in zip(cuts, [*cuts[1:], len(w)]):
+            found = [model.table[bucket((" " + x + " ").encode()[k : k + n])] for x in dict.fromkeys(w[a:b]) for n in model.sizes for k in range(len(x.encode()) + 3 - n)]
+            z = sum(found, np.zeros(2)) / max(len(found), model.least) + model.bias
+            odds.append((z[1] - z[0]) / model.heat)
+        worst = sorted(odds, reverse=True)[: toxicity.WORST] or [(model.bias[1] - model.bias[0]) / model.heat]
+        return 1 / (1 + np.exp(-(sum(worst) / len(worst) + model.shift)))
+
+    for t in ("", "river", "a quiet snarkzit table", "vexmoot gnashpit river river walks walks green grumblorx morning letter", "río verde snarkzit " * 9):
+        assert np.isclose(toxicity.scores(model, [t.encode()])[0], plain(t), rtol=1e-6), t
+
+
+def test_languages_against_a_plain_version():
+    rng = random.Random(3)
+    stock = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop"[k : k + 5]) for _ in range(rng.randrange(2, 7))) for _ in range(40)] for k in range(14)}
+    for names in (["l0", "l5"], sorted(stock)):  # a table of scores, and embeddings with weights
+        who = langid.train([(words(rng, stock[n], 30).encode(), n) for n in names for _ in range(30)])
+        m = who.model
+        assert (m.out is None) == (len(names) <= langid.WIDTH)
+        said = [words(rng, stock[n], 12) for n in names]
+        got = langid.text_logits(m, [t.encode() for t in said])
+        right = sum(m.classes[int(x.argmax())] == n for x, n in zip(got, names))
+        assert right >= len(names) - 1
+        for t, x in zip(said[:3], got):
+            found = []
+            for w in t.split():
+                padded = (" " + w + " ").encode()
+                for n in m.sizes:
+                    for k in range(len(padded) + 1 - n):
+                        h = padded[k]
+                        for c in padded[k + 1 : k + n]:
+                            h = (h * 0x9E3779B97F4A7C15 + c + 1) % 2**64
+                        h ^= h >> 31
+                        found.append(m.table[(h * 0xBF58476D1CE4E5B9) % 2**64 >> 64 - m.bits])
+            mean = sum(found) / len(found)
+            assert np.allclose(((mean if m.out is None else mean @ m.out) + m.bias) / m.heat, x, rtol=1e-6)

@@ -55,16 +55,12 @@ def test_long_texts_go_in_steps(own, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_CHARS", 10)
     monkeypatch.setattr(bpe, "STEP", 7)
     assert once == [split(t) for t in whole] and all(np.array_equal(x, W.halves(W.pack_halves(x))) for x in at)
-    table = {i: b for b, i in tokens.ranks(tokens.default_vocabulary()).items()}
-    packer, words, lost = bpe.Packer(), list(numbers), numbers[" cat"]
-    kinds = [("pos", pa.int32()), ("token", pa.int32()), ("bytes", pa.binary()), ("word", pa.string()), ("at", pa.list_(pa.struct([("slice", pa.int64()), ("no", pa.int32())])))]
-    for part in (words[:9], words[9:]):
-        rows = [(p, x, table[x] if w != " cat" else b"dog", *((w, [{"slice": 4, "no": numbers[w]}]) if p == 0 else (None, None))) for w in part for p, x in enumerate(own.encode_ordinary(w))]
-        packer.add(pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds, zip(*rows))}))
-    own_rows = pa.table({"no": [9, 0], "words": [words[9:], words[:9]]})
-    have = bpe.Words(own_rows, pa.Table.from_batches([packer.flush()]))
-    assert have.bytes[lost].as_py() == b"dog"  # what decoding gives counts, not the word
-    have.bytes = pa.array([w.encode() for w in words], pa.binary())
+    packed = [W.squeeze(b"".join([np.array([len(part), sum(map(len, ids))], "<u4").tobytes(), *(W.pack_halves(np.array(x, np.uint32)) for x in ([numbers[w] for w in part], list(map(len, ids)), [y for x in ids for y in x]))])) for part in (list(numbers)[9:], list(numbers)[:9]) for ids in [[own.encode_ordinary(w) for w in part]]]
+    have = bpe.Words(packed, bpe.token_bytes(tokens.default_vocabulary()))
+    with pytest.raises(ValueError):
+        bpe.Words(packed[:1], bpe.token_bytes(tokens.default_vocabulary()))
+    with pytest.raises(ValueError):
+        bpe.join_bytes(np.array([60_000]), bpe.token_bytes(tokens.default_vocabulary()))
     sha = lambda b: hashlib.sha256(b).hexdigest()
     for t, x in zip(whole, at):
         ids = own.encode_ordinary(t)
@@ -78,6 +74,12 @@ def test_bpe_ids_and_bytes(spark, own):
     assert bpe.encode_decode(df.limit(0), tokens.default_vocabulary()).count() == 0
 
 
+def test_decoding_as_a_join(spark, own):
+    rows = [(i, own.encode_ordinary(t or "")) for i, t in enumerate(texts(40)[1:])] + [(99, None)]
+    got = {r.id: bytes(r.decoded) for r in bpe.decode(spark.createDataFrame(rows, "id long, ids array<int>"), tokens.default_vocabulary()).collect()}
+    assert got == {i: own.decode_bytes(ids or []) for i, ids in rows}
+
+
 def test_histogram(spark, own):
     rows = [*enumerate(texts(200))]
     df = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, docs int")
