@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing about a product: articles, auxiliaries, pronouns, and talk about shopping itself.
-STOP = tuple(
-    "a about actually after all also am an and any anything are as ask at be been but buy by call can could do does "
-    "each either else even ever every feel few find first for forget from get give go good got had has have having he "
-    "her him his how i if in instead into is it its just keep kind know like ll look looking lot m make many matter "
-    "matters may me mind more most much must my need needs no not nothing now of off on one only or other our out over "
-    "own please prefer preference preferences quite rather re really requirement s said same say see seem she should so "
-    "some something still such sure t take tell than that thats the their them then there these they thing think this "
-    "those to too up us use ve very want wants was way we well were what when where which while who why will with would "
-    "yes you your".split()
-)
+#: Words that say nothing about a product, by what they are in a sentence.
+STOP_CLASSES = {
+    "articles and pointers": "the a an this that these those such same",
+    "people and things": "i me my mine we us our ours you your yours he him his she her hers it its they them their theirs who whose one someone something anything everything nothing thing things stuff",
+    "auxiliaries": "be am is are was were been being have has had having do does did done can could will would shall should may might must",
+    "left of contractions": "s t d m ll re ve don doesn didn isn wasn won",
+    "joints": "and or but nor so than then because if though although while whether as",
+    "prepositions": "of in on at by to for from with about into onto over under around through between during since until up off out",
+    "questions": "what which when where why how",
+    "amounts": "some any each every all both either neither much many more most few less lot enough several",
+    "adverbs": "not no yes just only also too very quite rather really still yet again now here there maybe please actually instead otherwise ever never always already",
+    "wishing and choosing": "want wants wanted need needs like likes prefer preference preferences wish wishes requirement requirements key important matter matters mind care choice choose pick decide judgment",
+    "asking and telling": "ask asking say says said tell told show give let make take get got go going know think see feel seem look looking find try browse browsing explore exploring search searching shop shopping buy buying",
+    "taking back": "ignore forget drop scratch changed change earlier previous start over",
+}
+STOP = tuple(sorted({w for words in STOP_CLASSES.values() for w in words.split()}))
 
 
 def norm(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .index import phrase_places
 
 
 def buckets(catalog: DataFrame) -> DataFrame:
@@ -31,12 +32,10 @@ def widen(catalog: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
 def by_substring(messages: DataFrame, keys: DataFrame) -> DataFrame:
     """(qid, key, confidence 1): the longest bucket key that messages(qid, text) name, the one seen first on ties.
 
-    Keys meet messages by runs of tokens, so no message is paired with every key.
+    Keys of any length meet messages by their first tokens, so no message is paired with every key.
     """
-    toks = messages.select("qid", T.tokens(F.col("text")).alias("toks"))
-    lengths = [r.n for r in keys.select(F.size(T.tokens_of(F.col("key"))).alias("n")).distinct().orderBy("n").collect() if r.n > 0]  # a number for each length of a key
-    runs = F.concat(*[T.ngrams(F.col("toks"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
-    named = toks.select("qid", F.explode(F.array_distinct(runs)).alias("key")).join(keys, "key")
+    named = phrase_places(keys.where("key <> ''").select(F.col("key").alias("phrase")), messages.select(F.col("qid").alias("doc"), "text"))
+    named = named.select(F.col("doc").alias("qid"), F.col("phrase").alias("key")).join(keys, "key")
     best = F.max_by("key", F.struct(F.length("key"), -F.col("first_doc")))
     return named.groupBy("qid").agg(best.alias("key")).withColumn("confidence", F.lit(1.0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialized
+
 TURNS, MISS, WEIGHTS = 10, 11, (0.5, 0.3, 0.2)
 
 
@@ -61,12 +63,22 @@ def draw(i: Column, j: Column, n: Column, seed: int = 1) -> Column:
     return (z % n).cast("long")
 
 
+def numbered(rows: DataFrame, by: str, name: str = "idx") -> DataFrame:
+    """rows with a number from 0 in the order of column by, without gathering them in one task."""
+    ordered = materialized(rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()), "ordered")
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each task
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
+    return ordered.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before")
+
+
 def resamples(values: DataFrame, iterations: int, seed: int = 1) -> DataFrame:
-    """(i, means of the columns but idx) over iterations resamples of values(idx from 0, …). Rows are drawn by index, so only the small table of values is held."""
-    spark = values.sparkSession
-    size = values.agg(F.count("*").alias("n"))
-    places = spark.range(iterations).select(F.col("id").alias("i")).join(F.broadcast(size), F.lit(True)).select("i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    drawn = places.select("i", draw(F.col("i"), F.col("j"), F.col("n"), seed).alias("idx")).join(values, "idx")
+    """(i, means of the columns but idx) over iterations resamples of values(idx from 0, …)."""
+    n = values.count()
+    if not n:
+        return values.select(F.lit(0).cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in values.columns if c != "idx"])
+    i, j = F.expr(f"id div {n}"), F.col("id") % n
+    drawn = values.sparkSession.range(iterations * n).select(i.alias("i"), draw(i, j, F.lit(n), seed).alias("idx")).join(values, "idx")
     return drawn.groupBy("i").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in values.columns if c != "idx"])
 
 
@@ -131,4 +143,4 @@ def proportional_sample(rows: DataFrame, stratum: str, key: str, take: int, seed
 
 def by_turn(messages: DataFrame) -> DataFrame:
     """(qid, conv, turn, text): each prefix of a conversation as a question of its own, for controls that see as much as the agent did."""
-    return prefixes(messages).select((F.col("conv") * 100 + F.col("turn")).alias("qid"), "conv", "turn", F.col("transcript").alias("text"))
+    return prefixes(messages).select(F.concat_ws(":", "conv", "turn").alias("qid"), "conv", "turn", F.col("transcript").alias("text"))

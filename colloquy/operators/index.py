@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialized
 
 
 @dataclass
 class Index:
-    """tf(doc, term, tf), lengths(doc, dl), terms(term, df, idf), size: one row (n, avgdl)."""
+    """tf(doc, term, tf, dl), lengths(doc, dl), terms(term, df, idf), size: one row (n, avgdl)."""
 
     tf: DataFrame
     lengths: DataFrame
@@ -25,19 +26,20 @@ def build_index(docs: DataFrame, population: DataFrame | None = None, wanted: Da
 
     population: one row (n) if documents without text count too (a partial second corpus). wanted(term): the only
     terms that will be looked up; the others are dropped where texts are read, before anything is shuffled, and
-    the statistics of the wanted ones stay exact.
+    the statistics of the wanted ones stay exact. Postings and statistics are written out, so that texts are cut into
+    tokens once however often the index is used, and a lost executor costs nothing.
     """
     toks = docs.select("doc", T.tokens(F.col("text")).alias("toks"))
     lengths = toks.select("doc", F.size("toks").cast("long").alias("dl"))
-    postings = toks.select("doc", F.explode("toks").alias("term"))
+    postings = toks.select("doc", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
     if wanted is not None:
         postings = postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    tf = materialized(postings.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")), "postings")
     size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     if population is not None:
         size = size.drop("n").join(F.broadcast(population), F.lit(True))
-    terms = term_stats(tf, size)
-    return Index(tf, lengths, terms, size)
+    size = materialized(size, "size")
+    return Index(tf, lengths, materialized(term_stats(tf, size), "terms"), size)
 
 
 def term_stats(tf: DataFrame, size: DataFrame) -> DataFrame:
@@ -61,19 +63,26 @@ def salient(terms: DataFrame, size: DataFrame, ratio: float = 0.35, least_idf: f
     return informative(terms, size, ratio).where(~F.col("term").isin(*T.STOP) & (F.length("term") >= 2) & (F.col("idf") >= least_idf))
 
 
-def phrase_frequencies(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """(phrase, df) of normalized phrases(phrase) in docs(doc, text), on word bounds; 0 where none has it.
+def phrase_places(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+    """(phrase, doc) of normalized phrases(phrase) and the docs(doc, text) that have them on word bounds.
 
-    Each phrase is looked up by its rarest term only (the first of equals), and the texts that have this term are searched.
+    Texts give their runs of as many tokens as the longest phrase has; a run meets the phrases that begin with the same
+    two tokens, so that neither texts nor common words are shuffled.
     """
-    normal = docs.select("doc", T.norm(F.col("text")).alias("normal"))
-    postings = normal.select("doc", F.explode(F.array_distinct(T.tokens_of(F.col("normal")))).alias("term"))
-    parts = phrases.distinct().select("phrase", F.posexplode(T.tokens_of(F.col("phrase"))).alias("pos", "term"))
-    wanted = parts.select("term").distinct()
-    df = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = parts.join(df, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "pos")).alias("term"))
-    # bounds are put around texts and phrases before they meet, once each
-    bound = normal.select("doc", T.padded(F.col("normal")).alias("padded"))
-    near = rarest.withColumn("said", T.padded(F.col("phrase"))).join(postings, "term").join(bound, "doc").where(F.contains("padded", "said"))
-    found = near.groupBy("phrase").agg(F.count("*").alias("df"))
+    own = phrases.distinct().select("phrase", T.tokens_of(F.col("phrase")).alias("p"))
+    longest = own.agg(F.max(F.size("p"))).first()[0] or 1
+    own = own.select("phrase", F.size("p").alias("n"), F.array_join(F.slice("p", 1, 2), " ").alias("key"))
+    toks = docs.select("doc", T.tokens(F.col("text")).alias("toks"))
+    alone = toks.select("doc", F.explode(F.array_distinct("toks")).alias("key")).join(own.where("n = 1"), "key").select("phrase", "doc")
+    if longest < 2:
+        return alone
+    runs = F.transform(F.sequence(F.lit(1), F.size("toks") - 1), lambda i: F.array_join(F.slice("toks", i, longest), " "))
+    near = toks.where(F.size("toks") >= 2).select("doc", F.explode(runs).alias("run")).withColumn("key", F.substring_index("run", " ", 2))
+    found = near.join(own.where("n > 1"), "key").where(F.startswith(F.concat("run", F.lit(" ")), F.concat("phrase", F.lit(" "))))
+    return alone.unionByName(found.select("phrase", "doc")).distinct()
+
+
+def phrase_frequencies(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+    """(phrase, df) of normalized phrases(phrase) in docs(doc, text), on word bounds; 0 where none has it."""
+    found = phrase_places(phrases, docs).groupBy("phrase").agg(F.count("*").alias("df"))
     return phrases.distinct().join(found, "phrase", "left").select("phrase", F.coalesce("df", F.lit(0)).cast("long").alias("df"))

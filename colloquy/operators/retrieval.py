@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialized
 from .index import Index
 
 K1, B, DF_RATIO = 1.5, 0.75, 0.35
@@ -29,7 +34,7 @@ def score_terms(terms: DataFrame, index: Index, k1: float = K1, b: float = B, ra
     """
     size = F.broadcast(index.size)
     useful = terms.where("weight > 0").join(index.terms, "term").join(size, F.lit(True)).where(F.col("df") <= F.col("n") * F.lit(ratio))
-    tf = index.tf.join(useful, "term").join(index.lengths, "doc")
+    tf = index.tf.join(useful, "term")
     share = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     return tf.groupBy("qid", "doc").agg(F.sum(F.col("weight") * F.col("idf") * share).alias("score"))
 
@@ -48,7 +53,7 @@ def rm3_terms(queries: DataFrame, index: Index, docs: int = 10, words: int = 20,
     original = query_terms(queries)
     best = bm25(queries, index, docs)
     mass = best.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy("qid")))
-    grown = mass.join(index.tf, "doc").join(index.lengths, "doc").groupBy("qid", "term").agg(F.sum(F.col("share") * F.col("tf") / F.col("dl")).alias("w"))
+    grown = mass.join(index.tf, "doc").groupBy("qid", "term").agg(F.sum(F.col("share") * F.col("tf") / F.col("dl")).alias("w"))
     grown = grown.where(~F.col("term").isin(*T.STOP)).join(original.select("qid", "term"), ["qid", "term"], "left_anti")
     grown = grown.join(index.terms.select("term", "df"), "term").join(F.broadcast(index.size), F.lit(True)).where(F.col("df") <= F.col("n") * F.lit(ratio))
     order = Window.partitionBy("qid").orderBy(F.round("w", 12).desc(), "term")
@@ -72,14 +77,55 @@ def associated_terms(queries: DataFrame, neighbours: DataFrame, per_term: int =
     return original.unionByName(grown)
 
 
+#: Vectors and queries of a block of the search; blocks of queries are broadcast up to so many.
+VECTORS, QUERIES, BROADCAST_BLOCKS = 8192, 1024, 64
+
+
+def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(ids, data) of rows(key, vector): up to size vectors of a task as one row, eight bytes a number. Rows without a vector are left out."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        data: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([ids]), pa.array([b"".join(data)], pa.binary())], names=["ids", "data"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(i)
+                data.append(v.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+                if len(ids) == size:
+                    yield out()
+                    ids, data = [], []
+        if ids:
+            yield out()
+
+    return rows.where("vector is not null").select(key, F.col("vector").cast("array<double>")).mapInArrow(run, f"ids array<{kind}>, data binary")
+
+
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(qid, doc, score, rnk): exact search of unit vectors(doc, vector) for a stated set of queries(qid, vector).
 
-    The queries are a bounded set that a caller names, so they go to every block of vectors.
+    Blocks of queries meet blocks of vectors in a matrix product, and a pair of blocks gives the k best of each query.
+    Query blocks are counted first: few are broadcast, more are shuffled to the blocks of vectors. Vectors have one length.
     """
-    dot = F.aggregate(F.zip_with(F.col("vector").cast("array<double>"), F.col("query"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(F.broadcast(queries.select("qid", F.col("vector").cast("array<double>").alias("query"))), F.lit(True))
-    return top(pairs.select("qid", "doc", dot.alias("score")), k)
+    asked = materialized(blocks(queries, "qid", QUERIES), "queries").select(F.col("ids").alias("qids"), F.col("data").alias("asked"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_BLOCKS else asked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qids, a, ids, b in zip(*(batch.column(c) for c in ("qids", "asked", "ids", "data"))):
+                score = np.frombuffer(a.as_py()).reshape(len(qids), -1) @ np.frombuffer(b.as_py()).reshape(len(ids), -1).T
+                # ties at 9 places are for the last step to break, so all of the k-th score go on
+                least = np.sort(np.round(score, 9), axis=1)[:, -min(k, len(ids))]
+                q, d = np.nonzero(np.round(score, 9) >= least[:, None])
+                yield pa.record_batch([qids.values.take(pa.array(q)), ids.values.take(pa.array(d)), pa.array(score[q, d])], names=["qid", "doc", "score"])
+
+    names = ", ".join(f"{n} {t.schema[n].dataType.simpleString()}" for n, t in (("qid", queries), ("doc", vectors)))
+    pairs = blocks(vectors, "doc", VECTORS).crossJoin(asked)  # of blocks
+    return top(pairs.mapInArrow(run, f"{names}, score double"), k)
 
 
 def reciprocal_rank_fusion(rankings: list[tuple[DataFrame, float]], k: int = 10, damping: int = 60) -> DataFrame:
@@ -106,7 +152,7 @@ def fielded_bm25(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: i
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.join(F.broadcast(size), F.lit(True)).select("term", "df", T.idf(F.col("n"), F.col("df")).alias("idf"))
     terms = queries.select("qid", F.explode(F.slice(F.array_distinct(T.content(T.tokens(F.col("text")), 2)), 1, most_terms)).alias("term")).withColumn("weight", F.lit(1.0))
-    return top(score_terms(terms, Index(tf, dl, stats, size), k1=1.2, ratio=1.0), k)
+    return top(score_terms(terms, Index(tf.join(dl, "doc"), dl, stats, size), k1=1.2, ratio=1.0), k)
 
 
 def bm25f(slots: DataFrame, fields: DataFrame, terms: DataFrame, averages: DataFrame, boosts: dict[str, float], k1: float = 1.2, b: float = 0.6) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import cues
 from ..functions import text as T
-from ..operators import dialogue, evaluate, extract, index, retrieval, simulate
+from ..operators import agent, dialogue, evaluate, extract, index, retrieval, simulate
+from ..settings import Settings
+from ..sources.scratch import materialized
 from ..streaming import sessions as streams
 from .registry import query, read
 from .search import INDEX, PRODUCTS, SCORED, STOP, TOKS, TOP, N, documents, indexed, passages, products
@@ -81,31 +83,35 @@ KINDS = "CASE WHEN regexp_matches(lower(v), {b}) THEN 'budget' WHEN regexp_match
     b=Q(C.BUDGET), m=MATERIAL, rest=" ".join(f"WHEN regexp_matches(lower(v), '{'|'.join(w)}') THEN '{k}'" for k, w in C.KINDS.items()))
 
 
-@query(f"WITH {CARDS}, e AS (SELECT doc, unnest(card) AS v FROM cards UNION ALL SELECT doc_id, substr(text, 1, 200) FROM documents WHERE text IS NOT NULL) SELECT v AS value, count(*) AS n, {KINDS} AS kind FROM e GROUP BY v")
+@query(f"WITH {CARDS}, e AS (SELECT doc, unnest(card) AS v FROM cards UNION ALL SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT v AS value, count(*) AS n, {KINDS} AS kind FROM e GROUP BY v")
 def classify_constraint(spark: SparkSession, folder: str) -> DataFrame:
-    """Card slots, and what documents begin with."""
+    """Card slots, and whole documents."""
     own = cards(spark, folder).select(F.explode("card").alias("value"))
-    free = read(spark, folder, "documents").where("text is not null").select(F.substring("text", 1, 200).alias("value"))
+    free = read(spark, folder, "documents").where("text is not null").select(F.col("text").alias("value"))
     return own.unionByName(free).groupBy("value").agg(F.count("*").alias("n")).withColumn("kind", C.classify_constraint(F.col("value")))
 
 
 # --- extraction and dialogue ----------------------------------------------------------------------------------
 
+DGRAMS = "dgrams AS (SELECT DISTINCT array_to_string(toks[i:i + k - 1], ' ') AS phrase FROM (SELECT toks, unnest(range(1, len(toks) + 1)) AS i FROM dtoks), LATERAL (SELECT unnest(range(1, least({n}, len(toks) - i + 1) + 1)) AS k))"
 SAID = f"""w AS (SELECT item_id AS id, {TOKS('text')} AS w FROM benchmark),
- said AS (SELECT id AS qid, CASE (id * 7 + id // 6) % 6 WHEN 0 THEN 'I am looking for this. What matters is: ' || w[1] || ' ' || w[2] || '; ' || w[3] || '.' WHEN 1 THEN 'Actually, ignore my earlier preference. What I need is: ' || w[1] || ' ' || w[2] || '.'
-   WHEN 2 THEN 'not ' || w[1] || ' ' || w[2] || ', ' || w[3] || ' is better' WHEN 3 THEN 'no preference for color' WHEN 4 THEN 'nothing else for size' ELSE 'never mind, ' || w[4] || ' ' || w[5] || ' ' || w[6] END AS text FROM w WHERE len(w) >= 6)"""
+ h AS (SELECT id, array_to_string(w, ' ') AS a, array_to_string(w[1:len(w) // 2], ' ') AS b, array_to_string(w[len(w) // 2 + 1:], ' ') AS c FROM w WHERE len(w) >= 2),
+ said AS (SELECT id AS qid, CASE (id * 7 + id // 6) % 6 WHEN 0 THEN 'I am looking for this. What matters is: ' || b || '; ' || c || '.' WHEN 1 THEN 'Actually, ignore my earlier preference. What I need is: ' || a || '.'
+   WHEN 2 THEN 'not ' || b || ', ' || c || ' is better' WHEN 3 THEN 'no preference for color, ' || a WHEN 4 THEN 'nothing else for size, ' || a ELSE 'never mind, ' || a END AS text FROM h)"""
 
 
 def said(spark: SparkSession, folder: str) -> DataFrame:
-    """(qid, text): a shopper's sentences of six kinds around the first words of each passage."""
-    rows = passages(spark, folder).select("qid", T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    w, k = lambda i: F.element_at("w", i), (F.col("qid") * 7 + F.expr("qid div 6")) % 6
+    """(qid, text): a shopper's sentences of six kinds around each whole passage or its halves."""
+    rows = passages(spark, folder).select("qid", T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 2)
+    half = F.expr("size(w) div 2")
+    a, b, c = F.array_join("w", " "), F.array_join(F.slice("w", F.lit(1), half), " "), F.array_join(F.slice("w", half + 1, F.size("w")), " ")
+    k = (F.col("qid") * 7 + F.expr("qid div 6")) % 6
     text = (
-        F.when(k == 0, F.concat(F.lit("I am looking for this. What matters is: "), w(1), F.lit(" "), w(2), F.lit("; "), w(3), F.lit(".")))
-        .when(k == 1, F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), w(1), F.lit(" "), w(2), F.lit(".")))
-        .when(k == 2, F.concat(F.lit("not "), w(1), F.lit(" "), w(2), F.lit(", "), w(3), F.lit(" is better")))
-        .when(k == 3, F.lit("no preference for color")).when(k == 4, F.lit("nothing else for size"))
-        .otherwise(F.concat(F.lit("never mind, "), w(4), F.lit(" "), w(5), F.lit(" "), w(6)))
+        F.when(k == 0, F.concat(F.lit("I am looking for this. What matters is: "), b, F.lit("; "), c, F.lit(".")))
+        .when(k == 1, F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), a, F.lit(".")))
+        .when(k == 2, F.concat(F.lit("not "), b, F.lit(", "), c, F.lit(" is better")))
+        .when(k == 3, F.concat(F.lit("no preference for color, "), a)).when(k == 4, F.concat(F.lit("nothing else for size, "), a))
+        .otherwise(F.concat(F.lit("never mind, "), a))
     )
     return rows.select("qid", text.alias("text"))
 
@@ -113,11 +119,11 @@ def said(spark: SparkSession, folder: str) -> DataFrame:
 READING = f"CASE WHEN regexp_matches(text, {Q(cues.RESET)}) THEN 'reset' WHEN regexp_matches(text, {Q(cues.OVERRIDE)}) THEN 'override' WHEN regexp_matches(text, {Q(cues.NO_PREFERENCE)}) THEN 'declined' WHEN regexp_matches(text, {Q(cues.EXHAUSTED)}) THEN 'exhausted' ELSE 'plain' END"
 
 
-@query(f"""WITH {SAID} SELECT qid, {READING} AS kind, CASE WHEN lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) = '' THEN 'other' ELSE lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) END AS attribute FROM said
- UNION ALL SELECT 1000000 + conv_id * 1000 + turn, {READING}, CASE WHEN lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) = '' THEN 'other' ELSE lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) END FROM conversations WHERE text IS NOT NULL""")
+@query(f"""WITH {SAID} SELECT 's' || qid AS qid, {READING} AS kind, CASE WHEN lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) = '' THEN 'other' ELSE lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) END AS attribute FROM said
+ UNION ALL SELECT conv_id || ':' || turn, {READING}, CASE WHEN lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) = '' THEN 'other' ELSE lower(regexp_extract(text, {Q(cues.ATTRIBUTE)}, 1)) END FROM conversations WHERE text IS NOT NULL""")
 def cue_detection(spark: SparkSession, folder: str) -> DataFrame:
-    free = read(spark, folder, "conversations").where("text is not null").select((F.lit(1000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
-    return said(spark, folder).unionByName(free).select("qid", cues.reading(F.col("text")).alias("kind"), cues.attribute(F.col("text")).alias("attribute"))
+    free = read(spark, folder, "conversations").where("text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), "text")
+    return said(spark, folder).withColumn("qid", F.concat(F.lit("s"), "qid")).unionByName(free).select("qid", cues.reading(F.col("text")).alias("kind"), cues.attribute(F.col("text")).alias("attribute"))
 
 
 @query(f"""WITH {SAID}, d AS (SELECT qid, regexp_extract(text, {Q(cues.DISCLOSURE)}, 1) AS v FROM said)
@@ -131,7 +137,7 @@ def disclosed_constraints(spark: SparkSession, folder: str) -> DataFrame:
  tails AS (SELECT qid, n, list(term ORDER BY i) AS t FROM (SELECT qid, n, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS term FROM raw) WHERE term IN (SELECT term FROM terms) GROUP BY qid, n),
  numbered AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY n) - 1 AS clause FROM tails WHERE len(t) > 0),
  win AS (SELECT qid, clause, k, i, array_to_string(t[i:i + k - 1], ' ') AS phrase FROM (SELECT qid, clause, t, unnest(range(1, least(len(t), 6) + 1)) AS k FROM numbered), LATERAL (SELECT unnest(range(1, len(t) - k + 2)) AS i)),
- ok AS (SELECT * FROM win WHERE EXISTS (SELECT 1 FROM (SELECT ' ' || {N('text')} || ' ' AS p FROM docs) WHERE contains(p, ' ' || win.phrase || ' ')))
+ {DGRAMS.format(n=6)}, ok AS (SELECT * FROM win WHERE phrase IN (SELECT phrase FROM dgrams))
  SELECT qid, clause, phrase FROM (SELECT *, row_number() OVER (PARTITION BY qid, clause ORDER BY k DESC, i) AS r FROM ok) WHERE r = 1""")
 def negation_retractions(spark: SparkSession, folder: str) -> DataFrame:
     return dialogue.retractions(said(spark, folder), documents(spark, folder))
@@ -151,15 +157,15 @@ def salient_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mixed_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """(rid, toks): the first five words of a passage, a word of no document, and the last five: two phrases to be found apart."""
-    t = F.col("t")
-    rows = passages(spark, folder).select("qid", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 12)
-    return rows.select(F.col("qid").alias("rid"), F.concat(F.slice(t, 1, 5), F.array(F.lit("zzqxj")), F.slice(t, F.size(t) - 4, F.lit(5))).alias("toks"))
+    """(rid, toks): each whole passage, with a word of no document in its middle: two parts to be found apart."""
+    t, half = F.col("t"), F.expr("size(t) div 2")
+    rows = passages(spark, folder).select("qid", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 2)
+    return rows.select(F.col("qid").alias("rid"), F.concat(F.slice(t, F.lit(1), half), F.array(F.lit("zzqxj")), F.slice(t, half + 1, F.size(t))).alias("toks"))
 
 
-GREEDY = f"""runs AS (SELECT qid AS rid, list_concat(t[1:5], ['zzqxj'], t[len(t) - 4:]) AS t FROM (SELECT qid, {TOKS('text')} AS t FROM queries) WHERE len(t) >= 12),
- texts AS (SELECT ' ' || {N('text')} || ' ' AS p FROM docs), win AS (SELECT rid, i, k, array_to_string(t[i + 1:i + k], ' ') AS phrase FROM (SELECT rid, t, unnest(range(0, len(t))) AS i FROM runs), LATERAL (SELECT unnest(range(1, least(12, len(t) - i) + 1)) AS k)),
- grounded AS (SELECT DISTINCT phrase FROM (SELECT DISTINCT phrase FROM win) w JOIN texts ON contains(p, ' ' || phrase || ' ')),
+GREEDY = f"""runs AS (SELECT qid AS rid, list_concat(t[1:len(t) // 2], ['zzqxj'], t[len(t) // 2 + 1:]) AS t FROM (SELECT qid, {TOKS('text')} AS t FROM queries) WHERE len(t) >= 2),
+ {DGRAMS.format(n=12)}, win AS (SELECT rid, i, k, array_to_string(t[i + 1:i + k], ' ') AS phrase FROM (SELECT rid, t, unnest(range(0, len(t))) AS i FROM runs), LATERAL (SELECT unnest(range(1, least(12, len(t) - i) + 1)) AS k)),
+ grounded AS (SELECT DISTINCT phrase FROM win WHERE phrase IN (SELECT phrase FROM dgrams)),
  longest AS (SELECT rid, i, max(k) AS k FROM win JOIN grounded USING (phrase) GROUP BY rid, i),
  walk AS (SELECT rid, -1 AS i, 0::BIGINT AS nxt, 0 AS took FROM runs UNION ALL
    SELECT w.rid, w.nxt, CASE WHEN k IS NULL THEN w.nxt + 1 ELSE w.nxt + k END, coalesce(k, 0) FROM walk w JOIN runs USING (rid) LEFT JOIN longest l ON l.rid = w.rid AND l.i = w.nxt WHERE w.nxt < len(t)),
@@ -186,12 +192,13 @@ def heard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def dialogue_state_fold(spark: SparkSession, folder: str) -> DataFrame:
-    return dialogue.fold(heard(spark, folder)).select("sid", "turn", "kind", "n_active", "active", "n_revoked", "n_disclosed")
+    turns = dialogue.fold(heard(spark, folder))
+    return turns.select("sid", "turn", "kind", "n_active", F.array_join("active", " | ").alias("active"), "n_revoked", F.size("disclosed").alias("n_disclosed"))
 
 
 @query()
 def turn_responses(spark: SparkSession, folder: str) -> DataFrame:
-    return dialogue.fold(heard(spark, folder)).select("sid", "turn", "ask", "emit", "message")
+    return dialogue.responses(dialogue.fold(heard(spark, folder)))
 
 
 GATE = "(turn >= 5 OR slots >= 3 OR (pool > 0 AND pool <= 5))"
@@ -206,35 +213,45 @@ def emission_gate(spark: SparkSession, folder: str) -> DataFrame:
 # --- simulation -----------------------------------------------------------------------------------------------
 
 def shop(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The products as a catalog with cards, and a session that looks for each."""
+    """The products as a catalog with cards, and a session that looks for each of the stated ones (numbers divisible by 20)."""
     c = cards(spark, folder).withColumn("category", F.concat_ws(" ", "type", "brand"))
-    kinds = F.element_at(F.array(*map(F.lit, ("buying", "browsing", "intent_override", "boundary"))), (F.expr("doc div 50") % 4 + 1).cast("int"))
-    sessions = c.select(F.concat(F.lit("s"), "doc").alias("sample_id"), kinds.alias("scenario_type"), F.col("doc").alias("target"), "category", "card")
-    return c, sessions
+    kinds = F.element_at(F.array(*map(F.lit, ("buying", "browsing", "intent_override", "boundary"))), (F.expr("doc div 20") % 4 + 1).cast("int"))
+    sessions = c.where("doc % 20 = 0").select(F.concat(F.lit("s"), "doc").alias("sample_id"), kinds.alias("scenario_type"), F.col("doc").alias("target"), "category", "card")
+    rated = products(spark, folder).select("doc", "ratings", "average", "price")
+    text = F.concat_ws(" ", "text", F.array_join("card", " "))
+    return c.select("doc", text.alias("text"), "category", "card").join(rated, "doc"), sessions
 
 
-def bm25_agent(catalog: DataFrame):
-    """An agent that ranks the catalog by BM25 over all that was said, and always asks the open question."""
-    ix = index.build_index(catalog.select("doc", F.concat_ws(" ", "text", F.array_join("card", " ")).alias("text")))
+def the_agent(catalog: DataFrame):
+    return agent.Agent(catalog)
 
-    def respond(said: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        asked = said.groupBy(F.col("sample_id").alias("qid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "message"))), lambda m: m.message), " ").alias("text"))
-        ranked = retrieval.bm25(asked, ix).select(F.col("qid").alias("sample_id"), "doc", "rnk")
-        return ranked, said.select("sample_id").distinct().withColumn("ask", F.lit("other"))
 
-    return respond
+@query()
+def agent_turn(spark: SparkSession, folder: str) -> DataFrame:
+    """What the agent shows and asks after the first message of each session."""
+    catalog, sessions = shop(spark, folder)
+    opened = simulate.open_sessions(simulate.hidden(sessions.withColumn("level", F.lit("L0"))))
+    shown, replies = agent.Agent(catalog, Settings(gate="always"))(opened.select(F.col("sample_id").alias("sid"), F.lit(1).alias("turn"), "message"), 1)
+    return replies.select("sid", "ask", "n_active", "pool").join(shown, "sid").select("sid", "ask", "n_active", "pool", "doc", "rnk")
 
 
 @query()
 def simulated_sessions(spark: SparkSession, folder: str) -> DataFrame:
     catalog, sessions = shop(spark, folder)
-    return simulate.run(sessions, bm25_agent(catalog))
+    return simulate.run(sessions, the_agent(catalog)).drop("level")
+
+
+@query()
+def composite_by_scenario(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of the agent's sessions, for each scenario and for all of them (no scenario)."""
+    catalog, sessions = shop(spark, folder)
+    return evaluate.summary(materialized(simulate.run(sessions, the_agent(catalog)), "results"), "scenario_type")
 
 
-@query(f"""WITH {CARDS}, s AS (SELECT 's' || doc AS sample_id, ['buying', 'browsing', 'intent_override', 'boundary'][(doc // 50) % 4 + 1] AS kind, type || ' ' || brand AS category, card FROM cards JOIN products USING (doc) WHERE doc % 50 = 0)
+@query(f"""WITH {CARDS}, s AS (SELECT 's' || doc AS sample_id, ['buying', 'browsing', 'intent_override', 'boundary'][(doc // 20) % 4 + 1] AS kind, type || ' ' || brand AS category, card FROM cards JOIN products USING (doc) WHERE doc % 20 = 0)
  SELECT sample_id, CASE WHEN kind = 'buying' THEN 'I''m looking for ' || category || '. A key requirement is: ' || card[1] || '.' WHEN kind = 'intent_override' THEN 'I''m looking for ' || category || '. ' || CASE WHEN len(card) > 2 THEN card[-1] ELSE card[1] END ELSE 'I''m looking for ' || category || ', but I''m still exploring.' END AS message FROM s""")
 def simulated_openings(spark: SparkSession, folder: str) -> DataFrame:
-    return simulate.open_sessions(simulate.hidden(shop(spark, folder)[1].where("target % 50 = 0"))).select("sample_id", "message")
+    return simulate.open_sessions(simulate.hidden(shop(spark, folder)[1].withColumn("level", F.lit("L0")))).select("sample_id", "message")
 
 
 # --- measuring ------------------------------------------------------------------------------------------------
@@ -291,28 +308,26 @@ def first_hit_rank(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.first_hits(shown, targets).withColumn("reciprocal_rank", F.round("reciprocal_rank", 6))
 
 
-DRAWS = """numbered AS (SELECT *, row_number() OVER (ORDER BY idx0) - 1 AS idx FROM results WHERE idx0 % 20 = 0), n AS (SELECT count(*) AS n FROM numbered),
- draws AS (SELECT i, ((((((i * 1103515245 + j * 12345 + 1) % 2147483647) * 48271) % 2147483647) * 69621 + j) % 2147483647) % n AS idx FROM range(200) r(i), n, LATERAL (SELECT unnest(range(0, n)) AS j))"""
+DRAWS = """numbered AS (SELECT *, row_number() OVER (ORDER BY idx0) - 1 AS idx FROM results), n AS (SELECT count(*) AS n FROM numbered),
+ draws AS (SELECT i, ((((((i * 1103515245 + j * 12345 + 1) % 2147483647) * 48271) % 2147483647) * 69621 + j) % 2147483647) % n AS idx FROM range(1000) r(i), n, LATERAL (SELECT unnest(range(0, n)) AS j))"""
 
 
 def sampled(spark: SparkSession, folder: str) -> DataFrame:
-    """The results of the stated sessions (numbers divisible by 20), numbered from 0 for the resampling."""
-    from pyspark.sql import Window
-
-    return results(spark, folder).where("idx0 % 20 = 0").withColumn("idx", F.row_number().over(Window.orderBy("idx0")).cast("long") - 1)
+    """All results, numbered from 0 for the resampling."""
+    return evaluate.numbered(results(spark, folder), "idx0")
 
 
 @query(f"""WITH {RESULTS}, {DRAWS}, s AS (SELECT i, round({COMPOSITE.format(h='avg(hit::INT)', m='avg(reciprocal_rank)', t='avg(CASE WHEN hit THEN first_hit_turn ELSE 11 END)')}, 9) AS s FROM draws JOIN numbered USING (idx) GROUP BY i)
  SELECT round(avg(s), 6) AS mean, round(quantile_cont(s, 0.025), 6) AS lo, round(quantile_cont(s, 0.975), 6) AS hi FROM s""")
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     turn = F.when(F.col("hit"), F.col("first_hit_turn")).otherwise(F.lit(evaluate.MISS))
-    return evaluate.bootstrap(sampled(spark, folder).select("idx", F.col("hit").cast("double").alias("hit"), F.col("reciprocal_rank").alias("rr"), turn.alias("turn")), 200)
+    return evaluate.bootstrap(sampled(spark, folder).select("idx", F.col("hit").cast("double").alias("hit"), F.col("reciprocal_rank").alias("rr"), turn.alias("turn")))
 
 
 @query(f"""WITH {RESULTS}, {DRAWS}, s AS (SELECT i, round(avg(other_rank) - avg(reciprocal_rank), 9) AS d FROM draws JOIN numbered USING (idx) GROUP BY i)
  SELECT round(avg(d), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(avg((d > 0)::INT), 6) AS p_positive FROM s""")
 def paired_bootstrap_delta(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.paired_bootstrap(sampled(spark, folder).select("idx", F.col("reciprocal_rank").alias("a"), F.col("other_rank").alias("b")), 200)
+    return evaluate.paired_bootstrap(sampled(spark, folder).select("idx", F.col("reciprocal_rank").alias("a"), F.col("other_rank").alias("b")))
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n, count_if(n_chars % 3 = 0)::BIGINT AS k FROM documents GROUP BY source), p AS (SELECT *, k / n AS p, 1.96 * 1.96 AS zz FROM c)
@@ -333,13 +348,13 @@ def turn_prefix_transcript(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.prefixes(read(spark, folder, "conversations").select(F.col("conv_id").alias("conv"), "turn", "text"))
 
 
-PAIRS = f"turns AS (SELECT conv_id, turn, {TOKS('text')} AS toks, lead({TOKS('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)"
+PAIRS = f"turns AS (SELECT conv_id, turn, {TOKS('text')} AS toks, {TOKS('string_split(text, chr(10))[1]')} AS head, lead({TOKS('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)"
 
 
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = read(spark, folder, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("toks"))
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("toks"), T.tokens(F.substring_index("text", "\n", 1)).alias("head"))
     return rows.withColumn("nxt", F.lead("toks").over(Window.partitionBy("conv_id").orderBy("turn"))).where("nxt is not null")
 
 
@@ -349,10 +364,10 @@ def verbatim_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return turn_pairs(spark, folder).select("conv_id", "turn", F.round(T.overlap(T.content(F.col("toks"), 3), F.col("nxt")), 6).alias("overlap"))
 
 
-@query(f"""WITH {PAIRS}, g AS (SELECT conv_id, turn, {{a}} AS a, {{b}} AS b FROM turns WHERE nxt IS NOT NULL) SELECT conv_id, turn, list_has_any(a, b) AS lifted FROM g""".replace("{a}", "list_transform(range(1, greatest(len(toks[1:12]) - 3, 0) + 1), lambda i: array_to_string(toks[i:i + 3], ' '))").replace("{b}", "list_transform(range(1, greatest(len(nxt) - 3, 0) + 1), lambda i: array_to_string(nxt[i:i + 3], ' '))"))
+@query(f"""WITH {PAIRS}, g AS (SELECT conv_id, turn, {{a}} AS a, {{b}} AS b FROM turns WHERE nxt IS NOT NULL) SELECT conv_id, turn, list_has_any(a, b) AS lifted FROM g""".replace("{a}", "list_transform(range(1, greatest(len(head) - 3, 0) + 1), lambda i: array_to_string(head[i:i + 3], ' '))").replace("{b}", "list_transform(range(1, greatest(len(nxt) - 3, 0) + 1), lambda i: array_to_string(nxt[i:i + 3], ' '))"))
 def title_4gram_lift(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a turn lifts four words in a row from the first twelve of the turn before."""
-    return turn_pairs(spark, folder).select("conv_id", "turn", F.arrays_overlap(T.ngrams(F.slice("toks", 1, 12), 4), T.ngrams(F.col("nxt"), 4)).alias("lifted"))
+    """Whether a turn lifts four words in a row from the title (first line) of the turn before."""
+    return turn_pairs(spark, folder).select("conv_id", "turn", F.arrays_overlap(T.ngrams(F.col("head"), 4), T.ngrams(F.col("nxt"), 4)).alias("lifted"))
 
 
 JAC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
@@ -374,12 +389,12 @@ def probe_guard_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {INDEX}, b AS (SELECT qid, unnest(range(1, least(len(t), 20) + 1)) AS pos, unnest(t[1:20]) AS term FROM (SELECT qid, {TOKS('text')} AS t FROM queries)),
+@query(f"""WITH {INDEX}, b AS (SELECT qid, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS term FROM (SELECT qid, {TOKS('text')} AS t FROM queries)),
  r AS (SELECT qid, pos, term, row_number() OVER (PARTITION BY qid ORDER BY round(idf, 9) DESC, pos) AS r, greatest(1, round(count(*) OVER (PARTITION BY qid) * 0.4)) AS d FROM b JOIN terms USING (term))
  SELECT qid AS rid, coalesce(string_agg(term, ' ' ORDER BY pos) FILTER (WHERE r > d), '') AS kept FROM r GROUP BY qid""")
 def rare_token_ablation(spark: SparkSession, folder: str) -> DataFrame:
     ix = indexed(spark, folder)
-    toks = passages(spark, folder).select(F.col("qid").alias("rid"), F.posexplode(F.slice(T.tokens(F.col("text")), 1, 20)).alias("pos", "term")).join(ix.terms.select("term", "idf"), "term")
+    toks = passages(spark, folder).select(F.col("qid").alias("rid"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "term")).join(ix.terms.select("term", "idf"), "term")
     return evaluate.rare_tokens_dropped(toks, 0.4)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import category, fuzzy, index, mining, ranking, retrieval
+from ..sources.scratch import materialized
 from .registry import query, read
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP)
@@ -122,7 +123,8 @@ def bm25_rm3(spark: SparkSession, folder: str) -> DataFrame:
     return shown(retrieval.rm3(passages(spark, folder), indexed(spark, folder)), "qid", "doc", "score", "rnk")
 
 
-ASSOC = f"""titles AS (SELECT doc, list_distinct(list_filter(toks[1:40], lambda t: t NOT IN ({STOP}) AND len(t) >= 3)) AS toks FROM dtoks),
+FIRST_LINE = f"{TOKS('string_split(text, chr(10))[1]')}"
+ASSOC = f"""titles AS (SELECT doc, list_distinct(list_filter({FIRST_LINE}, lambda t: t NOT IN ({STOP}) AND len(t) >= 3)) AS toks FROM docs),
  tdf AS (SELECT term, count(*) AS df FROM (SELECT unnest(toks) AS term FROM titles) GROUP BY term),
  vocab AS (SELECT term, df FROM tdf, size WHERE df >= 20 AND df <= n * 0.05),
  mass AS (SELECT sum(df)::DOUBLE AS t FROM vocab),
@@ -133,13 +135,14 @@ ASSOC = f"""titles AS (SELECT doc, list_distinct(list_filter(toks[1:40], lambda
  assoc AS (SELECT term, other, round(p, 3) AS ppmi, rnk FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(p, 9) DESC, other DESC) AS rnk FROM ppmi WHERE round(p, 9) > 0) WHERE rnk <= 12)"""
 
 
-def titles_of(docs: DataFrame, words: int) -> DataFrame:
-    return docs.select("doc", F.array_join(F.slice(T.tokens(F.col("text")), 1, words), " ").alias("title"))
+def titles_of(docs: DataFrame) -> DataFrame:
+    """(doc, title): the first line of each text, which stands for a title."""
+    return docs.select("doc", T.norm(F.substring_index("text", "\n", 1)).alias("title"))
 
 
 @query(f"WITH {INDEX}, {ASSOC} SELECT * FROM assoc")
 def ppmi_associations(spark: SparkSession, folder: str) -> DataFrame:
-    return mining.associations(titles_of(documents(spark, folder), 40))
+    return mining.associations(titles_of(documents(spark, folder)))
 
 
 @query(f"""WITH {INDEX}, {ASSOC},
@@ -148,11 +151,11 @@ def ppmi_associations(spark: SparkSession, folder: str) -> DataFrame:
  SELECT qid, doc, round(score, 6) AS score, rnk FROM {TOP(SCORED('weighted'), 10)}""")
 def bm25_assoc_expand(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    terms = retrieval.associated_terms(passages(spark, folder), mining.associations(titles_of(docs, 40)))
+    terms = retrieval.associated_terms(passages(spark, folder), mining.associations(titles_of(docs)))
     return shown(retrieval.top(retrieval.score_terms(terms, index.build_index(docs)), 10), "qid", "doc", "score", "rnk")
 
 
-D2Q = INDEX.replace("coalesce(text, '') AS text FROM documents", f"array_to_string({TOKS('text')}[1:12], ' ') AS text FROM documents WHERE doc_id % 3 <> 0").replace("SELECT count(*) AS n, avg(dl)", "SELECT (SELECT count(*) FROM documents) AS n, avg(dl)")
+D2Q = INDEX.replace("coalesce(text, '') AS text FROM documents", "string_split(text, chr(10))[1] AS text FROM documents WHERE contains(text, chr(10))").replace("SELECT count(*) AS n, avg(dl)", "SELECT (SELECT count(*) FROM documents) AS n, avg(dl)")
 
 
 @query(f"""WITH lexical AS (WITH {INDEX} SELECT qid, doc, rnk FROM {TOP(SCORED('qterms'), 200)}),
@@ -160,9 +163,9 @@ D2Q = INDEX.replace("coalesce(text, '') AS text FROM documents", f"array_to_stri
  points AS (SELECT qid, doc, sum(0.5 / (60 + rnk)) AS score FROM (SELECT * FROM lexical UNION ALL SELECT * FROM asked) GROUP BY qid, doc)
  SELECT qid, doc, round(score, 6) AS score, rnk FROM {TOP('points', 10)}""")
 def bm25_doc2query_fused(spark: SparkSession, folder: str) -> DataFrame:
-    """A second corpus stands in for generated questions (the first words of two thirds of the documents); its N is that of all documents."""
+    """A second corpus stands in for generated questions: the titles (first lines) of documents that have more lines. Its N is that of all documents."""
     docs, asked = documents(spark, folder), passages(spark, folder)
-    second = titles_of(docs.where("doc % 3 <> 0"), 12).withColumnRenamed("title", "text")
+    second = titles_of(docs.where(F.contains("text", F.lit("\n")))).withColumnRenamed("title", "text")
     ix2 = index.build_index(second, docs.agg(F.count("*").alias("n")), retrieval.query_terms(asked))
     fused = retrieval.reciprocal_rank_fusion([(retrieval.bm25(asked, indexed(spark, folder, asked), 200), 0.5), (retrieval.bm25(asked, ix2, 200), 0.5)])
     return shown(fused, "qid", "doc", "score", "rnk")
@@ -174,14 +177,14 @@ FIELDS = f"""parts AS (SELECT p_partkey AS doc, {TOKS('p_name')} AS title, {TOKS
  terms AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size)"""
 
 
-@query(f"""WITH {FIELDS}, q AS (SELECT DISTINCT p_name AS qid, unnest(list_filter({TOKS("p_name || ' ' || p_type")}, lambda t: len(t) >= 2 AND t NOT IN ({STOP}))) AS term FROM part WHERE p_partkey < 20),
+@query(f"""WITH {FIELDS}, q AS (SELECT DISTINCT p_name AS qid, unnest(list_filter({TOKS("p_name || ' ' || p_type")}, lambda t: len(t) >= 2 AND t NOT IN ({STOP}))) AS term FROM part WHERE p_partkey % 20 = 0),
  scored AS (SELECT qid, doc, sum(idf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN terms USING (term) JOIN tf USING (term) JOIN dls USING (doc), size GROUP BY qid, doc)
  SELECT qid, doc, round(score, 6) AS score, rnk FROM {TOP('scored', 10)}""")
 def fielded_fts_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    """Products found by what the first twenty are called and are; a stated set of questions."""
+    """Products found by what the stated ones (numbers divisible by 20) are called and are."""
     part = read(spark, folder, "part")
     fields = [(part.select(F.col("p_partkey").alias("doc"), t.alias("text")), w) for t, w in ((F.col("p_name"), 6.0), (F.concat_ws(" ", "p_type", "p_brand"), 4.0), (F.col("p_brand"), 1.5))]
-    asked = part.where("p_partkey < 20").groupBy(F.col("p_name").alias("qid")).agg(F.concat_ws(" ", F.first("p_name"), F.array_join(F.array_sort(F.collect_set("p_type")), " ")).alias("text"))
+    asked = part.where("p_partkey % 20 = 0").groupBy(F.col("p_name").alias("qid")).agg(F.concat_ws(" ", F.first("p_name"), F.array_join(F.array_sort(F.collect_set("p_type")), " ")).alias("text"))
     return shown(retrieval.fielded_bm25(asked, fields), "qid", "doc", "score", "rnk")
 
 
@@ -189,7 +192,7 @@ BM25F = f"""raw AS (SELECT p_partkey AS doc, 'title' AS field, {TOKS('p_name')}
  averages AS (SELECT field, avg(len(toks)) AS avg_dl FROM raw GROUP BY field),
  fields AS (SELECT doc, field, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, field, unnest(toks) AS term, len(toks) AS dl FROM raw) GROUP BY doc, field, term),
  n AS (SELECT count(*) AS n FROM part), terms AS (SELECT term, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM (SELECT term, count(DISTINCT doc) AS df FROM fields GROUP BY term), n),
- slots AS (SELECT DISTINCT p_partkey AS qid, s AS slot, unnest({TOKS('v')}) AS term FROM (SELECT p_partkey, 1 AS s, p_name AS v FROM part WHERE p_partkey < 20 UNION ALL SELECT p_partkey, 2, p_type FROM part WHERE p_partkey < 20)),
+ slots AS (SELECT DISTINCT p_partkey AS qid, s AS slot, unnest({TOKS('v')}) AS term FROM (SELECT p_partkey, 1 AS s, p_name AS v FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT p_partkey, 2, p_type FROM part WHERE p_partkey % 20 = 0)),
  total AS (SELECT qid, slot, sum(idf) AS idf_total FROM slots JOIN terms USING (term) GROUP BY qid, slot),
  pseudo AS (SELECT qid, slot, doc, term, sum(tf * CASE field WHEN 'title' THEN 3.0 WHEN 'cat' THEN 2.0 ELSE 1.0 END / (0.4 + 0.6 * dl / greatest(avg_dl, 1.0))) AS tfp FROM slots JOIN fields USING (term) JOIN averages USING (field) GROUP BY ALL),
  each AS (SELECT qid, slot, doc, sum(idf * tfp / (tfp + 1.2)) AS s FROM pseudo JOIN terms USING (term) GROUP BY ALL),
@@ -205,7 +208,7 @@ def bm25f_rescore(spark: SparkSession, folder: str) -> DataFrame:
     fields = raw.select("doc", "field", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("doc", "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     n = part.agg(F.count("*").alias("n"))
     terms = fields.groupBy("term").agg(F.countDistinct("doc").alias("df")).join(F.broadcast(n), F.lit(True)).select("term", T.idf(F.col("n"), F.col("df")).alias("idf"))
-    slots = part.where("p_partkey < 20").select(F.col("p_partkey").alias("qid"), F.explode(F.array(F.struct(F.lit(1).alias("slot"), T.tokens(F.col("p_name")).alias("t")), F.struct(F.lit(2).alias("slot"), T.tokens(F.col("p_type")).alias("t")))).alias("s")).select("qid", "s.slot", F.explode(F.array_distinct("s.t")).alias("term"))
+    slots = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.explode(F.array(F.struct(F.lit(1).alias("slot"), T.tokens(F.col("p_name")).alias("t")), F.struct(F.lit(2).alias("slot"), T.tokens(F.col("p_type")).alias("t")))).alias("s")).select("qid", "s.slot", F.explode(F.array_distinct("s.t")).alias("term"))
     return shown(retrieval.top(retrieval.bm25f(slots, fields, terms, averages, {"title": 3, "cat": 2, "body": 1}), 10), "qid", "doc", "score", "rnk")
 
 
@@ -240,44 +243,42 @@ def GRAMS(x: str) -> str:  # noqa: N802
     return f"list_distinct(list_transform(range(1, len({x}) + 1), lambda i: substr('$' || {x} || '$', i, 3)))"
 
 
-TYPOS = f"""words AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4, 1) || substr(term, 3, 1) || substr(term, 5) AS word FROM terms WHERE len(term) >= 6 AND regexp_matches(term, '^[a-z]+$') AND df % 31 = 5),
+TYPOS = f"""words AS (SELECT DISTINCT word FROM (SELECT unnest({TOKS('text')}) AS word FROM conversations WHERE role = 'user') WHERE len(word) >= 4 AND regexp_matches(word, '^[a-z]+$') AND word NOT IN (SELECT term FROM terms)),
  pool AS (SELECT term, df FROM terms WHERE regexp_matches(term, '^[a-z]+$') AND len(term) >= 4 AND df >= 3),
  pg AS (SELECT term, df, unnest({GRAMS('term')}) AS gram FROM pool), wg AS (SELECT word, unnest({GRAMS('word')}) AS gram FROM words),
  shared AS (SELECT word, term, df, count(*) AS shared FROM wg JOIN pg USING (gram) GROUP BY ALL),
  cands AS (SELECT word, term, shared, df FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY shared DESC, term) AS r FROM shared) WHERE r <= 40)"""
 
 
-def typos(terms: DataFrame) -> DataFrame:
-    """Words with two letters swapped, from terms of some document frequencies: a fixture that both engines make alike."""
-    t = F.col("term")
-    swapped = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, 3, 1), F.expr("substring(term, 5)"))
-    return terms.where((F.length("term") >= 6) & t.rlike("^[a-z]+$") & (F.col("df") % 31 == 5)).select(swapped.alias("word")).distinct()
+def strange(spark: SparkSession, folder: str, terms: DataFrame) -> DataFrame:
+    """Words of shoppers that no document has: four letters or more."""
+    said = read(spark, folder, "conversations").where("role = 'user'").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return said.where((F.length("word") >= 4) & F.col("word").rlike("^[a-z]+$")).join(terms.select(F.col("term").alias("word")), "word", "left_anti")
 
 
 @query(f"WITH {INDEX}, {TYPOS} SELECT * FROM cands")
 def trigram_candidates(spark: SparkSession, folder: str) -> DataFrame:
     df = index.document_frequencies(documents(spark, folder))
-    return fuzzy.trigram_candidates(typos(df), fuzzy.vocabulary(df)).select("word", "term", "shared", "df")
+    return fuzzy.trigram_candidates(strange(spark, folder, df), fuzzy.vocabulary(df)).select("word", "term", "shared", "df")
 
 
-@query(f"""WITH {INDEX}, {TYPOS}, absent AS (SELECT * FROM cands WHERE len(word) >= 4 AND word NOT IN (SELECT term FROM terms)),
- near AS (SELECT *, damerau_levenshtein(word, term) AS distance FROM absent)
+@query(f"""WITH {INDEX}, {TYPOS}, near AS (SELECT *, damerau_levenshtein(word, term) AS distance FROM cands)
  SELECT word, term, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) AS r FROM near WHERE distance <= CASE WHEN len(word) < 7 THEN 1 ELSE 2 END) WHERE r = 1""")
 def fuzzy_repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     df = index.document_frequencies(documents(spark, folder))
-    return fuzzy.repairs(typos(df), df)
+    return fuzzy.repairs(strange(spark, folder, df), df)
 
 
 @query(f"""WITH {INDEX}, {TYPOS} SELECT word, term, levenshtein(word, term)::INT AS distance FROM cands WHERE levenshtein(word, term) <= 2""")
 def levenshtein_bounded(spark: SparkSession, folder: str) -> DataFrame:
     df = index.document_frequencies(documents(spark, folder))
-    near = fuzzy.trigram_candidates(typos(df), fuzzy.vocabulary(df)).withColumn("distance", F.levenshtein("word", "term", 2))
+    near = fuzzy.trigram_candidates(strange(spark, folder, df), fuzzy.vocabulary(df)).withColumn("distance", F.levenshtein("word", "term", 2))
     return near.where("distance >= 0").select("word", "term", "distance")
 
 
 @query()
 def fuzzy_repair_messages(spark: SparkSession, folder: str) -> DataFrame:
-    said = read(spark, folder, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    said = read(spark, folder, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return fuzzy.repair_messages(said, index.document_frequencies(documents(spark, folder)))
 
 
@@ -366,7 +367,7 @@ def char_ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
     return category.word_grams(passages(spark, folder))
 
 
-CLF = f"""ex AS (SELECT doc_id AS qid, array_to_string({TOKS('text')}[1:40], ' ') AS text, lang AS key FROM documents WHERE lang IS NOT NULL),
+CLF = f"""ex AS (SELECT doc_id AS qid, text, lang AS key FROM documents WHERE lang IS NOT NULL),
  eg AS ({WORD_GRAMS('ex', 3, 3)}), sizes AS (SELECT key, count(*) AS docs FROM ex GROUP BY key), every AS (SELECT sum(docs)::BIGINT AS all_docs FROM sizes),
  gdf AS (SELECT gram, count(*) AS df FROM eg GROUP BY gram HAVING count(*) >= 5),
  cnt AS (SELECT gram, key, count(*) AS c FROM eg JOIN ex USING (qid) GROUP BY gram, key),
@@ -376,7 +377,7 @@ CLF = f"""ex AS (SELECT doc_id AS qid, array_to_string({TOKS('text')}[1:40], ' '
 
 
 def examples(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").where("lang is not null").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 40), " ").alias("text"), F.col("lang").alias("key"))
+    return read(spark, folder, "documents").where("lang is not null").select(F.col("doc_id").alias("qid"), "text", F.col("lang").alias("key"))
 
 
 @query(f"WITH {CLF} SELECT gram, key, round(w, 6) AS w FROM weights")
@@ -394,21 +395,21 @@ def linear_clf_predict_softmax(spark: SparkSession, folder: str) -> DataFrame:
     return shown(category.by_classifier(passages(spark, folder), weights, intercepts, 3, 3), "qid", "key", "confidence")
 
 
-SLOTS = f"""content AS (SELECT qid, list_filter({TOKS('text')}, lambda t: t NOT IN ({STOP}) AND len(t) >= 3)[1:6] AS t FROM queries),
+SLOTS = f"""content AS (SELECT qid, list_filter({TOKS('text')}, lambda t: t NOT IN ({STOP}) AND len(t) >= 3) AS t FROM queries),
  slots AS (SELECT DISTINCT qid, (i - 1) // 2 AS slot, t[i] AS term FROM (SELECT qid, t, unnest(range(1, len(t) + 1)) AS i FROM content)),
  known AS (SELECT * FROM slots JOIN terms USING (term)), totals AS (SELECT qid, slot, sum(idf) AS idf_total FROM known GROUP BY qid, slot),
  covered AS (SELECT qid, slot, doc, sum(idf) AS mass FROM known JOIN tf USING (term), size WHERE df <= n * 0.35 GROUP BY qid, slot, doc)"""
 
 
 def slots_of(spark: SparkSession, folder: str) -> DataFrame:
-    """Three slots of two tokens from the first content words of each passage."""
-    words = passages(spark, folder).select("qid", F.posexplode(F.slice(T.content(T.tokens(F.col("text")), 3), 1, 6)).alias("i", "term"))
+    """The content words of each passage, by twos, as slots."""
+    words = passages(spark, folder).select("qid", F.posexplode(T.content(T.tokens(F.col("text")), 3)).alias("i", "term"))
     return words.select("qid", F.expr("cast(i div 2 as bigint)").alias("slot"), "term").distinct()
 
 
-def covered_slots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def covered_slots(spark: SparkSession, folder: str, ix: index.Index | None = None) -> tuple[DataFrame, DataFrame]:
     slots = slots_of(spark, folder)
-    ix = index.build_index(documents(spark, folder), wanted=slots)
+    ix = ix or index.build_index(documents(spark, folder), wanted=slots)
     return ranking.coverage(slots, ix.tf.select("doc", "term"), ix.terms, ix.size), slots
 
 
@@ -425,12 +426,14 @@ CONJ = f"""cat AS (SELECT qid, doc_id AS doc FROM queries JOIN documents ON sour
  satisfied AS (SELECT qid, count_if(ok)::BIGINT AS satisfied FROM conj GROUP BY qid)"""
 
 
-def conjunctive_rows(spark: SparkSession, folder: str) -> DataFrame:
-    covered, slots = covered_slots(spark, folder)
-    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source")
-    own = passages(spark, folder).select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source")).join(docs, "source").select("qid", "doc")
-    seen = retrieval.bm25(passages(spark, folder), indexed(spark, folder, passages(spark, folder)), 3)
-    return ranking.conjunctive(covered, slots, in_category=own, shown=seen)
+def conjunctive_rows(spark: SparkSession, folder: str, ix: index.Index | None = None) -> DataFrame:
+    """Slots ranked with a source as category; the three best by BM25 count as shown. One index serves both."""
+    asked = passages(spark, folder)
+    ix = ix or indexed(spark, folder, asked)  # slots have no other words than their passages
+    covered, slots = covered_slots(spark, folder, ix)
+    own = read(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("key"))
+    wish = asked.select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("key"), F.lit(1.0).alias("confidence"))
+    return ranking.conjunctive(covered, slots, (wish, own), shown=retrieval.bm25(asked, ix, 3))
 
 
 def conjunctive_top(spark: SparkSession, folder: str, k: int) -> DataFrame:
@@ -472,7 +475,7 @@ HEAD = f"""normal AS (SELECT doc, ' ' || {N('text')} || ' ' AS p FROM docs), phr
 def head_phrase_card_rescore(spark: SparkSession, folder: str) -> DataFrame:
     texts = documents(spark, folder).select("doc", T.norm(F.col("text")).alias("normal"))
     first = passages(spark, folder).select("qid", F.slice(T.content(T.tokens(F.col("text")), 3), 1, 2).alias("t")).where(F.size("t") >= 2).select("qid", F.array_join("t", " ").alias("phrase")).distinct()
-    return shown(retrieval.top(ranking.rescore_head(conjunctive_rows(spark, folder), texts, first), 10, "total"), "qid", "doc", "total", "rnk")
+    return shown(retrieval.top(ranking.rescore_head(materialized(conjunctive_rows(spark, folder), "conjunctive"), texts, first), 10, "total"), "qid", "doc", "total", "rnk")
 
 
 @query(f"""WITH {INDEX}, r AS (SELECT * FROM {TOP(SCORED('qterms'), 10)}) SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY (rnk % 3 = 1)::INT, rnk) AS rnk FROM r""")
@@ -485,11 +488,11 @@ def shown_demotion(spark: SparkSession, folder: str) -> DataFrame:
 
 def bm25_heads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     asked = passages(spark, folder)
-    return retrieval.bm25(asked, indexed(spark, folder, asked), 40).withColumnRenamed("score", "total"), titles_of(documents(spark, folder), 8)
+    return retrieval.bm25(asked, indexed(spark, folder, asked), 40).withColumnRenamed("score", "total"), titles_of(documents(spark, folder))
 
 
 JACCARD = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
-POOLED = f"""ranked AS (SELECT * FROM {TOP(SCORED('qterms'), 30)}), titles AS (SELECT doc, list_distinct(toks[1:8]) AS toks FROM dtoks),
+POOLED = f"""ranked AS (SELECT * FROM {TOP(SCORED('qterms'), 30)}), titles AS (SELECT doc, list_distinct({FIRST_LINE}) AS toks FROM docs),
  pool AS (SELECT qid, doc, rnk, toks, CASE WHEN max(score) OVER w = min(score) OVER w THEN (score - min(score) OVER w) ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS rel FROM ranked JOIN titles USING (doc) WINDOW w AS (PARTITION BY qid)),
  sims AS (SELECT a.qid, a.doc, b.doc AS other, {JACCARD.format(a='a.toks', b='b.toks')} AS sim FROM pool a JOIN pool b ON a.qid = b.qid AND a.doc <> b.doc)"""
 
@@ -517,6 +520,8 @@ def cluster_roundrobin(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {INDEX}, {SLOTS}, {CONJ} SELECT qid, doc, rnk, 'conjunctive' AS mode FROM {TOP('conj', 10)} WHERE qid IN (SELECT qid FROM satisfied WHERE satisfied > 0)
  UNION ALL SELECT qid, doc, rnk, 'prose' FROM {TOP(SCORED('qterms'), 10)} WHERE qid NOT IN (SELECT qid FROM satisfied WHERE satisfied > 0)""")
 def retrieval_auto_mode(spark: SparkSession, folder: str) -> DataFrame:
-    rows = conjunctive_rows(spark, folder)
-    prose = retrieval.bm25(passages(spark, folder), indexed(spark, folder, passages(spark, folder)), 10)
+    asked = passages(spark, folder)
+    ix = indexed(spark, folder, asked)
+    rows = materialized(conjunctive_rows(spark, folder, ix), "conjunctive")
+    prose = retrieval.bm25(asked, ix, 10)
     return ranking.by_mode(retrieval.top(rows, 10, "total"), prose, rows.select("qid", "satisfied"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -39,3 +41,11 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What is still there goes when the driver ends, as far as Spark still runs."""
+    with contextlib.suppress(Exception):
+        if spark := SparkSession.getActiveSession():
+            release(spark)

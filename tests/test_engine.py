@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from colloquy.functions import catalog as C
 from colloquy.functions import cues
 from colloquy.functions import text as T
-from colloquy.operators import category, dialogue, evaluate, extract, fuzzy, index, mining, ranking, retrieval, simulate
+from colloquy.operators import agent, category, dialogue, evaluate, extract, fuzzy, index, mining, ranking, retrieval, simulate
+from colloquy.settings import Settings, variant
 from colloquy.sources import readers, writers
 
 
@@ -152,11 +153,11 @@ def test_rarity_cuts():
 
 def test_state():
     s = dialogue.State()
-    s.hear(1, "plain", "other", [], [], ["red shoe"], "shoes")
+    s.hear(1, "plain", "other", [], [], ["red shoe"], "shoes", 0.4)
     s.hear(2, "plain", "other", ["cotton"], [], ["cotton lining", "red"], None)
-    assert [x.key for x in s.active] == ["red shoe", "cotton lining"] and s.category == "shoes" and s.disclosed == {"cotton"}
+    assert [x.key for x in s.active] == ["red shoe", "cotton lining"] and (s.category, s.confidence) == ("shoes", 0.4) and s.disclosed == {"cotton"}
     s.hear(3, "override", "other", [], [], ["blue"], None)
-    assert [x.key for x in s.active] == ["cotton lining", "blue"]
+    assert [x.key for x in s.active] == ["cotton lining", "blue"] and s.since == 3
     s.hear(4, "plain", "other", [], ["cotton"], [], None)
     assert [x.key for x in s.active] == ["blue"]
     s.hear(5, "exhausted", "other", [], [], [], None)
@@ -164,8 +165,85 @@ def test_state():
     s.hear(6, "declined", "feature", [], [], [], None)
     assert s.ask() == "material"
     s.hear(7, "reset", "other", [], [], ["hat"], None)
-    assert [x.key for x in s.active] == ["hat"] and s.category is None
+    assert [x.key for x in s.active] == ["hat"] and s.category is None and s.since == 7
     assert dialogue.should_emit(1, 3, 0) and not dialogue.should_emit(4, 1, 6) and dialogue.should_emit(5, 1, 6)
+    for mode, left in (("erase", ["blue"]), ("keep", ["red", "wool", "blue"]), ("scoped", ["wool", "blue"])):
+        s = dialogue.State(mode)
+        for turn, kind, span in ((1, "plain", "red"), (2, "plain", "wool"), (3, "override", "blue")):
+            s.hear(turn, kind, "other", [], [], [span], None)
+        assert [x.key for x in s.active] == left
+
+
+def test_wording():
+    say = dialogue.wording
+    assert say([], None, 1, "plain", [], None, 0) == dialogue.LINES["closing"][1]
+    assert say([], None, 2, "plain", [], "other", 0) == dialogue.LINES["blank"][0]
+    assert say(["red shoe"], "shoes", 2, "plain", ["red shoe"], "color", 7) == "So red shoe. 7 products are left. Which color do you have in mind?"
+    assert say(["red"], "red", 2, "plain", ["red"], "other", 7) == dialogue.LINES["stuck"][0]
+    assert say(["blue"], None, 3, "override", ["blue"], "other", 99) == "All right, blue instead. What else should I know?"
+    assert dialogue.brief(["a b c d e f g", "h", "i"]) == "a b c d e f… and h"
+
+
+def test_settings():
+    s = Settings()
+    assert s.told("head=50, resets=off,margin=0.7") == s.replaced(head=50, resets=False, margin=0.7) and s.told("") == s
+    assert variant("small:head=5")[0] == "small" and variant("head=5") == ("head=5", s.replaced(head=5))
+    for bad, error in (("heads=5", KeyError), ("head", ValueError), ("head=x", ValueError), ("resets=maybe", ValueError), ("gate=open", ValueError)):
+        with pytest.raises(error):
+            s.told(bad)
+    with pytest.raises(TypeError):
+        s.replaced(head="5")
+
+
+def test_reading_of_messages(spark):
+    """Golden rows of what is read, and of the state that is folded from it."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red canvas shoe with rubber sole", "blue canvas bag", "leather boots with rubber sole", "wool hat", "green sock", "silver ring", "oak table", "tin drum"])], "doc long, text string")
+    rows = [(1, 1, "I'm looking for a bag. A key requirement is: blue canvas; rubber sole."), (1, 2, "not leather boots, canvas is better"), (1, 3, "Actually, ignore my earlier preference. What I need is: wool hat."), (2, 1, "silver ring"), (2, 2, "no preference for color"), (2, 3, "start over, a tin drum please"), (3, 1, None), (3, 2, "rubber sole plus oak table")]
+    keys = spark.createDataFrame([(1, 1, "bag", 1.0)], "sid long, turn int, key string, confidence double")
+    read = dialogue.read_messages(spark.createDataFrame(rows, "sid long, turn int, text string"), docs, keys).cache()
+    got = {(r.sid, r.turn): r for r in read.collect()}
+    assert [got[k].kind for k in sorted(got)] == ["plain", "plain", "override", "plain", "declined", "reset", "plain", "plain"]
+    assert got[1, 1].disclosed == ["blue canvas", "rubber sole"] and got[1, 1].spans[0] == "bag" and {"blue canvas", "rubber sole"} <= set(got[1, 1].spans)
+    assert got[1, 2].retractions == ["leather boots"] and got[1, 2].spans == ["canvas"]
+    assert got[1, 3].spans == ["wool hat"] and got[2, 1].spans == ["silver ring"] and got[2, 2].attribute == "color" and got[2, 3].spans == ["tin drum"]
+    assert got[3, 1].spans == [] and sorted(got[3, 2].spans) == ["oak table", "rubber sole"]
+    state = {(r.sid, r.turn): r for r in dialogue.fold(read).collect()}
+    assert state[1, 3].category == "bag" and "wool hat" in state[1, 3].active and state[2, 3].active == ["tin drum"] and state[2, 3].since == 3
+    said = {(r.sid, r.turn): r for r in dialogue.responses(dialogue.fold(read)).collect()}
+    assert said[1, 1].emit and not said[2, 1].emit and said[2, 3].ask == "other"
+
+
+SHOP = [(0, "red canvas shoe rubber sole", "shoes", 5.0), (1, "blue canvas shoe rubber sole", "shoes", 9.0), (2, "red leather boot", "boots", 1.0), (3, "wool hat", "hats", 2.0), (4, "green sock", "socks", 3.0), (5, "silver ring", "rings", 4.0), (6, "oak table", "tables", 4.0), (7, "tin drum", "drums", 4.0), (8, "blue wool hat", "hats", 8.0)]
+
+
+def small_shop(spark):
+    rows = [(d, t, c, [t.split()[0], "material: " + t.split()[1]], r, 4.0, 10.0) for d, t, c, r in SHOP]
+    return spark.createDataFrame(rows, "doc long, text string, category string, card array<string>, ratings double, average double, price double")
+
+
+@pytest.mark.parametrize("changes", ["", "retrieval=auto,resolver=ensemble,segmentation=rarity,repair_typos=yes", "retrieval=fused,resolver=classifier,gate=margin", "templates=no,segmentation=none,retractions=no,demote_shown=no,card_signature=no"])
+def test_agent(spark, changes):
+    a = agent.Agent(small_shop(spark), Settings().told(changes).replaced(gate="always") if "gate" not in changes else Settings().told(changes))
+    first = spark.createDataFrame([("a", 1, "I'm looking for shoes. A key requirement is: red canvas."), ("b", 1, "a wool hat"), ("c", 1, "xyzzy")], "sid string, turn int, message string")
+    shown, replies = a(first, 1)
+    got = {(r.sid, r.rnk): r.doc for r in shown.collect()}
+    said = {r.sid: r for r in replies.collect()}
+    assert set(said) == {"a", "b", "c"} and all(r.message and r.ask == "other" for r in said.values())
+    if "margin" not in changes:
+        assert got["a", 1] == 0 and got["b", 1] in (3, 8) and not [k for k in got if k[0] == "c"]
+    again = first.unionByName(spark.createDataFrame([("a", 2, "On second thought, I would like blue"), ("b", 2, "no preference for color"), ("c", 2, "silver ring")], "sid string, turn int, message string"))
+    shown, _ = a(again, 2)
+    got = {(r.sid, r.rnk): r.doc for r in shown.collect()}
+    if "margin" not in changes:
+        assert got["a", 1] == 1 and got["c", 1] == 5
+        assert "demote_shown=no" in changes or {got["b", 1], got["b", 2]} == {3, 8}
+
+
+def test_agent_finds_what_is_looked_for(spark):
+    catalog = small_shop(spark)
+    samples = catalog.select(F.concat(F.lit("s"), "doc").alias("sample_id"), F.lit("buying").alias("scenario_type"), F.col("doc").alias("target"), "category", F.array("text").alias("card"))
+    r = evaluate.summary(simulate.run(samples, agent.Agent(catalog)).cache()).first()
+    assert r.hit_rate == 1.0 and r.mrr > 0.9 and r.composite > 0.9
 
 
 def test_sessions_of_the_simulator(spark):
@@ -174,9 +252,9 @@ def test_sessions_of_the_simulator(spark):
     heard = []
 
     def agent(said, turn):
-        heard.extend((r.sample_id, r.turn, r.message) for r in said.where(F.col("turn") == turn).collect())
-        ranked = samples.where("target < 9").select("sample_id", F.col("target").alias("doc"), F.lit(2).cast("long").alias("rnk")) if turn > 1 else samples.where("sample_id = 'b'").select("sample_id", F.col("target").alias("doc"), F.lit(1).cast("long").alias("rnk"))
-        return ranked, said.select("sample_id").distinct().withColumn("ask", F.lit("other"))
+        heard.extend((r.sid.split(":")[1], r.turn, r.message) for r in said.where(F.col("turn") == turn).collect())
+        ranked = samples.where("target < 9" if turn > 1 else "sample_id = 'b'").select(F.concat(F.lit("L0:"), "sample_id").alias("sid"), F.col("target").alias("doc"), F.lit(2 if turn > 1 else 1).cast("long").alias("rnk"))
+        return ranked, said.select("sid").distinct().withColumn("ask", F.lit("other"))
 
     got = {r.sample_id: (r.hit, r.first_hit_turn, r.reciprocal_rank) for r in simulate.run(samples, agent, turns=5).collect()}
     over = simulate.hidden(samples).where("sample_id = 'b'").first().over_turn
