@@ -58,19 +58,21 @@ def by_vote(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def by_ensemble(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(qid, key, confidence): of two resolutions the more confident one; the first on ties."""
+    """(qid, key, confidence, also): of two resolutions the more confident one, the first on ties, and the other's key if it differs: a ranking may take the documents of both."""
     a = first.select("qid", F.col("key").alias("k1"), F.col("confidence").alias("c1"))
     b = second.select("qid", F.col("key").alias("k2"), F.col("confidence").alias("c2"))
     both = a.join(b, "qid", "full_outer")
     left = F.col("c1").isNotNull() & (F.col("c2").isNull() | (F.round("c1", 9) >= F.round("c2", 9)))
-    return both.select("qid", F.when(left, F.col("k1")).otherwise(F.col("k2")).alias("key"), F.greatest("c1", "c2").alias("confidence"))
+    also = F.when(~F.col("k1").eqNullSafe(F.col("k2")), F.when(left, F.col("k2")).otherwise(F.col("k1")))
+    return both.select("qid", F.when(left, F.col("k1")).otherwise(F.col("k2")).alias("key"), F.greatest("c1", "c2").alias("confidence"), also.alias("also"))
 
 
 def first_of(*tiers: DataFrame) -> DataFrame:
-    """(qid, key, confidence): each query's resolution by the first tier that has one."""
-    out = tiers[0]
-    for tier in tiers[1:]:
-        out = out.unionByName(tier.join(out.select("qid"), "qid", "left_anti"))
+    """(qid, key, confidence, also): each query's resolution by the first tier that has one; also is null where a tier has none."""
+    whole = [t if "also" in t.columns else t.withColumn("also", F.lit(None).cast("string")) for t in tiers]
+    out = whole[0].select("qid", "key", "confidence", "also")
+    for tier in whole[1:]:
+        out = out.unionByName(tier.join(out.select("qid"), "qid", "left_anti").select("qid", "key", "confidence", "also"))
     return out
 
 

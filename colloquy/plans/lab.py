@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as C
 from ..functions import cues
 from ..functions import text as T
-from ..operators import agent, dialogue, evaluate, extract, index, retrieval, simulate
+from ..operators import agent, dialogue, evaluate, extract, index, probes, retrieval, simulate
 from ..settings import Settings
 from ..sources.scratch import materialized
 from ..streaming import sessions as streams
@@ -163,10 +163,10 @@ def mixed_runs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("qid").alias("rid"), F.concat(F.slice(t, F.lit(1), half), F.array(F.lit("zzqxj")), F.slice(t, half + 1, F.size(t))).alias("toks"))
 
 
-GREEDY = f"""runs AS (SELECT qid AS rid, list_concat(t[1:len(t) // 2], ['zzqxj'], t[len(t) // 2 + 1:]) AS t FROM (SELECT qid, {TOKS('text')} AS t FROM queries) WHERE len(t) >= 2),
+GREEDY = f"""runs AS MATERIALIZED (SELECT qid AS rid, list_concat(t[1:len(t) // 2], ['zzqxj'], t[len(t) // 2 + 1:]) AS t FROM (SELECT qid, {TOKS('text')} AS t FROM queries) WHERE len(t) >= 2),
  {DGRAMS.format(n=12)}, win AS (SELECT rid, i, k, array_to_string(t[i + 1:i + k], ' ') AS phrase FROM (SELECT rid, t, unnest(range(0, len(t))) AS i FROM runs), LATERAL (SELECT unnest(range(1, least(12, len(t) - i) + 1)) AS k)),
  grounded AS (SELECT DISTINCT phrase FROM win WHERE phrase IN (SELECT phrase FROM dgrams)),
- longest AS (SELECT rid, i, max(k) AS k FROM win JOIN grounded USING (phrase) GROUP BY rid, i),
+ longest AS MATERIALIZED (SELECT rid, i, max(k) AS k FROM win JOIN grounded USING (phrase) GROUP BY rid, i),
  walk AS (SELECT rid, -1 AS i, 0::BIGINT AS nxt, 0 AS took FROM runs UNION ALL
    SELECT w.rid, w.nxt, CASE WHEN k IS NULL THEN w.nxt + 1 ELSE w.nxt + k END, coalesce(k, 0) FROM walk w JOIN runs USING (rid) LEFT JOIN longest l ON l.rid = w.rid AND l.i = w.nxt WHERE w.nxt < len(t)),
  pieces AS (SELECT rid, i, took, array_to_string(t[i + 1:i + took], ' ') AS piece FROM walk JOIN runs USING (rid) WHERE took > 0),
@@ -379,14 +379,54 @@ def restated_turns(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round("s", 6).alias("similarity"), (F.col("s") > 0.7).alias("restates"))
 
 
-@query("""WITH t AS (SELECT conv_id, count(*) AS turns, min(len(string_split(trim(text), ' '))) AS lo, max(len(string_split(trim(text), ' '))) AS hi, max(lower(text)) AS any_text, bool_or(regexp_matches(lower(text), '\\b(not|never|without)\\b')) AS neg FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)
- SELECT reason, count(*) AS n FROM (SELECT CASE WHEN turns NOT BETWEEN 2 AND 6 THEN 'turn_count' WHEN lo < 2 OR hi > 30 THEN 'turn_length' WHEN conv_id % 3 = 0 AND NOT neg THEN 'no_negation' ELSE 'ok' END AS reason FROM t) GROUP BY reason""")
+PROBES = f"""t AS (SELECT conv_id, list(text ORDER BY turn) AS turns FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id),
+ c AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'negation' ELSE 'plain' END AS style, CASE WHEN conv_id % 25 <> 0 THEN turns END AS turns, {TOKS("string_split(coalesce(d.text, ''), chr(10))[1]")} AS title, {TOKS("coalesce(d.text, '')")} AS product FROM t LEFT JOIN documents d ON doc_id = conv_id),
+ w AS (SELECT *, list_transform(coalesce(turns, []), lambda x: {TOKS('x')}) AS toks FROM c),
+ v AS (SELECT *, list_distinct(list_filter(flatten(toks), lambda x: x NOT IN ({STOP}) AND len(x) >= 3)) AS said FROM w),
+ o AS (SELECT *, CASE WHEN len(said) = 0 THEN 0.0 ELSE len(list_intersect(said, product)) / len(said) END AS share FROM v),
+ f AS (SELECT *, len(list_filter(turns, lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')) NOT BETWEEN 2 AND 30)) > 0 AS bad_length,
+  len(list_filter(range(1, len(toks)), lambda i: {JAC.format(a='list_distinct(toks[i])', b='list_distinct(toks[i + 1])')} > 0.7)) > 0 AS again,
+  len(list_filter(turns, lambda x: regexp_matches(x, {Q(probes.NEGATIONS)}))) > 0 AS negates,
+  list_has_any(list_transform(range(1, greatest(len(title) - 3, 0) + 1), lambda i: array_to_string(title[i:i + 3], ' ')), flatten(list_transform(toks, lambda t: list_transform(range(1, greatest(len(t) - 3, 0) + 1), lambda i: array_to_string(t[i:i + 3], ' '))))) AS lifts FROM o),
+ guards AS (SELECT conv_id, round(share, 3) AS overlap, CASE WHEN turns IS NULL THEN 'unparseable' WHEN len(turns) NOT BETWEEN 2 AND 6 THEN 'turn_count' WHEN bad_length THEN 'turn_length' WHEN again THEN 'restates' WHEN style = 'negation' AND NOT negates THEN 'no_negation'
+  WHEN share > 0.6 THEN 'copied' WHEN share < 0.05 THEN 'off_target' WHEN lifts THEN 'title_ngram' END AS reason FROM f)"""
+
+
+def conversation_probes(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as probes for the document of their number: every third claims to negate, and of every 25th the reply could not be read."""
+    said = read(spark, folder, "conversations").where("role = 'user' and text is not null").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t.text).alias("turns"))
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("conv_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("product"))
+    style = F.when(F.col("conv_id") % 3 == 0, "negation").otherwise("plain")
+    return said.withColumn("style", style).withColumn("turns", F.when(F.col("conv_id") % 25 != 0, F.col("turns"))).join(docs, "conv_id", "left")
+
+
+@query(f"WITH {PROBES} SELECT * FROM guards")
+def probe_guards(spark: SparkSession, folder: str) -> DataFrame:
+    return probes.guarded(conversation_probes(spark, folder)).select("conv_id", "overlap", "reason")
+
+
+@query(f"WITH {PROBES} SELECT coalesce(reason, 'ok') AS reason, count(*) AS n, sum(conv_id % 7)::BIGINT AS tokens, quantile_cont((conv_id % 11)::DOUBLE, 0.5) AS median_latency FROM guards GROUP BY 1")
 def probe_guard_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as probes: the first guard that each fails, counted; every third claims to negate."""
-    words = F.size(F.split(F.trim("text"), " ", -1))
-    rows = read(spark, folder, "conversations").where("role = 'user' and text is not null").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min(words).alias("lo"), F.max(words).alias("hi"), F.bool_or(F.lower("text").rlike(r"\b(not|never|without)\b")).alias("neg"))
-    reason = F.when(~F.col("turns").between(2, 6), "turn_count").when((F.col("lo") < 2) | (F.col("hi") > 30), "turn_length").when((F.col("conv_id") % 3 == 0) & ~F.col("neg"), "no_negation").otherwise("ok")
-    return rows.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Why probes were refused, and what the calls cost (tokens and seconds are functions of the number here)."""
+    judged = probes.guarded(conversation_probes(spark, folder)).withColumn("tokens", F.col("conv_id") % 7).withColumn("latency", (F.col("conv_id") % 11).cast("double"))
+    return probes.report(judged)
+
+
+AGREED = "(p + 1.96 * 1.96 / (2 * n) {s} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)"
+
+
+@query(f"""WITH s AS (SELECT CASE WHEN quality = 1 THEN 'Yes' WHEN quality = 0 THEN 'no' ELSE '' END AS phrasing, CASE WHEN toxic = 0 THEN ' y' ELSE 'n' END AS target_ok, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'n' ELSE 'y' END AS tag_ok FROM labels),
+ c AS (SELECT lower(trim(coalesce(phrasing, ''))) AS a, lower(trim(coalesce(target_ok, ''))) AS b, lower(trim(coalesce(tag_ok, ''))) AS c FROM s),
+ r AS (SELECT 'phrasing' AS axis, count_if(a LIKE 'y%') AS k, count_if(a <> '') AS n FROM c UNION ALL SELECT 'target_ok', count_if(b LIKE 'y%'), count_if(b <> '') FROM c UNION ALL SELECT 'tag_ok', count_if(c LIKE 'y%'), count_if(c <> '') FROM c
+  UNION ALL SELECT 'all', count_if(a LIKE 'y%' AND b LIKE 'y%' AND c LIKE 'y%'), count_if(a <> '' AND b <> '' AND c <> '') FROM c), p AS (SELECT *, k / n AS p FROM r)
+ SELECT axis, k::BIGINT AS agreed, n::BIGINT AS judged, round(p, 6) AS rate, round(greatest({AGREED.format(s='-')}, 0), 6) AS lo, round(least({AGREED.format(s='+')}, 1), 6) AS hi FROM p""")
+def agreement_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels as a sheet that people have filled: agreement on each axis, and on all."""
+    cells = read(spark, folder, "labels").select(
+        F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "no").otherwise("").alias("phrasing"), F.when(F.col("toxic") == 0, " y").otherwise("n").alias("target_ok"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 3 == 0, "n").otherwise("y").alias("tag_ok"),
+    )
+    return probes.agreement(cells)
 
 
 @query(f"""WITH {INDEX}, b AS (SELECT qid, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS term FROM (SELECT qid, {TOKS('text')} AS t FROM queries)),

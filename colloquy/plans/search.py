@@ -349,12 +349,28 @@ def category_resolve_vote(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (WITH {INDEX}, {VOTE(40)} SELECT * FROM vote), b AS (WITH {INDEX}, {VOTE(5)} SELECT * FROM vote)
- SELECT coalesce(a.qid, b.qid) AS qid, CASE WHEN a.confidence IS NOT NULL AND (b.confidence IS NULL OR round(a.confidence, 9) >= round(b.confidence, 9)) THEN a.key ELSE b.key END AS key, round(greatest(a.confidence, b.confidence), 6) AS confidence FROM a FULL JOIN b ON a.qid = b.qid""")
+ SELECT coalesce(a.qid, b.qid) AS qid, CASE WHEN a.confidence IS NOT NULL AND (b.confidence IS NULL OR round(a.confidence, 9) >= round(b.confidence, 9)) THEN a.key ELSE b.key END AS key, round(greatest(a.confidence, b.confidence), 6) AS confidence, CASE WHEN a.key IS DISTINCT FROM b.key THEN CASE WHEN a.confidence IS NOT NULL AND (b.confidence IS NULL OR round(a.confidence, 9) >= round(b.confidence, 9)) THEN b.key ELSE a.key END END AS also FROM a FULL JOIN b ON a.qid = b.qid""")
 def category_resolve_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """The more confident of two votes, one over the best 40 and one over the best 5."""
     asked, c = passages(spark, folder), doc_categories(spark, folder)
     ix = indexed(spark, folder, asked)
-    return shown(category.by_ensemble(category.by_vote(retrieval.bm25(asked, ix, 40), c), category.by_vote(retrieval.bm25(asked, ix, 5), c)), "qid", "key", "confidence")
+    return shown(category.by_ensemble(category.by_vote(retrieval.bm25(asked, ix, 40), c), category.by_vote(retrieval.bm25(asked, ix, 5), c)), "qid", "key", "confidence", "also")
+
+
+PART_INDEX = INDEX.replace("doc_id AS doc, coalesce(text, '') AS text FROM documents", "p_partkey AS doc, concat_ws(' ', p_name, p_type, p_brand) AS text FROM part").replace("SELECT item_id AS qid, text FROM benchmark", "SELECT qid, text FROM asks WHERE qid % 20 = 0")
+
+
+@query(f"""WITH {KEYS}, {ASKS}, {PART_INDEX}, sub AS (SELECT qid, key FROM (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY len(key) DESC, first_doc) AS r FROM (SELECT qid, ' ' || {N('text')} || ' ' AS p FROM queries) JOIN keys ON contains(p, ' ' || key || ' ')) WHERE r = 1),
+ ranked AS (SELECT * FROM {TOP(SCORED('qterms'), 40)}), votes AS (SELECT qid, {N("p_type || ' ' || p_brand")} AS key, sum(score) AS mass, min(rnk) AS best FROM ranked JOIN part ON p_partkey = doc GROUP BY 1, 2),
+ vote AS (SELECT qid, key, mass / total AS confidence FROM (SELECT *, sum(mass) OVER (PARTITION BY qid) AS total, row_number() OVER (PARTITION BY qid ORDER BY round(mass, 9) DESC, best) AS r FROM votes) WHERE r = 1)
+ SELECT qid, key, 1.0::DOUBLE AS confidence FROM sub UNION ALL SELECT qid, key, round(confidence, 6) FROM vote WHERE qid NOT IN (SELECT qid FROM sub)""")
+def category_resolve_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    """The stated products' requests (numbers divisible by 20): a bucket's name if the request has one, else the vote of the products that it finds."""
+    asked, c = asks(spark, folder).where("qid % 20 = 0"), breadcrumbs(spark, folder)
+    text = read(spark, folder, "part").select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    ix = index.build_index(text, wanted=retrieval.query_terms(asked))
+    tiers = category.first_of(category.by_substring(asked, category.buckets(c)), category.by_vote(retrieval.bm25(asked, ix, 40), c))
+    return shown(tiers, "qid", "key", "confidence")
 
 
 def WORD_GRAMS(rows: str, low: int, high: int) -> str:  # noqa: N802

@@ -25,6 +25,11 @@ def write_probes(probes: DataFrame, meta: str, path: str) -> None:
     probes.sparkSession.createDataFrame([(meta,)], "_meta string").coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_meta")
 
 
+def write_sheet(sheet: DataFrame, meta: str, path: str) -> None:
+    """A sheet of operators/probes.py as JSON lines to be filled in, and a sidecar folder with what it is about."""
+    write_probes(sheet.coalesce(1), meta, path)
+
+
 def write_model(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 

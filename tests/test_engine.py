@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import catalog as C
 from colloquy.functions import cues
 from colloquy.functions import text as T
-from colloquy.operators import agent, category, dialogue, evaluate, extract, fuzzy, index, mining, ranking, retrieval, simulate
+from colloquy.operators import agent, category, dialogue, evaluate, extract, fuzzy, index, mining, probes, ranking, retrieval, simulate
 from colloquy.settings import Settings, variant
 from colloquy.sources import readers, writers
 
@@ -297,3 +297,48 @@ def test_sources_and_sinks(spark, tmp_path):
     ids = spark.createDataFrame([(1,), (2,)], "k long")
     assert writers.append_missing(ids, out, "k") == 2 and writers.append_missing(ids.union(spark.createDataFrame([(3,)], "k long")), out, "k") == 3
     assert readers.vector_fingerprint(["a", "b"]) != readers.vector_fingerprint(["b", "a"])
+
+
+def test_probe_guards(spark):
+    product, title = "red canvas shoe with a rubber sole for long walks in light rain", "red canvas shoe with"
+    rows = [
+        (1, None, "plain", "unparseable"), (2, ["I would go for red shoes"], "plain", "turn_count"), (3, ["rubber", "something that is red please"], "plain", "turn_length"),
+        (4, ["something for walking on wet grass", "something for walking on wet grass"], "plain", "restates"), (5, ["footwear that is red", "something to wear outside"], "negation", "no_negation"),
+        (6, ["red canvas shoe", "rubber sole, light rain"], "plain", "copied"), (7, ["a kettle please", "made of steel"], "plain", "off_target"),
+        (8, ["a red canvas shoe with laces maybe blue", "casual footwear sporty summer beach everyday"], "plain", "title_ngram"), (9, ["footwear that isn't heavy, without laces", "something red to wear outside"], "negation", None),
+    ]
+    df = spark.createDataFrame([(i, t, s, title, product) for i, t, s, _ in rows], "id long, turns array<string>, style string, title string, product string")
+    assert {r.id: r.reason for r in probes.guarded(df).collect()} == {i: why for i, _, _, why in rows}
+    counts = probes.report(probes.guarded(df).withColumn("tokens", F.lit(5)).withColumn("latency", F.col("id").cast("double")))
+    assert {r.reason: (r.n, r.tokens, r.median_latency) for r in counts.collect()}["ok"] == (1, 5, 9.0)
+
+
+def test_sheets(spark, tmp_path):
+    drawn = spark.createDataFrame([(f"p{i}", "ab"[i > 2], ["x", "y"], i % 3) for i in range(12)], "id string, tag string, turns array<string>, target long")
+    goods = spark.createDataFrame([(0, "zero", "t" * 900), (1, "one", "short")], "doc long, title string, text string")
+    got = probes.sheet(drawn, goods, 6).collect()
+    assert len(got) == 6 and sorted(r.tag for r in got) == ["a"] * 3 + ["b"] * 3 and all(r.phrasing == r.note == "" and len(r.target_text or "") <= 400 for r in got)
+    writers.write_sheet(probes.sheet(drawn, goods, 6), "seed 7", f"{tmp_path}/sheet")
+    assert spark.read.json(f"{tmp_path}/sheet").count() == 6 and spark.read.json(f"{tmp_path}/sheet_meta").first()[0] == "seed 7"
+    filled = spark.createDataFrame([("Yes", "y", "y"), ("y", "n", "y"), ("", None, "y"), ("no", "y", "")], "phrasing string, target_ok string, tag_ok string")
+    rates = {r.axis: (r.agreed, r.judged, r.rate) for r in probes.agreement(filled).collect()}
+    assert rates == {"phrasing": (2, 3, 0.666667), "target_ok": (2, 3, 0.666667), "tag_ok": (3, 3, 1.0), "all": (1, 2, 0.5)}
+    assert {r.rate for r in probes.agreement(filled.limit(0)).collect()} == {0.0}
+
+
+def test_ensemble_takes_both(spark):
+    a = spark.createDataFrame([(1, "x", 0.6), (2, "x", 0.5), (3, "y", 0.4)], "qid long, key string, confidence double")
+    b = spark.createDataFrame([(1, "y", 0.7), (2, "x", 0.9), (4, "z", 0.2)], "qid long, key string, confidence double")
+    assert {tuple(r) for r in category.by_ensemble(a, b).collect()} == {(1, "y", 0.7, "x"), (2, "x", 0.9, None), (3, "y", 0.4, None), (4, "z", 0.2, None)}
+
+
+def test_numbers_and_blocks(spark):
+    rows = spark.createDataFrame([(x,) for x in random.Random(2).sample(range(10_000), 500)], "k long").repartition(7)
+    assert [r.idx for r in evaluate.numbered(rows, "k").orderBy("k").collect()] == list(range(500))
+    rng = random.Random(4)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(6)]) for i in range(300)]
+    v = spark.createDataFrame(vectors + [(999, None)], "doc long, vector array<float>")
+    got = {(r.qid, r.rnk): r.doc for r in retrieval.cosine(v.where("doc % 20 = 0").withColumnRenamed("doc", "qid"), v, 5).collect()}
+    for q, x in vectors[::20]:
+        best = sorted(vectors, key=lambda d: (-sum(a * b for a, b in zip(x, d[1])), d[0]))[:5]
+        assert [got[q, k] for k in range(1, 6)] == [d for d, _ in best]
