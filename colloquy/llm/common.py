@@ -152,7 +152,12 @@ def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     several = saved(rows.groupBy("group").agg(F.sum("n_same").alias("n")).where("n > 1").join(first, "group"), "groups")
     # only rows of groups with several have to be told: most are alone and stay
     told = rows.join(several, "group").select(id_key("id").alias("__id"), F.col("node").alias("__node"), (~least.eqNullSafe(F.col("first"))).alias("__goes"))
-    own = docs.withColumn("__key", id_key(id_col)).withColumn("__text", text_digest(text_col))
+    return without(docs, told, id_col, text_digest(text_col))
+
+
+def without(docs: DataFrame, told: DataFrame, id_col: str, digest) -> DataFrame:
+    """docs without the rows that told(__id, __node, __goes) sends away; of equal rows that it lets stay, one. Rows that it does not name stay as they are."""
+    own = docs.withColumn("__key", id_key(id_col)).withColumn("__text", digest)
     marked = own.join(if_few(saved(told, "told")), (F.col("__key") == F.col("__id")) & (F.col("__text") == F.col("__node")), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     alone = marked.where("__goes is null").select(*columns)

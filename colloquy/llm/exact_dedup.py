@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, ascii_lower, id_key, saved, text_of
+from .common import HEAVY, ascii_lower, id_key, saved, text_of, without
 
 #: Items that the sketch tracks. An item with more than 1/(0.75 * TRACKED) of the rows cannot be missed.
 TRACKED = 8192
@@ -52,8 +52,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies that exact_groups() drops; all columns stay as they are."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(id_key("id").alias("__id"), F.col("digest").alias("__kept"))
-    own = docs.withColumn("__digest", F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256)).withColumn("__key", id_key(id_col))
-    # the digest is unique among what is kept, so neither side of this join can be skewed by a key but for rows that are to go
-    joined = own.join(kept, (F.col("__digest") == F.col("__kept")) & (F.col("__key") == F.col("__id")), "left_semi")
-    return joined.dropDuplicates(["__digest", "__key"]).drop("__digest", "__key")
+    several = exact_groups(docs, id_col, text_col).where("group_size > 1")
+    told = several.groupBy(id_key("id").alias("__id"), F.col("digest").alias("__node")).agg(F.min(~F.col("id").eqNullSafe(F.col("keep_id"))).alias("__goes"))
+    return without(docs, told, id_col, F.sha2(ascii_lower(text_of(text_col)).cast("binary"), 256))

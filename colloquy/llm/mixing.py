@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, id_key, saved
+from .common import FEW, attach, id_key, saved
 
 SECTIONS, ROUNDS, BLOCK_DOCS, MOST_BLOCKS = 32, 6, 1024, 65_536
 
@@ -102,7 +102,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
     """docs with every row as often as plan_mix() says; all columns stay as they are. Rows with one id get the same number, the largest of theirs."""
     rows = plan_mix(docs, id_col, text_col, source_col, **plan).groupBy(id_key("id").alias("__key")).agg(F.max("copies").alias("__copies"), F.count("*").alias("__rows"))
-    copies = saved(rows, "copies")
+    # most rows have one copy and need not be told
+    copies = saved(rows.where("__copies <> 1").withColumnRenamed("__key", "__id"), "copies")
     total = copies.agg(F.sum("__rows")).first()[0] or 1
-    held = attach(docs.withColumn("__key", id_key(id_col)), copies, "__key", "__rows", total)
-    return held.where("__copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.withColumn("__key", id_key(id_col))
+    if copies.limit(FEW + 1).count() <= FEW:
+        held = own.join(F.broadcast(copies), F.col("__key") == F.col("__id"), "left")
+    else:
+        held = attach(own, copies.withColumnRenamed("__id", "__key"), "__key", "__rows", total)
+    held = held.withColumn("__copies", F.coalesce("__copies", F.lit(1).cast("long"))).where("__copies > 0")
+    return held.withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,3 +70,12 @@ def test_many_blocks_and_a_hot_source(spark, monkeypatch):
     got = mixing.plan_mix(table(spark, rows), repetition=3.0, budget=60_000).collect()
     assert len({r.block for r in got}) > 50
     assert 60_000 - 51 * 40 <= sum(r.copies * size[r.id] for r in got) <= 60_000
+
+
+def test_mix_by_a_shuffle(spark, monkeypatch):
+    """Beyond the bound of the broadcast the rows are the same."""
+    rows = [(i % 90, "w " * (i % 7 + 1), "hot" if i % 3 else f"s{i % 5}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = sorted(map(tuple, mixing.mix(df, repetition=1.5).collect()))
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(map(tuple, mixing.mix(df, repetition=1.5).collect())) == once and len(once) > 300
