@@ -120,9 +120,10 @@ def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
 def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """Scores every whole text, learning from the rows whose crc32(id) modulo folds isn't 0.
 
-    Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score), all logarithms to base 10:
-    base_score is that of add-ALPHA word unigrams, score the lattice's marginal probability. Tokens are the words and
-    one end. Null, empty and blank texts are an end alone. A null id counts as training. Rows are never told apart by
+    Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score, smoothed_score), all logarithms to base 10:
+    base_score is that of add-ALPHA word unigrams, score the lattice's marginal probability. smoothed_score is that of
+    the training words' counts, backed by the lattice as Witten and Bell do: (c + V * p) / (N + V) for a word counted c times
+    with probability p. Tokens are the words and one end. Null, empty and blank texts are an end alone. A null id counts as training. Rows are never told apart by
     id: repeated rows, and rows of one id with different texts, count and are scored each, with one row each in the
     result. Without training rows the end has half of all probability. An empty table gives no rows; other columns are not read.
     """
@@ -138,6 +139,12 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     packed = score_words(words, model_path, end)
     base = lambda c: np.log10((c + ALPHA) / (n_train + ALPHA * (n_kinds + 1)))
 
+    def smoothed(c, s):
+        """log10((c + V * 10 ** s) / (N + V)), also where 10 ** s is too small for a number of its own."""
+        tail = np.log10(max(n_kinds, 1)) + np.asarray(s, float)
+        head = np.log10(np.maximum(c, 1e-300))
+        return np.where(np.asarray(c) > 0, np.logaddexp(head * math.log(10), tail * math.log(10)) / math.log(10), tail) - math.log10(n_train + max(n_kinds, 1))
+
     def assemble(rows: pa.Table, packed: pa.Table) -> pa.Table:
         parts = []
         for x in packed["data"].to_pylist():
@@ -147,18 +154,19 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         no, uses, score = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         order = np.argsort(no)
         known, base_of, score = uses[order] > 0, base(uses[order]), score[order]
+        smoothed_of = smoothed(uses[order], score)
         if not np.array_equal(no[order], np.arange(len(no))):
             raise ValueError("words of a slice are missing")
         texts = rows.filter(pc.is_valid(rows["at"]))
         out = []
         for x in texts["at"]:
             at = W.halves(x.as_py())
-            out.append((len(at) + 1, int(known[at].sum()) + (ends > 0), n_train, float(base_of[at].sum() + base(ends)), float(score[at].sum() + math.log10(end))))
+            out.append((len(at) + 1, int(known[at].sum()) + (ends > 0), n_train, float(base_of[at].sum() + base(ends)), float(score[at].sum() + math.log10(end)), float(smoothed_of[at].sum() + smoothed(ends, math.log10(end)))))
         ids = texts["id"].combine_chunks()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-        del parts, no, uses, score, order, known, base_of, texts, out
+        del parts, no, uses, score, order, known, base_of, smoothed_of, texts, out
         give_back()
-        return pa.table([ids.field("id").cast(id_kind), ids.field("held_out"), *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([ids.field("id").cast(id_kind), ids.field("held_out"), *columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "smoothed_score"])
 
-    return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return table.groupBy("slice").cogroup(packed.groupBy("slice")).applyInArrow(assemble, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, smoothed_score double")

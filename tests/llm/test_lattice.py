@@ -60,6 +60,10 @@ def test_scores(spark, monkeypatch, small):
     lattice = m.Lattice({p: w * (1 - end) for p, w in m.vocabulary(m.default_pieces()).items()})
     model = lambda t: sum(lattice.log_probability(m.MARK + w) for w in words_of(t)) / math.log(10) + math.log10(end)
     assert sorted((str(r.id), near(r.score)) for r in got) == sorted((str(i), near(model(t))) for i, t in rows)
+    kinds = len(c) + 1
+    share = lambda k, p: math.log10((k + kinds * p) / (n + kinds))
+    smooth = lambda t: sum(share(c[w], math.exp(lattice.log_probability(m.MARK + w))) for w in words_of(t)) + share(ends, end)
+    assert sorted((str(r.id), near(r.smoothed_score)) for r in got if (r.n_tokens < 1000)) == sorted((str(i), near(smooth(t))) for i, t in rows if len(words_of(t)) < 999)
 
 
 def test_empty_table(spark):
