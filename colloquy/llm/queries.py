@@ -62,7 +62,17 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_warc_capture_index, op2_transport_stream_media, op3_simhash_gray_index, op4_token_length_histogram, op5_subword_lattice_likelihood, op6_toxicity_subword_softmax,
                                      op7_exact_dedup_heavy_hitters, op8_temperature_mixing, op9_language_id_subword_softmax, op10_byte_level_bpe)}
 
+#: Base32 of a SHA-1 in SQL: the hex digits as bits, five at a time.
+_BITS = "array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), '')"
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda k: substr(bits, 5 * i + k, 1)::INT * (1 << (5 - k))))::INT, 1)), '')"
+
 ORACLE_SQL = {
+    "op1_warc_capture_index": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+             b AS (SELECT *, {_BITS} AS bits, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, coalesce(url, 'urn:colloquy:none') AS url
+        FROM b""",
     "op7_exact_dedup_heavy_hitters": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
