@@ -276,7 +276,16 @@ def levenshtein_bounded(spark: SparkSession, folder: str) -> DataFrame:
     return near.where("distance >= 0").select("word", "term", "distance")
 
 
-@query()
+MENDED = TYPOS.split("words AS (")[1].split("pool AS (")[1]
+
+
+@query(f"""WITH {INDEX}, said AS (SELECT conv_id || ':' || turn AS id, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+ lists AS (SELECT id, regexp_extract_all(text, '([A-Za-z]+|[^A-Za-z]+)') AS p FROM said), parts AS (SELECT id, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS part FROM lists),
+ words AS (SELECT DISTINCT lower(part) AS word FROM parts WHERE regexp_matches(lower(part), '^[a-z]+$') AND len(part) >= 4 AND lower(part) NOT IN (SELECT term FROM terms)),
+ pool AS ({MENDED}, near AS (SELECT *, damerau_levenshtein(word, term) AS distance FROM cands),
+ fixed AS (SELECT word, term FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) AS r FROM near WHERE distance <= CASE WHEN len(word) < 7 THEN 1 ELSE 2 END) WHERE r = 1),
+ joined AS (SELECT id, string_agg(coalesce(term, part), '' ORDER BY pos) AS text FROM parts LEFT JOIN fixed ON word = lower(part) GROUP BY id)
+ SELECT said.id, coalesce(joined.text, '') AS text FROM said LEFT JOIN joined USING (id)""")
 def fuzzy_repair_messages(spark: SparkSession, folder: str) -> DataFrame:
     said = read(spark, folder, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return fuzzy.repair_messages(said, index.document_frequencies(documents(spark, folder)))
