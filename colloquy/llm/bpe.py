@@ -70,11 +70,9 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
 
         for batch in batches:
             ids = [encode(w.as_py().encode()) for w in batch.column("word")]
-            at = batch.column("at")
-            where = at.flatten()
             n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
             token = np.fromiter(chain.from_iterable(ids), np.int32, int(n_ids.sum()))
-            parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), pc.list_value_length(at).to_numpy().astype(np.int64), n_ids, token))
+            parts.append((*W.places_of(batch.column("at")), n_ids, token))
             if sum(len(x[0]) for x in parts) >= W.PAIRS:
                 yield flush()
         if parts:

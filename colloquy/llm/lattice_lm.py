@@ -105,9 +105,8 @@ def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
 
         for batch in batches:
             score = np.array([lattice.log_probability(MARK + w) for w in batch.column("word").to_pylist()]) / math.log(10)
-            at = batch.column("at")
-            n, where = pc.list_value_length(at).to_numpy(), at.flatten()
-            parts.append((where.field("slice").to_numpy(), where.field("no").to_numpy(), np.repeat(batch.column("uses").to_numpy(), n), np.repeat(score, n)))
+            name, no, n = W.places_of(batch.column("at"))
+            parts.append((name, no, np.repeat(batch.column("uses").to_numpy(), n), np.repeat(score, n)))
             if sum(len(x[0]) for x in parts) >= W.PAIRS:
                 yield flush()
         if parts:

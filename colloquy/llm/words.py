@@ -9,6 +9,7 @@ positions never move: they lie in a table that is bucketed by slice.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ BATCH_BYTES, WORDS_ROW = 4 << 20, 1 << 12
 #: (word, slice) pairs that a task packs at once.
 PAIRS = 1 << 18
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
+#: Bits of a task's number, of a slice's within the task, and of a word's within the slice: together a long. More of any are refused.
+TASK_BITS, SERIAL_BITS, NO_BITS = 20, 16, 27
 
 
 class Numbers(dict):
@@ -49,7 +52,11 @@ def halves(packed: bytes) -> np.ndarray:
 def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indices of runs that begin at start and are size long, one after another."""
     ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if n + int(start.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((start - (ends - size)).astype(kind), size)
+    out += np.arange(n, dtype=kind)
+    return out
 
 
 def starts(size: np.ndarray) -> np.ndarray:
@@ -67,56 +74,56 @@ def unsqueeze(data: bytes) -> bytes:
 def cut(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) -> DataFrame:
     """Cuts docs(id, text binary, counts boolean): a row (slice, id, at) for each text, and the distinct words of each slice in rows (slice, no, words, uses).
 
-    split gives the words of a text in steps; kind is their SQL type. Frequent words have the small numbers; no is
-    the number of the first word of a row. uses says how often a word stands in texts that count.
+    split gives the words of a text in steps; kind is their SQL type. Words are numbered at first sight, so frequent ones
+    mostly have small numbers; no is the number of the first word of a row. uses says how often a word stands in texts that
+    count. A task holds the words of one slice, and never its texts.
     """
     id_type, id_kind = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     schema = pa.schema([("slice", pa.int64()), ("id", id_kind), ("at", pa.binary()), ("no", pa.int32()), ("words", pa.list_(getattr(pa, kind)())), ("uses", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, numbers, read = TaskContext.get().partitionId(), 0, Numbers(), 0
-        ids: list[pa.Array] = []
-        texts: list[np.ndarray] = []
-        counted: list[bool] = []
-
-        def numbered(text: bytes) -> np.ndarray:
-            return np.concatenate([np.fromiter(map(numbers.__getitem__, some), np.uint32, len(some)) for some in split(text)] or [np.zeros(0, np.uint32)])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            name, words = task << 32 | serial, list(numbers)
-            order = np.argsort(-np.bincount(np.concatenate(texts), minlength=len(words)), kind="stable")
-            uses = np.bincount(np.concatenate([x for x, c in zip(texts, counted) if c] or [np.zeros(0, np.uint32)]), minlength=len(words))
-            new = np.empty(len(words), np.uint32)
-            new[order] = np.arange(len(words), dtype=np.uint32)
-            own, a, held = pa.concat_arrays(ids), 0, 0
-            for b, x in enumerate(texts, 1):
-                held += 4 * len(x)
-                if held >= BATCH_BYTES or b == len(texts):
-                    n = b - a
-                    at = pa.array([pack_halves(new[y]) for y in texts[a:b]], pa.binary())
-                    yield pa.record_batch([pa.array(np.full(n, name)), own.slice(a, n), at, *(pa.nulls(n, f.type) for f in list(schema)[3:])], schema=schema)
-                    a, held = b, 0
-            for k in range(0, len(words), WORDS_ROW):
-                some = order[k : k + WORDS_ROW].tolist()
-                row = [[name], [None], [None], [k], [[words[x] for x in some]], [uses[some].tolist()]]
+        task, serial, numbers, read, uses = TaskContext.get().partitionId(), 0, Numbers(), 0, np.zeros(1 << 16, np.int64)
+        if task >= 1 << TASK_BITS:
+            raise OverflowError(f"task {task} is beyond the number of tasks that a slice's name has room for")
+
+        def texts(batch: pa.RecordBatch, first: int, at: list[bytes]) -> pa.RecordBatch:
+            n = len(at)
+            name = pa.array(np.full(n, task << SERIAL_BITS | serial))
+            return pa.record_batch([name, batch.column("id").slice(first, n), pa.array(at, pa.binary()), *(pa.nulls(n, f.type) for f in list(schema)[3:])], schema=schema)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            if serial >= 1 << SERIAL_BITS or len(numbers) > 1 << NO_BITS:
+                raise OverflowError("a task has more slices, or a slice more words, than their names have room for")
+            found = iter(numbers)
+            for k in range(0, len(numbers), WORDS_ROW):
+                some = list(islice(found, WORDS_ROW))
+                row = [[task << SERIAL_BITS | serial], [None], [None], [k], [some], [uses[k : k + len(some)].tolist()]]
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            first = 0
+            first, at, held = 0, [], 0
             for k, (text, counts) in enumerate(zip(batch.column("text"), batch.column("counts").to_pylist())):
                 raw = text.as_py() or b""
-                texts.append(numbered(raw))
-                counted.append(counts)
-                read += len(raw)
-                if read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS:
-                    ids.append(batch.column("id").slice(first, k + 1 - first))
-                    yield from close()
-                    serial, numbers, read, first = serial + 1, Numbers(), 0, k + 1
-                    ids, texts, counted = [], [], []
-            ids.append(batch.column("id").slice(first))
-        if texts:
-            yield from close()
-        del ids, texts, counted, numbers
+                places = np.concatenate([np.fromiter(map(numbers.__getitem__, some), np.uint32, len(some)) for some in split(raw)] or [np.zeros(0, np.uint32)])
+                if len(uses) < len(numbers):
+                    uses = np.concatenate([uses, np.zeros(len(numbers), np.int64)])
+                if counts and len(places):
+                    seen, often = np.unique(places, return_counts=True)
+                    uses[seen] += often
+                at.append(pack_halves(places))
+                read, held = read + len(raw), held + len(at[-1])
+                full = read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS
+                if full or held >= BATCH_BYTES:
+                    yield texts(batch, first, at)
+                    first, at, held = k + 1, [], 0
+                if full:
+                    yield from words()
+                    serial, numbers, read = serial + 1, Numbers(), 0
+                    uses[:] = 0
+            if at:
+                yield texts(batch, first, at)
+        yield from words()
+        del numbers, uses
         give_back()
 
     return docs.select("id", "text", "counts").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, words array<{kind}>, uses array<long>")
@@ -131,8 +138,15 @@ def saved_slices(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind
 
 
 def distinct_words(slices: DataFrame) -> DataFrame:
-    """(word, uses, at) of saved_slices(): each distinct word with its uses in all and its places (slice, no), one for a slice."""
+    """(word, uses, at) of saved_slices(): each distinct word with its uses in all and its places, one for a slice: the slice's name and the word's number as one."""
     rows = slices.where("words is not null").select("slice", "no", F.posexplode(F.arrays_zip("words", "uses")).alias("k", "w"))
-    rows = rows.select(F.col("w.words").alias("word"), F.col("w.uses").alias("uses"), "slice", (F.col("no") + F.col("k")).alias("no"))
+    place = F.shiftleft("slice", NO_BITS).bitwiseOR((F.col("no") + F.col("k")).cast("long"))
+    rows = rows.select(F.col("w.words").alias("word"), F.col("w.uses").alias("uses"), place.alias("place"))
     # no sums before the shuffle: a word is there once for each slice
-    return rows.repartition(F.col("word")).groupBy("word").agg(F.sum("uses").alias("uses"), F.collect_list(F.struct("slice", "no")).alias("at"))
+    return rows.repartition(F.col("word")).groupBy("word").agg(F.sum("uses").alias("uses"), F.collect_list("place").alias("at"))
+
+
+def places_of(at: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, no, how many) of the places of words."""
+    where = at.flatten().to_numpy()
+    return where >> NO_BITS, (where & (1 << NO_BITS) - 1).astype(np.int32), at.value_lengths().to_numpy().astype(np.int64)
