@@ -88,11 +88,14 @@ def class_weights(examples: DataFrame, per_class: int = 140, low: int = 3, high:
 
     Only the per_class grams of the largest weights stay; grams in fewer than least_df examples are not counted.
     """
-    grams = word_grams(examples.select("qid", "text"), low, high).select("qid", "gram").join(examples.select("qid", "key"), "qid")
+    # an example's distinct n-grams are found in its own row, so that nothing but counts by class is shuffled
+    each_word = lambda w: F.concat(*[T.char_grams(F.concat(F.lit(" "), w, F.lit(" ")), n) for n in range(low, high + 1)])
+    grams = examples.select("key", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(T.tokens(F.col("text"))), each_word)))).alias("gram"))
+    counts = grams.groupBy("gram", "key").agg(F.count("*").alias("c"))
     sizes = examples.groupBy("key").agg(F.count("*").alias("docs"))
     every = sizes.agg(F.sum("docs").alias("all_docs"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least_df)
-    each = grams.groupBy("gram", "key").agg(F.count("*").alias("c")).join(df, "gram").join(sizes, "key").join(F.broadcast(every), F.lit(True))
+    df = F.sum("c").over(Window.partitionBy("gram"))
+    each = counts.withColumn("df", df).where(F.col("df") >= least_df).join(sizes, "key").join(F.broadcast(every), F.lit(True))
     rest = (F.col("df") - F.col("c") + 1) / (F.col("all_docs") - F.col("docs") + 2)
     w = F.log(((F.col("c") + 1) / (F.col("docs") + 2)) / rest)
     order = Window.partitionBy("key").orderBy(F.round("w", 9).desc(), "gram")
