@@ -58,3 +58,29 @@ def generate(prompts: DataFrame, known: DataFrame | None, call: Callable[[list[s
 
     asked = have.where("reply is null").select("key", "prompt").mapInPandas(run, "key string, reply string")
     return have.where("reply is not null").select("key", "reply").unionByName(asked)
+
+
+STYLES = {
+    "plain": "Say what you want in your own words, as you would in a shop.",
+    "vague": "Stay vague at first, and get to the point only when you are asked.",
+    "negation": "Say once what you do not want, and what you want instead.",
+    "typo": "Type in a hurry, with a slip or two.",
+}
+
+
+def prompt_for(style: Column, product: Column) -> Column:
+    """The request for a probe: somebody who looks for a product, in a style of STYLES, as JSON with two to six turns."""
+    how = F.coalesce(F.create_map(*[F.lit(x) for pair in STYLES.items() for x in pair])[style], F.lit(STYLES["plain"]))
+    return F.concat(F.lit('You look for this product, but you do not know its name:\n\n'), product, F.lit("\n\n"), how, F.lit('\nAnswer with {"turns": [two to six short messages]} and nothing else.'))
+
+
+def kept_generations(prompts: DataFrame, path: str, call: Callable[[list[str]], list[str | None]] | None) -> DataFrame:
+    """generate() over a table at path that keeps what was once generated: only prompts without a reply there are asked, and their replies are added."""
+    spark = prompts.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "key string, reply string"
+    known = spark.read.schema(schema).parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    wanted = prompts.select("key", "prompt").dropDuplicates(["key"])
+    asked = wanted if known is None else wanted.join(known, "key", "left_anti")
+    generate(asked, None, call).where("reply is not null").write.mode("append").parquet(path)
+    return wanted.select("key").join(spark.read.schema(schema).parquet(path), "key", "left").select("key", "reply")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,15 @@ def norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+#: Latin letters with marks, and what is left of each without them, by their decomposition.
+MARKED = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()}
+
+
+def folded(c: Column) -> Column:
+    """Text without the marks of Latin letters."""
+    return F.translate(c, "".join(MARKED), "".join(MARKED.values()))
+
+
 def tokens_of(normal: Column) -> Column:
     """The tokens of a text in normal form; none of an empty one."""
     return F.filter(F.split(normal, " "), lambda t: t != "")

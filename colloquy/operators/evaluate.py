@@ -31,6 +31,12 @@ def summary(sessions: DataFrame, by: str | None = None) -> DataFrame:
     return out.withColumn("composite", F.round(composite(F.col("hit_rate"), F.col("mrr"), F.col("mttc")), 6))
 
 
+def exact_composite(sessions: DataFrame) -> DataFrame:
+    """One row (composite) from figures that are not rounded before; null without sessions."""
+    turn = F.when(F.col("hit"), F.col("first_hit_turn")).otherwise(F.lit(MISS)).cast("double")
+    return sessions.agg(composite(F.avg(F.col("hit").cast("double")), F.avg("reciprocal_rank"), F.avg(turn)).alias("composite"))
+
+
 def first_hits(shown: DataFrame, targets: DataFrame, k: int = 10) -> DataFrame:
     """(sample_id, hit, first_hit_turn, best_rank, reciprocal_rank) of shown(sample_id, turn, doc, rnk) and targets(sample_id, target): the first turn whose first k have the target."""
     hit = shown.where(F.col("rnk") <= k).join(targets, "sample_id").where(F.col("doc") == F.col("target"))

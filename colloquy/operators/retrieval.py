@@ -140,9 +140,9 @@ def reciprocal_rank_fusion(rankings: list[tuple[DataFrame, float]], k: int = 10,
 def fielded_bm25(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: int = 10, most_terms: int = 40) -> DataFrame:
     """(qid, doc, score, rnk): BM25 over a weighted frequency that sums fields(doc, text) times their boosts.
 
-    Query terms are the first most_terms distinct tokens of more than one character that are no stop words.
+    Letters count without their marks. Query terms are the first most_terms distinct tokens of more than one character that are no stop words.
     """
-    parts = [f.select("doc", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("c")).select("doc", "term", (F.col("c") * F.lit(float(w))).alias("tf")) for f, w in fields]
+    parts = [f.select("doc", F.explode(T.tokens(T.folded(F.col("text")))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("c")).select("doc", "term", (F.col("c") * F.lit(float(w))).alias("tf")) for f, w in fields]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -151,7 +151,7 @@ def fielded_bm25(queries: DataFrame, fields: list[tuple[DataFrame, float]], k: i
     size = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.join(F.broadcast(size), F.lit(True)).select("term", "df", T.idf(F.col("n"), F.col("df")).alias("idf"))
-    terms = queries.select("qid", F.explode(F.slice(F.array_distinct(T.content(T.tokens(F.col("text")), 2)), 1, most_terms)).alias("term")).withColumn("weight", F.lit(1.0))
+    terms = queries.select("qid", F.explode(F.slice(F.array_distinct(T.content(T.tokens(T.folded(F.col("text"))), 2)), 1, most_terms)).alias("term")).withColumn("weight", F.lit(1.0))
     return top(score_terms(terms, Index(tf.join(dl, "doc"), dl, stats, size), k1=1.2, ratio=1.0), k)
 
 

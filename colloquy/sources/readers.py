@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..operators.evaluate import numbered
 
 PRODUCT = (
     "parent_asin string, title string, features array<string>, details map<string,string>, description array<string>, categories array<string>, "
@@ -61,9 +64,41 @@ def read_optional(spark: SparkSession, schema: str, *paths: str) -> DataFrame |
     return None
 
 
+def read_associations(spark: SparkSession, path: str) -> DataFrame:
+    """(term, other, ppmi, rnk) of a JSON file, packed or not, that maps each term to its neighbours [other, ppmi], closest first."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<array<string>>>")).alias("term", "near"))
+    each = whole.select("term", F.posexplode("near").alias("pos", "n"))
+    return each.select("term", F.element_at("n", 1).alias("other"), F.element_at("n", 2).cast("double").alias("ppmi"), (F.col("pos") + 1).cast("long").alias("rnk"))
+
+
+CLASSIFIER = "lo int, hi int, classes array<string>, intercept array<double>, postings map<string,array<array<double>>>"
+
+
+def read_classifier(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """((gram, key, w), (key, intercept), lo, hi) of a JSON file, packed or not: classes, their intercepts, and for each n-gram of lo to hi characters [class number, weight]."""
+    model = spark.read.text(path, wholetext=True).select(F.from_json("value", CLASSIFIER).alias("m")).select("m.*")
+    lo, hi = model.select("lo", "hi").first()
+    weights = model.select("classes", F.explode("postings").alias("gram", "rows")).select("classes", "gram", F.explode("rows").alias("r"))
+    weights = weights.select("gram", F.element_at("classes", (F.element_at("r", 1) + 1).cast("int")).alias("key"), F.element_at("r", 2).alias("w"))
+    intercepts = model.select(F.explode(F.arrays_zip("classes", "intercept")).alias("c")).select(F.col("c.classes").alias("key"), F.col("c.intercept").alias("intercept"))
+    return weights, intercepts, lo, hi
+
+
+def guarded_vectors(vectors: DataFrame, catalog: DataFrame, fingerprint: str) -> DataFrame:
+    """vectors(doc, …), if catalog(doc) still is the one that they were made of; else ValueError. The documents are taken in their order."""
+    rows = numbered(catalog.select("doc"), "doc")
+    n = rows.count()
+    three = {r.idx: str(r.doc) for r in rows.where(F.col("idx").isin(0, n // 2, n - 1)).collect()}
+    found = _fingerprint(n, [three[k] for k in (0, n // 2, n - 1)] if n else [])
+    if found != fingerprint:
+        raise ValueError(f"the vectors are of other documents: {fingerprint} is not {found}")
+    return vectors
+
+
+def _fingerprint(n: int, three: list[str]) -> str:
+    return hashlib.sha256("\0".join([str(n), *three]).encode()).hexdigest()[:16]
+
+
 def vector_fingerprint(ids: list[str]) -> str:
     """Of a vector table's documents: from how many there are, the first, the middle and the last."""
-    import hashlib
-
-    parts = [str(len(ids)), *([ids[0], ids[len(ids) // 2], ids[-1]] if ids else [])]
-    return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:16]
+    return _fingerprint(len(ids), [ids[0], ids[len(ids) // 2], ids[-1]] if ids else [])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import catalog as C
-from colloquy.functions import cues
+from colloquy.functions import cues, generation
 from colloquy.functions import text as T
 from colloquy.operators import agent, category, dialogue, evaluate, extract, fuzzy, index, mining, probes, ranking, retrieval, simulate
 from colloquy.settings import Settings, variant
@@ -342,3 +342,38 @@ def test_numbers_and_blocks(spark):
     for q, x in vectors[::20]:
         best = sorted(vectors, key=lambda d: (-sum(a * b for a, b in zip(x, d[1])), d[0]))[:5]
         assert [got[q, k] for k in range(1, 6)] == [d for d, _ in best]
+
+
+def test_models_and_vectors(spark, tmp_path):
+    import gzip
+    import json
+
+    with gzip.open(tmp_path / "assoc.json.gz", "wt") as f:
+        json.dump({"red": [["wine", 2.5], ["rose", 1.0]], "hat": []}, f)
+    assert {tuple(r) for r in readers.read_associations(spark, f"{tmp_path}/assoc.json.gz").collect()} == {("red", "wine", 2.5, 1), ("red", "rose", 1.0, 2)}
+    with gzip.open(tmp_path / "clf.json.gz", "wt") as f:
+        json.dump({"lo": 3, "hi": 5, "classes": ["a", "b"], "intercept": [0.5, -1], "postings": {" re": [[1, 0.25], [0, 2]]}}, f)
+    weights, intercepts, lo, hi = readers.read_classifier(spark, f"{tmp_path}/clf.json.gz")
+    assert (lo, hi) == (3, 5) and {tuple(r) for r in weights.collect()} == {(" re", "b", 0.25), (" re", "a", 2.0)} and {tuple(r) for r in intercepts.collect()} == {("a", 0.5), ("b", -1.0)}
+    catalog = spark.createDataFrame([(f"p{i}",) for i in range(5)], "doc string")
+    good = readers.vector_fingerprint([f"p{i}" for i in range(5)])
+    assert readers.guarded_vectors(catalog, catalog, good) is catalog
+    with pytest.raises(ValueError):
+        readers.guarded_vectors(catalog, catalog.where("doc <> 'p2'"), good)
+
+
+def test_kept_generations(spark, tmp_path):
+    path = f"{tmp_path}/kept"
+    prompts = spark.createDataFrame([("a", "x"), ("b", "yy"), ("a", "x")], "key string, prompt string")
+    first = generation.kept_generations(prompts, path, lambda p: [None if x == "yy" else x.upper() for x in p])
+    assert {tuple(r) for r in first.collect()} == {("a", "X"), ("b", None)}
+    again = generation.kept_generations(prompts, path, lambda p: ["new " + x for x in p])
+    assert {tuple(r) for r in again.collect()} == {("a", "X"), ("b", "new yy")}
+    assert "slip" in one(spark, generation.prompt_for(F.lit("typo"), F.lit("a hat"))) and "own words" in one(spark, generation.prompt_for(F.lit("?"), F.lit("a hat")))
+
+
+def test_small_things(spark):
+    assert one(spark, T.folded(F.lit("Élan naïve Łódź"))) == "Elan naive Łodz"
+    assert one(spark, ranking.with_affinity(F.lit(5.0), F.lit(3.5), F.lit(4.0))) == 4.5 and one(spark, ranking.with_affinity(F.lit(5.0), F.lit(3.5), F.lit(None).cast("double"))) == 5.0
+    two = spark.createDataFrame([(True, 1 / 3, 2), (False, 0.0, None), (True, 1 / 7, 4)], "hit boolean, reciprocal_rank double, first_hit_turn int")
+    assert math.isclose(evaluate.exact_composite(two).first().composite, 0.5 * 2 / 3 + 0.3 * (1 / 3 + 1 / 7) / 3 + 0.2 * (11 - 17 / 3) / 10)
