@@ -9,7 +9,6 @@ positions never move: they lie in a table that is bucketed by slice.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,56 +73,63 @@ def unsqueeze(data: bytes) -> bytes:
 def cut(docs: DataFrame, split: Callable[[bytes], Iterator[list]], kind: str) -> DataFrame:
     """Cuts docs(id, text binary, counts boolean): a row (slice, id, at) for each text, and the distinct words of each slice in rows (slice, no, words, uses).
 
-    split gives the words of a text in steps; kind is their SQL type. Words are numbered at first sight, so frequent ones
-    mostly have small numbers; no is the number of the first word of a row. uses says how often a word stands in texts that
-    count. A task holds the words of one slice, and never its texts.
+    split gives the words of a text in steps; kind is their SQL type. Frequent words have the small numbers, which pack
+    best; no is the number of the first word of a row. uses says how often a word stands in texts that count. A task holds
+    the words and the places of one slice, and never its texts.
     """
     id_type, id_kind = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     schema = pa.schema([("slice", pa.int64()), ("id", id_kind), ("at", pa.binary()), ("no", pa.int32()), ("words", pa.list_(getattr(pa, kind)())), ("uses", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial, numbers, read, uses = TaskContext.get().partitionId(), 0, Numbers(), 0, np.zeros(1 << 16, np.int64)
+        task, serial, numbers, read, often, uses = TaskContext.get().partitionId(), 0, Numbers(), 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         if task >= 1 << TASK_BITS:
             raise OverflowError(f"task {task} is beyond the number of tasks that a slice's name has room for")
+        ids: list[pa.Array] = []
+        texts: list[np.ndarray] = []
 
-        def texts(batch: pa.RecordBatch, first: int, at: list[bytes]) -> pa.RecordBatch:
-            n = len(at)
-            name = pa.array(np.full(n, task << SERIAL_BITS | serial))
-            return pa.record_batch([name, batch.column("id").slice(first, n), pa.array(at, pa.binary()), *(pa.nulls(n, f.type) for f in list(schema)[3:])], schema=schema)
-
-        def words() -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
             if serial >= 1 << SERIAL_BITS or len(numbers) > 1 << NO_BITS:
                 raise OverflowError("a task has more slices, or a slice more words, than their names have room for")
-            found = iter(numbers)
-            for k in range(0, len(numbers), WORDS_ROW):
-                some = list(islice(found, WORDS_ROW))
-                row = [[task << SERIAL_BITS | serial], [None], [None], [k], [some], [uses[k : k + len(some)].tolist()]]
+            name, n = task << SERIAL_BITS | serial, len(numbers)
+            order = np.argsort(-often[:n], kind="stable")
+            new = np.empty(n, np.uint32)
+            new[order] = np.arange(n, dtype=np.uint32)
+            own, a, held = pa.concat_arrays(ids), 0, 0
+            for b, x in enumerate(texts, 1):
+                held += 4 * len(x)
+                if held >= BATCH_BYTES or b == len(texts):
+                    at = pa.array([pack_halves(new[y]) for y in texts[a:b]], pa.binary())
+                    yield pa.record_batch([pa.array(np.full(b - a, name)), own.slice(a, b - a), at, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
+                    texts[a:b] = [None] * (b - a)
+                    a, held = b, 0
+            found = list(numbers)
+            for k in range(0, n, WORDS_ROW):
+                some = order[k : k + WORDS_ROW]
+                row = [[name], [None], [None], [k], [[found[x] for x in some.tolist()]], [uses[some].tolist()]]
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            first, at, held = 0, [], 0
+            first = 0
             for k, (text, counts) in enumerate(zip(batch.column("text"), batch.column("counts").to_pylist())):
                 raw = text.as_py() or b""
                 places = np.concatenate([np.fromiter(map(numbers.__getitem__, some), np.uint32, len(some)) for some in split(raw)] or [np.zeros(0, np.uint32)])
-                if len(uses) < len(numbers):
-                    uses = np.concatenate([uses, np.zeros(len(numbers), np.int64)])
-                if counts and len(places):
-                    seen, often = np.unique(places, return_counts=True)
-                    uses[seen] += often
-                at.append(pack_halves(places))
-                read, held = read + len(raw), held + len(at[-1])
-                full = read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS
-                if full or held >= BATCH_BYTES:
-                    yield texts(batch, first, at)
-                    first, at, held = k + 1, [], 0
-                if full:
-                    yield from words()
-                    serial, numbers, read = serial + 1, Numbers(), 0
-                    uses[:] = 0
-            if at:
-                yield texts(batch, first, at)
-        yield from words()
-        del numbers, uses
+                if len(often) < len(numbers):
+                    often, uses = (np.concatenate([x, np.zeros(len(numbers), np.int64)]) for x in (often, uses))
+                seen, n = np.unique(places, return_counts=True)
+                often[seen] += n
+                if counts:
+                    uses[seen] += n
+                texts.append(places)
+                read += len(raw)
+                if read >= SLICE_BYTES or len(numbers) >= SLICE_WORDS:
+                    ids.append(batch.column("id").slice(first, k + 1 - first))
+                    yield from close()
+                    serial, numbers, read, first = serial + 1, Numbers(), 0, k + 1
+                    ids, texts, often[:], uses[:] = [], [], 0, 0
+            ids.append(batch.column("id").slice(first))
+        if texts:
+            yield from close()
+        del ids, texts, numbers, often, uses
         give_back()
 
     return docs.select("id", "text", "counts").mapInArrow(run, f"slice long, id {id_type}, at binary, no int, words array<{kind}>, uses array<long>")
