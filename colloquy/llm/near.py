@@ -10,12 +10,20 @@ found are checked exactly by their shingles, and only pairs that pass link.
 
 A bucket goes in runs of BUCKET fingerprints in Gray order, wherever its rows lie. Of a bucket with several runs, one
 fingerprint for each group found goes on to the next of LEVELS rounds, in the order of turned bits.
+
+That search only makes groups early; what it misses or drops is found exactly by rest(). Two texts at the similarity
+share one of the shingles that come first in any order that is the same for all texts, if as many are taken as may
+differ and one more. Shingles that are frequent in a sample come last. All pairs that share one and are not in one
+group yet are candidates, large buckets block against block; sizes, places and parities of shingles rule out
+most of them, none of which can be alike, and the others are checked by their shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +35,14 @@ from .components import components
 from .simhash import GrayIndex, gray_rank, majority, shingle_hashes
 
 WORDS, SIMILARITY, FAMILIES, SAMPLE, WITHIN, BUCKET, LEVELS, TURN = 5, 0.8, 6, 3, 20, 1024, 3, 21
+#: Some SAMPLED texts say which shingles are frequent: those in OFTEN of them, MOST_FREQUENT at most. They change the order only, never the result.
+SAMPLED, OFTEN, MOST_FREQUENT = 10_000, 3, 1 << 16
+#: A bucket of first shingles with more texts is dealt in blocks of so many, each pair of blocks by itself.
+BLOCK = 1024
+#: The most bits of a parity sketch.
+PARITY_BITS = 1 << 16
+#: Bounds are taken this much wider than computed, so that rounding rules nothing out.
+SLACK = 1e-6
 
 
 def shingles(text: bytes | str | None, words: int) -> np.ndarray:
@@ -56,20 +72,72 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(id, node, fp, keys) of docs(id, node, text): the fingerprint and those of the samples."""
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles in order that are frequent in a sample of docs(text), and how often each stands there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            for k in range(0, len(batch), 64):
+                found = [shingles(t.as_py(), words) for t in batch.column("text")[k : k + 64]]
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+        give_back()
+
+    part = docs.select("text").sample(min(1.0, SAMPLED / max(docs.count(), 1)), 1)
+    counted = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    got = counted.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def first_shingles(found: np.ndarray, often: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingles of a text that come first, frequent ones last: every text at a similarity of least or more has one of them among its own first."""
+    h, n = often
+    place = _orders(found, FAMILIES) >> np.uint64(16)
+    if len(h) and len(found):
+        at = np.minimum(np.searchsorted(h, found), len(h) - 1)
+        place |= np.where(h[at] == found, np.minimum(n[at], 65535), 0).astype(np.uint64) << np.uint64(48)
+    return found[np.argsort(place, kind="stable")[: len(found) - math.ceil(least * len(found) - SLACK) + 1]]
+
+
+def parity(found: np.ndarray) -> bytes:
+    """The number of shingles, and for each value of their last bits whether an odd number of them has it."""
+    bits = min(1 << max(6, len(found).bit_length()), PARITY_BITS)
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(found).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, least: float) -> bool:
+    """False only if sets with these parities have a similarity under least: they differ in as many members as parities at least."""
+    x, y = (np.frombuffer(p, np.uint8, offset=8) for p in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    both = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
+    return int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * both + SLACK
+
+
+NONE_OFTEN = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def sketches(docs: DataFrame, words: int, often: tuple[np.ndarray, np.ndarray] = NONE_OFTEN, least: float = SIMILARITY) -> DataFrame:
+    """(id, node, fp, keys, same, n, first, odd) of docs(id, node, text): the fingerprint and those of the samples, the digest and the number of the shingles, the first of them, and their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
             for t in batch.column("text"):
                 found = shingles(t.as_py(), words)
-                fps.append(majority(found))
-                keys.append(samples(found))
-            yield pa.record_batch([batch.column("id"), batch.column("node"), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+                row = majority(found), samples(found), hashlib.md5(found.tobytes()).digest(), len(found), first_shingles(found, often, least).view(np.int64), parity(found)
+                for values, x in zip(out, row):
+                    values.append(x)
+            arrays = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.record_batch([batch.column("id"), batch.column("node"), *arrays], names=["id", "node", "fp", "keys", "same", "n", "first", "odd"])
         give_back()
 
-    return docs.select("id", "node", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node string, fp long, keys array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "node", "text").mapInArrow(run, f"id {kind}, node string, fp long, keys array<long>, same binary, n long, first array<long>, odd binary")
 
 
 def nearest_forest(codes: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +230,57 @@ def candidates(nodes: DataFrame, within: int = WITHIN, bucket: int = BUCKET) ->
     return pairs.distinct()
 
 
+def rest(rows: DataFrame, member: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(u, v): of rows(node, n, first) all pairs that may have a similarity of least or more and are not in one group of member(node, root)."""
+    grouped = rows.join(if_few(member.withColumnRenamed("node", "m")), F.col("node") == F.col("m"), "left").withColumn("group", F.coalesce("root", "node"))
+    each = grouped.select("node", "group", "n", F.posexplode("first").alias("at", "key"))
+    several = each.groupBy("key").agg(F.min(F.xxhash64("group")).alias("a"), F.max(F.xxhash64("group")).alias("b")).where("a <> b").select("key")
+    hits = saved(each.join(if_few(saved(several, "several")), "key").distinct(), "hits")
+    # within the largest group of a bucket nothing is left to find, so its blocks meet those of the others only
+    counts = hits.groupBy("key", "group").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("k", "group")).alias("main"), F.sum("k").alias("all"))
+    large = F.col("all") > block
+    parts = lambda n: F.ceil(n / F.lit(block))
+    sizes = sizes.select("key", F.when(large, F.col("main.group")).alias("main"), F.when(large, parts(F.col("all") - F.col("main.k"))).otherwise(1).alias("others"), F.when(large, parts(F.col("main.k"))).otherwise(0).alias("mains"))
+    told = hits.join(if_few(saved(sizes, "sizes")), "key").withColumn("is_main", F.coalesce(F.col("group") == F.col("main"), F.lit(False)))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    told = told.withColumn("block", F.when(F.col("is_main"), F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others"))))
+    last = F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    dealt = told.select("key", "node", "group", "n", "at", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "group", "n", "at", "block")
+    a, b = (dealt.select("key", "low", "high", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "group", "n", "at", "block")]) for side in "ab")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - SLACK
+    # if this shingle is the first that a pair shares, it shares no more than what follows in either
+    placed = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - SLACK
+    return a.join(b, ["key", "low", "high"]).where(apart & sized & placed).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    """(node): the ends of saved pairs (u, v)."""
+    return if_few(saved(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "involved"))
+
+
+def _passing(pairs: DataFrame, have: DataFrame, value: str, ok: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (u, v) whose values in have(node, value) pass ok."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = [ok(a.as_py(), b.as_py()) for a, b in zip(batch.column("a"), batch.column("b"))]
+            yield batch.filter(pa.array(passed, pa.bool_())).select(["u", "v"])
+        give_back()
+
+    a, b = (have.select(F.col("node").alias(n), F.col(value).alias(s)) for n, s in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u string, v string")
+
+
+def possible(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) that the parities of rows(node, odd) don't rule out."""
+    pairs = saved(pairs, "rest")
+    wanted = rows.join(_nodes_of(pairs), "node", "left_semi").groupBy("node").agg(F.any_value("odd").alias("odd"))
+    return _passing(pairs, saved(wanted, "parities"), "odd", lambda a, b: may_be_alike(a, b, least))
+
+
 def links(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """The pairs (u, v) whose texts(node, text) have a similarity of least or more, by their shingles."""
 
@@ -171,19 +290,17 @@ def links(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float =
                 part = batch.slice(k, 256)
                 yield pa.record_batch([part.column("node"), pa.array([shingles(t.as_py(), words).tobytes() for t in part.column("text")], pa.binary())], names=["node", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= least for a, b in zip(batch.column("a"), batch.column("b"))]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
-        give_back()
-
     pairs = saved(pairs, "pairs")
-    involved = if_few(saved(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "involved"))
     # of rows with one text the first that a task meets is as good as any
-    wanted = texts.join(involved, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    wanted = texts.join(_nodes_of(pairs), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
     have = saved(wanted.mapInArrow(sets, "node string, shingles binary"), "shingles")
-    a, b = (have.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u string, v string")
+    return _passing(pairs, have, "shingles", lambda a, b: similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least)
+
+
+def equal_sets(rows: DataFrame) -> DataFrame:
+    """(u, v): a link from each node of rows(node, same) to the smallest with equal shingles."""
+    several = rows.groupBy("same").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u <> w").select("same", "u")
+    return rows.join(if_few(saved(several, "equal")), "same").where("node <> u").select("u", F.col("node").alias("v")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -192,16 +309,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node is the text's digest and group that of one of its group's texts; component_id is the smallest id in the group,
     and n_same says how many rows are alike. Links are similarities of least or more between the sets of word
     shingles. Equal texts are linked; null, empty and blank texts are alike. Texts of fewer words than a shingle are one
-    shingle. Rows of one id with different texts are told apart. A null id is never a component_id unless its group has no
+    shingle. No link is missed. Rows of one id with different texts are told apart. A null id is never a component_id unless its group has no
     other. An empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), text_digest(text_col).alias("node"))
-    rows = saved(sketches(own, words), "sketches")
+    texts = own.select("node", "text")
+    rows = saved(sketches(own, words, frequent(texts, words), least), "sketches")
     nodes = rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
-    member = components(links(candidates(nodes), own.select("node", "text"), words, least)).withColumnRenamed("node", "m")
+    member = saved(components(links(candidates(nodes), texts, words, least).unionByName(equal_sets(rows))), "early")
+    more = saved(links(possible(rest(rows, member, least), rows, least), texts, words, least), "more")
+    if not more.isEmpty():
+        member = saved(components(member.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "members")
+    member = member.withColumnRenamed("node", "m")
     each = rows.groupBy("id", "node").agg(F.count("*").alias("n_same"))
-    each = saved(each.join(if_few(saved(member, "members")), F.col("node") == F.col("m"), "left").select("id", "node", F.coalesce("root", "node").alias("group"), "n_same"), "each")
+    each = saved(each.join(if_few(member), F.col("node") == F.col("m"), "left").select("id", "node", F.coalesce("root", "node").alias("group"), "n_same"), "each")
     smallest = each.groupBy("group").agg(F.min("id").alias("component_id"), F.count("*").alias("k"))
     return attach(each, smallest, "group", "k", max(each.count(), 1)).select("id", "node", "group", "component_id", "n_same")
 

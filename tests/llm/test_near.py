@@ -105,3 +105,55 @@ def test_samples_agree_as_often_as_texts_are_alike():
         equal += any(p == q for p, q in zip(near.samples(a), near.samples(b)))
         same += near.similarity(a, b) == 0.8
     assert same == 300 and equal > 285
+
+
+def crowd():
+    """Threes of near copies, many of them just at the similarity or just below, and a large group of near copies in between."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(250):
+        base = rng.choices(STOCK, k=rng.choice([49, 94, 184]))
+        for j in range(3):  # a change within takes five shingles, so one or two reach 0.8 for the short ones
+            w = list(base)
+            for k in rng.sample(range(5, len(w) - 5), rng.randrange(len(w) // 45 + 1)):
+                w[k] = f"new{i}x{j}x{k}"
+            texts.append(" ".join(w))
+    base = rng.choices(STOCK, k=150)
+    texts += [" ".join(base[:k] + [f"own{i}"] + base[k + 1 :]) for i in range(120) for k in [rng.randrange(150)]]
+    return texts + ["\n" * k for k in range(1, 40)]
+
+
+@pytest.mark.parametrize("bucket, block", [(1024, 1024), (8, 6)])
+def test_no_link_is_missed(spark, monkeypatch, bucket, block):
+    """Groups are those of brute force, whatever the early search drops, and in buckets dealt in blocks."""
+    monkeypatch.setattr(near.candidates, "__defaults__", (near.WITHIN, bucket))
+    if hasattr(near, "rest"):
+        monkeypatch.setattr(near.rest, "__defaults__", (near.SIMILARITY, block))
+    texts = crowd()
+    exp = groups(len(texts), brute_pairs(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in near.near_groups(df).collect()}
+    wrong = [i for i, c in got.items() if exp[i] != c]
+    assert len(got) == len(texts) and not wrong, len(wrong)
+
+
+def test_rest_finds_all_pairs(spark):
+    """Without any early group the exact search alone finds every pair, also in blocks of seven."""
+    texts = corpus(200)
+    df = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], "id long, text string, node string")
+    rows = near.saved(near.sketches(df, 5, near.frequent(df, 5)), "rows")
+    none = spark.createDataFrame([], "node string, root string")
+    exp = {(i, j) for i, j in brute_pairs(texts) if brute_shingles(texts[i])}
+    for block in (7, 1024):
+        found = near.links(near.possible(near.rest(rows, none, block=block), rows), df.select("node", "text"))
+        assert {tuple(sorted((int(r.u), int(r.v)))) for r in found.collect()} == exp and exp
+
+
+def test_parities_rule_out_no_pair():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 64, 300, 5000):
+        for _ in range(40):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            a, b = np.unique(x[: n - n // 9]), np.unique(x[n // 9 :])
+            assert near.may_be_alike(near.parity(a), near.parity(b), 0.8) or near.similarity(a, b) < 0.8
+    assert not near.may_be_alike(near.parity(x), near.parity(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)), 0.8)
