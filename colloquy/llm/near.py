@@ -231,10 +231,13 @@ def candidates(nodes: DataFrame, within: int = WITHIN, bucket: int = BUCKET) ->
 
 
 def rest(rows: DataFrame, member: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(u, v): of rows(node, n, first) all pairs that may have a similarity of least or more and are not in one group of member(node, root)."""
-    grouped = rows.join(if_few(member.withColumnRenamed("node", "m")), F.col("node") == F.col("m"), "left").withColumn("group", F.coalesce("root", "node"))
-    each = grouped.select("node", "group", "n", F.posexplode("first").alias("at", "key"))
-    several = each.groupBy("key").agg(F.min(F.xxhash64("group")).alias("a"), F.max(F.xxhash64("group")).alias("b")).where("a <> b").select("key")
+    """(u, v): of rows(node, n, first) all pairs that may have a similarity of least or more and are not in one group of member(node, root).
+
+    Nodes and groups go as 64-bit hashes, as shingles do; u and v are xxhash64 of nodes.
+    """
+    grouped = rows.join(if_few(member.withColumnRenamed("node", "m")), F.col("node") == F.col("m"), "left")
+    each = grouped.select(F.xxhash64("node").alias("no"), F.xxhash64(F.coalesce("root", "node")).alias("group"), F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "key"))
+    several = each.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
     hits = saved(each.join(if_few(saved(several, "several")), "key").distinct(), "hits")
     # within the largest group of a bucket nothing is left to find, so its blocks meet those of the others only
     counts = hits.groupBy("key", "group").agg(F.count("*").alias("k"))
@@ -243,26 +246,26 @@ def rest(rows: DataFrame, member: DataFrame, least: float = SIMILARITY, block: i
     parts = lambda n: F.ceil(n / F.lit(block))
     sizes = sizes.select("key", F.when(large, F.col("main.group")).alias("main"), F.when(large, parts(F.col("all") - F.col("main.k"))).otherwise(1).alias("others"), F.when(large, parts(F.col("main.k"))).otherwise(0).alias("mains"))
     told = hits.join(if_few(saved(sizes, "sizes")), "key").withColumn("is_main", F.coalesce(F.col("group") == F.col("main"), F.lit(False)))
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    deal = lambda n: F.pmod(F.xxhash64("no"), F.greatest(n, F.lit(1)))
     told = told.withColumn("block", F.when(F.col("is_main"), F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others"))))
     last = F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
-    dealt = told.select("key", "node", "group", "n", "at", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "group", "n", "at", "block")
-    a, b = (dealt.select("key", "low", "high", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "group", "n", "at", "block")]) for side in "ab")
-    apart = (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
+    dealt = told.select("key", "no", "group", "n", "at", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "no", "group", "n", "at", "block")
+    a, b = (dealt.select("key", "low", "high", *[F.col(c).alias(f"{c}_{side}") for c in ("no", "group", "n", "at", "block")]) for side in "ab")
+    apart = (F.col("no_a") < F.col("no_b")) & (F.col("group_a") != F.col("group_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - SLACK
     # if this shingle is the first that a pair shares, it shares no more than what follows in either
     placed = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - SLACK
-    return a.join(b, ["key", "low", "high"]).where(apart & sized & placed).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    return a.join(b, ["key", "low", "high"]).where(apart & sized & placed).select(F.col("no_a").alias("u"), F.col("no_b").alias("v")).distinct()
 
 
-def _nodes_of(pairs: DataFrame) -> DataFrame:
-    """(node): the ends of saved pairs (u, v)."""
-    return if_few(saved(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "involved"))
+def _ends_of(pairs: DataFrame, name: str) -> DataFrame:
+    """The ends of saved pairs (u, v) in a column of that name."""
+    return if_few(saved(pairs.select(F.col("u").alias(name)).unionByName(pairs.select(F.col("v").alias(name))).distinct(), "involved"))
 
 
-def _passing(pairs: DataFrame, have: DataFrame, value: str, ok: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs (u, v) whose values in have(node, value) pass ok."""
+def _passing(pairs: DataFrame, have: DataFrame, key: str, value: str, ok: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The nodes (u, v) of pairs (u, v) of keys whose values in have(key, node, value) pass ok."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,15 +273,16 @@ def _passing(pairs: DataFrame, have: DataFrame, value: str, ok: Callable[[bytes,
             yield batch.filter(pa.array(passed, pa.bool_())).select(["u", "v"])
         give_back()
 
-    a, b = (have.select(F.col("node").alias(n), F.col(value).alias(s)) for n, s in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u string, v string")
+    a, b = (have.select(F.col(key).alias(n), F.col("node").alias(f"{n}_node"), F.col(value).alias(s)) for n, s in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "a", "b").mapInArrow(check, "u string, v string")
 
 
 def possible(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (u, v) that the parities of rows(node, odd) don't rule out."""
+    """The nodes (u, v) of the pairs of rest() that the parities of rows(node, odd) don't rule out."""
     pairs = saved(pairs, "rest")
-    wanted = rows.join(_nodes_of(pairs), "node", "left_semi").groupBy("node").agg(F.any_value("odd").alias("odd"))
-    return _passing(pairs, saved(wanted, "parities"), "odd", lambda a, b: may_be_alike(a, b, least))
+    named = rows.select(F.xxhash64("node").alias("no"), "node", "odd")
+    wanted = named.join(_ends_of(pairs, "no"), "no", "left_semi").groupBy("no", "node").agg(F.any_value("odd").alias("odd"))
+    return _passing(pairs, saved(wanted, "parities"), "no", "odd", lambda a, b: may_be_alike(a, b, least))
 
 
 def links(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -292,9 +296,9 @@ def links(pairs: DataFrame, texts: DataFrame, words: int = WORDS, least: float =
 
     pairs = saved(pairs, "pairs")
     # of rows with one text the first that a task meets is as good as any
-    wanted = texts.join(_nodes_of(pairs), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    wanted = texts.join(_ends_of(pairs, "node"), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
     have = saved(wanted.mapInArrow(sets, "node string, shingles binary"), "shingles")
-    return _passing(pairs, have, "shingles", lambda a, b: similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least)
+    return _passing(pairs, have, "node", "shingles", lambda a, b: similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least)
 
 
 def equal_sets(rows: DataFrame) -> DataFrame:
