@@ -129,6 +129,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def clear(spark: SparkSession) -> None:
+    """Has the driver give back what it no longer needs, in Python and the JVM, and Spark remove shuffles and broadcasts that no DataFrame has any more.
+
+    Spark itself does so when the driver's heap is full, and then the heap stays as large as it became.
+    """
+    give_back()
+    spark._jvm.System.gc()
+
+
 #: Tables of up to so many rows of ids and digests are broadcast; larger ones are shuffled.
 FEW = 1 << 18
 

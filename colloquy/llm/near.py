@@ -14,8 +14,9 @@ fingerprint for each group found goes on to the next of LEVELS rounds, in the or
 That search only makes groups early; what it misses or drops is found exactly by rest(). Two texts at the similarity
 share one of the shingles that come first in any order that is the same for all texts, if as many are taken as may
 differ and one more. Shingles that are frequent in a sample come last. All pairs that share one and are not in one
-group yet are candidates, large buckets block against block; sizes, places and parities of shingles rule out
-most of them, none of which can be alike, and the others are checked by their shingles.
+group yet are candidates, large buckets block against block; a pair that is seen to share an earlier one is left to
+that bucket. Sizes, places and parities of shingles rule out most of them, none of which can be alike, and the others
+are checked by their shingles.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, give_back, if_few, keep_first, saved, small_batches, text_digest, text_of
+from .common import attach, clear, give_back, if_few, keep_first, saved, small_batches, text_digest, text_of
 from .components import components
 from .simhash import GrayIndex, gray_rank, majority, shingle_hashes
 
@@ -39,6 +40,8 @@ WORDS, SIMILARITY, FAMILIES, SAMPLE, WITHIN, BUCKET, LEVELS, TURN = 5, 0.8, 6, 3
 SAMPLED, OFTEN, MOST_FREQUENT = 10_000, 3, 1 << 16
 #: A bucket of first shingles with more texts is dealt in blocks of so many, each pair of blocks by itself.
 BLOCK = 1024
+#: So many shared shingles before each are known where pairs are made.
+BEFORE = 4
 #: The most bits of a parity sketch.
 PARITY_BITS = 1 << 16
 #: Bounds are taken this much wider than computed, so that rounding rules nothing out.
@@ -235,10 +238,14 @@ def rest(rows: DataFrame, member: DataFrame, least: float = SIMILARITY, block: i
 
     Nodes and groups go as 64-bit hashes, as shingles do; u and v are xxhash64 of nodes.
     """
-    grouped = rows.join(if_few(member.withColumnRenamed("node", "m")), F.col("node") == F.col("m"), "left")
-    each = grouped.select(F.xxhash64("node").alias("no"), F.xxhash64(F.coalesce("root", "node")).alias("group"), F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "key"))
+    of = member.select(F.xxhash64("node").alias("m"), F.xxhash64("root").alias("root"))
+    grouped = rows.withColumn("no", F.xxhash64("node")).join(if_few(of), F.col("no") == F.col("m"), "left")
+    each = grouped.select("no", F.coalesce("root", "no").alias("group"), F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "key"))
     several = each.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("key")
-    hits = saved(each.join(if_few(saved(several, "several")), "key").distinct(), "hits")
+    hits = each.join(if_few(saved(several, "several")), "key").distinct()
+    # texts of many shared shingles would meet in all their buckets: two that have one of those before in common have met there
+    earlier = Window.partitionBy("no").orderBy("at")
+    hits = saved(hits.withColumn("before", F.array_compact(F.array(*[F.lag("key", i).over(earlier) for i in range(1, BEFORE + 1)]))), "hits")
     # within the largest group of a bucket nothing is left to find, so its blocks meet those of the others only
     counts = hits.groupBy("key", "group").agg(F.count("*").alias("k"))
     sizes = counts.groupBy("key").agg(F.max(F.struct("k", "group")).alias("main"), F.sum("k").alias("all"))
@@ -249,14 +256,15 @@ def rest(rows: DataFrame, member: DataFrame, least: float = SIMILARITY, block: i
     deal = lambda n: F.pmod(F.xxhash64("no"), F.greatest(n, F.lit(1)))
     told = told.withColumn("block", F.when(F.col("is_main"), F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others"))))
     last = F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
-    dealt = told.select("key", "no", "group", "n", "at", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "no", "group", "n", "at", "block")
-    a, b = (dealt.select("key", "low", "high", *[F.col(c).alias(f"{c}_{side}") for c in ("no", "group", "n", "at", "block")]) for side in "ab")
+    dealt = told.select("key", "no", "group", "n", "at", "before", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "no", "group", "n", "at", "before", "block")
+    a, b = (dealt.select("key", "low", "high", *[F.col(c).alias(f"{c}_{side}") for c in ("no", "group", "n", "at", "before", "block")]) for side in "ab")
     apart = (F.col("no_a") < F.col("no_b")) & (F.col("group_a") != F.col("group_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - SLACK
     # if this shingle is the first that a pair shares, it shares no more than what follows in either
     placed = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - SLACK
-    return a.join(b, ["key", "low", "high"]).where(apart & sized & placed).select(F.col("no_a").alias("u"), F.col("no_b").alias("v")).distinct()
+    met = F.arrays_overlap("before_a", "before_b")
+    return a.join(b, ["key", "low", "high"]).where(apart & sized & placed & ~met).select(F.col("no_a").alias("u"), F.col("no_b").alias("v")).distinct()
 
 
 def _ends_of(pairs: DataFrame, name: str) -> DataFrame:
@@ -322,9 +330,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = saved(sketches(own, words, frequent(texts, words), least), "sketches")
     nodes = rows.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     member = saved(components(links(candidates(nodes), texts, words, least).unionByName(equal_sets(rows))), "early")
+    clear(docs.sparkSession)
     more = saved(links(possible(rest(rows, member, least), rows, least), texts, words, least), "more")
     if not more.isEmpty():
         member = saved(components(member.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "members")
+    clear(docs.sparkSession)
     member = member.withColumnRenamed("node", "m")
     each = rows.groupBy("id", "node").agg(F.count("*").alias("n_same"))
     each = saved(each.join(if_few(member), F.col("node") == F.col("m"), "left").select("id", "node", F.coalesce("root", "node").alias("group"), "n_same"), "each")

@@ -149,6 +149,26 @@ def test_rest_finds_all_pairs(spark):
         assert {tuple(sorted((int(r.u), int(r.v)))) for r in found.collect()} == exp and exp
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_a_pair_is_made_about_once(spark, block):
+    """Texts that share many first shingles and are mostly not alike: the join makes few more rows than there are pairs, and no pair is missing."""
+    rng, texts = random.Random(3), []
+    base = rng.choices(STOCK, k=300)
+    for i in range(30):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.choice([3, 6, 6, 6])):
+            w[k] = f"new{i}x{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], "id long, text string, node string")
+    rows = near.saved(near.sketches(df, 5), "rows")
+    pairs = near.rest(rows, spark.createDataFrame([], "node string, root string"), block=block)
+    made = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, pairs._jdf.queryExecution().analyzed().children().head()).count()
+    found = near.links(near.possible(pairs, rows), df.select("node", "text"))
+    exp = set(brute_pairs(texts))
+    assert {tuple(sorted((int(r.u), int(r.v)))) for r in found.collect()} == exp and exp
+    assert made <= 1.5 * pairs.count(), made
+
+
 def test_parities_rule_out_no_pair():
     rng = np.random.default_rng(2)
     for n in (1, 5, 64, 300, 5000):
