@@ -1,8 +1,8 @@
 """Document likelihood by a subword lattice: all segmentations of each word into pieces of a public vocabulary.
 
-The pieces and their scores come from an existing sentencepiece model; neither is trained here. Its scores rank the
-pieces, and a piece's probability is in proportion to 1 / rank. What is learned from the training documents are the words'
-counts, for the base score, and the share of the end among all tokens. A document is its words, each begun by the mark of a word start, and an end;
+The pieces and their scores come from an existing sentencepiece model. Its scores rank the pieces, and a piece's
+probability is in proportion to 1 / rank, unless it is fitted to the training words. What is learned from the training documents are the words'
+counts, the share of the end among all tokens and, if rounds of fitting are asked for, the pieces' probabilities. A document is its words, each begun by the mark of a word start, and an end;
 as no piece goes over a word start, its marginal log-probability is the sum of its words'. Texts are cut into
 words with their positions (see words.py); each distinct word is shuffled once for a slice of texts, is counted and
 its lattice run once, and its count and score go back to the slices, where each text sums its words'.
@@ -24,6 +24,8 @@ from . import words as W
 from .common import crc_mod, give_back, saved
 
 ALPHA, MARK = 0.1, "▁".encode()
+#: The share of a fitted piece's weight that stays what its rank gives, so that no piece loses all.
+RANKS = 1e-3
 
 
 def default_pieces() -> str:
@@ -83,16 +85,75 @@ class Lattice:
         return math.log(alpha[n]) + shift
 
 
+    def expected(self, word: bytes, counts: dict[bytes, float]) -> None:
+        """Adds to counts how often each piece stands in the word, on average over its segmentations by their probability."""
+        n, get, longest = len(word), self.begun.get, self.longest
+        alpha, at, shift, edges = [0.0] * (n + 1), [0.0] * (n + 1), 0.0, []
+        alpha[0] = 1.0
+        for i in range(n):
+            x = alpha[i]
+            at[i] = math.log(x) + shift
+            if x < 1e-200:
+                up = 1.0 / x
+                shift -= math.log(up)
+                for k in range(i, min(n, i + longest) + 1):
+                    alpha[k] *= up
+                x = 1.0
+            for j in range(i + 1, n + 1):
+                piece = word[i:j]
+                p = get(piece)
+                if p is None:
+                    break
+                if p:
+                    alpha[j] += x * p
+                    edges.append((j, i, piece, p))
+        at[n] = math.log(alpha[n]) + shift
+        # backwards: the probability that a piece ends at j, dealt to the pieces that may
+        ends = [0.0] * n + [1.0]
+        for j, i, piece, p in sorted(edges, key=lambda e: -e[0]):
+            if ends[j]:
+                share = ends[j] * p * math.exp(at[i] - at[j])
+                ends[i] += share
+                counts[piece] = counts.get(piece, 0.0) + share
+
+
+def fitted(words: DataFrame, model_path: str, rounds: int) -> dict[bytes, float]:
+    """The weights of the model's pieces after rounds of expectation and maximization over the distinct training words of words(word, uses).
+
+    Each word counts once: the lattice has to speak for words that were never seen, and these are like rare ones. Only a
+    number for each piece comes to the driver.
+    """
+    start = weights = vocabulary(model_path)
+    pieces = list(start)
+    number = {p: i for i, p in enumerate(pieces)}
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            lattice, counts = Lattice(weights), {}
+            for batch in batches:
+                for w in batch.column("word").to_pylist():
+                    lattice.expected(MARK + w, counts)
+            if counts:
+                yield pa.record_batch([pa.array([number[p] for p in counts], pa.int32()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
+            give_back()
+
+        found = {pieces[r.piece]: r.n for r in words.where("uses > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+        if not (z := math.fsum(found.values())):
+            break
+        weights = {p: (1 - RANKS) * found.get(p, 0.0) / z + RANKS * x for p, x in start.items()}
+    return weights
+
+
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in UTF-8: A-Z lower-cased, split at ASCII white space."""
     yield text.lower().split()  # of bytes: both know ASCII only
 
 
-def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
+def score_words(words: DataFrame, weights: dict[bytes, float], end: float) -> DataFrame:
     """(slice, data) of words(word, uses, at): each distinct word's training count and log10 probability, packed for the slices that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice({p: w * (1 - end) for p, w in vocabulary(model_path).items()})
+        lattice = Lattice({p: w * (1 - end) for p, w in weights.items()})
         parts: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -116,13 +177,13 @@ def score_words(words: DataFrame, model_path: str, end: float) -> DataFrame:
     return words.mapInArrow(run, "slice long, data binary")
 
 
-def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, rounds: int = 0) -> DataFrame:
     """Scores every whole text, learning from the rows whose crc32(id) modulo folds isn't 0.
 
     Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score, smoothed_score), all logarithms to base 10:
     base_score is that of add-ALPHA word unigrams, score the lattice's marginal probability. smoothed_score is that of
     the training words' counts, backed by the lattice as Witten and Bell do: (c + V * p) / (N + V) for a word counted c times
-    with probability p. Tokens are the words and one end. Null, empty and blank texts are an end alone. A null id counts as training. Rows are never told apart by
+    with probability p. Pieces have the weights of their ranks, or those that rounds of fitting to the training words make of them (see fitted). Tokens are the words and one end. Null, empty and blank texts are an end alone. A null id counts as training. Rows are never told apart by
     id: repeated rows, and rows of one id with different texts, count and are scored each, with one row each in the
     result. Without training rows the end has half of all probability. An empty table gives no rows; other columns are not read.
     """
@@ -135,7 +196,7 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     distinct, total = words.agg(F.count_if(F.col("uses") > 0), F.coalesce(F.sum("uses"), F.lit(0))).first()
     n_train, n_kinds = total + ends, distinct + (ends > 0)
     end = ends / n_train if n_train > ends else 0.5
-    packed = score_words(words, model_path, end)
+    packed = score_words(words, fitted(words, model_path, rounds), end)
     base = lambda c: np.log10((c + ALPHA) / (n_train + ALPHA * (n_kinds + 1)))
 
     def smoothed(c, s):

@@ -34,7 +34,9 @@ def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_subword_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), lattice_lm.default_pieces()).withColumnRenamed("id", "doc_id")
+    """The score is the whole model's: the training words' counts, backed by the lattice, whose pieces are fitted to the training words. What the lattice alone gives is lattice_score."""
+    out = lattice_lm.score_documents(table(spark, sf_dir, "documents"), lattice_lm.default_pieces(), rounds=2)
+    return out.withColumnsRenamed({"id": "doc_id", "score": "lattice_score", "smoothed_score": "score"})
 
 
 def op6_toxicity_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
